@@ -411,3 +411,301 @@ def ngr08(spark, sf):
 
 SQL["ngr08_word_frequencies_by_polarity"] = SQL["ngr08_word_frequencies_by_polarity"].replace(
     "FROM r WHERE rank <= 200", "FROM r WHERE rank <= 200 AND Polarity IN ('Positive', 'Negative')")
+
+
+# ---------------------------------------------------------------- topic text cleaning
+from opinio.functions import text as TX  # noqa: E402
+from opinio.operators import textclean as TC  # noqa: E402
+from opinio.operators import topics as TP  # noqa: E402
+from opinio.sources import pages as PG  # noqa: E402
+from opinio.sources.tables import table  # noqa: E402
+
+CHAIN_STOP = R.FIXTURE_CHAIN_STOP_WORDS + R.TOPIC_EXTRA_STOP_WORDS
+
+
+def _digit_sql_class():
+    from opinio.functions.text import _digit_class
+    return _digit_class()
+
+
+def _chain_sql(x, stop, dictionary_rel=None, order="reference"):
+    """SQL form of TXT1-5 (+6) + 7 on expression ``x``; returns the final
+    expression and extra CTE text (for the dictionary step)."""
+    p = f"translate({x}, {O.PUNCT}, '')"
+    m = lambda e: f"regexp_replace({e}, {O.lit(R.MENTION_PATTERN)}, '', 'g')"
+    u = lambda e: f"regexp_replace({e}, {O.lit(R.URL_PATTERN)}, '', 'g')"
+    if order == "urls_first":
+        y = f"translate({m(u(x))}, {O.PUNCT}, '')"
+    else:
+        y = u(m(p))
+    y = f"regexp_replace({y}, {O.lit(_digit_sql_class())}, '', 'g')"
+    y = (f"array_to_string(list_filter(string_split_regex({y}, '\\s+'), "
+         f"lambda w: w <> '' AND NOT list_contains({O.lit_list([s.lower() for s in stop])}, lower(w))), ' ')")
+    return y
+
+
+def _collapse_sql(y):
+    return f"array_to_string(list_filter(string_split_regex({y}, '\\s+'), lambda w: w <> ''), ' ')"
+
+
+_DICT_CTE = """
+dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM benchmark),
+chain0 AS (SELECT review_key, @CHAIN@ AS t0 FROM @SRC@),
+chain_w AS (SELECT review_key, unnest(list_filter(string_split_regex(t0, '\\s+'), lambda w: w <> '')) AS w,
+   unnest(generate_series(1, len(list_filter(string_split_regex(t0, '\\s+'), lambda w: w <> '')))) AS pos FROM chain0),
+chain_k AS (SELECT review_key, string_agg(CASE WHEN d.word IS NULL THEN '' ELSE w END, ' ' ORDER BY pos) AS t1
+   FROM chain_w LEFT JOIN dict d ON lower(chain_w.w) = d.word GROUP BY review_key),
+chained AS (SELECT @SRC@.*, """ + _collapse_sql("coalesce(chain_k.t1, '')") + """ AS text_topic
+   FROM @SRC@ LEFT JOIN chain_k ON @SRC@.review_key = chain_k.review_key)"""
+
+
+def _chained_ctes(src="enriched"):
+    return ENR_NOSENT + "," + _DICT_CTE.replace("@CHAIN@", _chain_sql("text_lower", CHAIN_STOP)).replace("@SRC@", src)
+
+
+def _benchmark_dictionary(spark, sf):
+    return TC.dictionary_from_text(table(spark, sf, "benchmark").select("text"))
+
+
+def _chained(spark, sf):
+    df = _e(spark, sf, sentiment=False)
+    return TC.clean_chain(df, "review_key", "text_lower", CHAIN_STOP, _benchmark_dictionary(spark, sf))
+
+
+@register("txt08_topic_text_chain", _chained_ctes() + """
+SELECT Model, Reviewer_name, text_topic FROM chained""")
+def txt08(spark, sf):
+    return _chained(spark, sf).select("Model", "Reviewer_name", "text_topic")
+
+
+@register("txt08b_documents_chain_fixture_order", f"""
+SELECT doc_id, {_collapse_sql(f"regexp_replace(translate(text, {O.PUNCT}, ''), {O.lit(_digit_sql_class())}, '', 'g')")} AS t
+FROM documents""".replace("SELECT doc_id, ", "SELECT doc_id, array_to_string(list_filter(string_split_regex(", 1)
+          .replace(" AS t\nFROM documents", f", '\\s+'), lambda w: w <> '' AND NOT list_contains({O.lit_list(R.FIXTURE_CHAIN_STOP_WORDS)}, lower(w))), ' ') AS text\nFROM documents", 1))
+def txt08b(spark, sf):
+    """FIXTURES check: TXT1 -> TXT4 -> TXT7 -> TXT5 over ``documents``."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    x = TX.collapse_spaces(TX.remove_numbers(TX.remove_punctuation(F.col("text"))))
+    return d.select("doc_id", TX.remove_stop_words(x, R.FIXTURE_CHAIN_STOP_WORDS).alias("text"))
+
+
+@register("txt08c_urls_first_order", ENR_NOSENT + f"""
+SELECT Model, Reviewer_name, {_collapse_sql(_chain_sql('text_lower', CHAIN_STOP, order='urls_first'))} AS text_topic
+FROM enriched""")
+def txt08c(spark, sf):
+    df = _e(spark, sf, sentiment=False)
+    return TC.clean_chain(df, "review_key", "text_lower", CHAIN_STOP, None, order="urls_first").select(
+        "Model", "Reviewer_name", "text_topic")
+
+
+# ---------------------------------------------------------------- topic tokens and tables
+_FOLD = R.accent_fold_table()
+
+
+def _tokens_sql(x):
+    return (f"list_filter(regexp_extract_all(translate(lower({x}), {O.lit(_FOLD[0])}, {O.lit(_FOLD[1])}), "
+            f"{O.lit(TP.ALPHA_TOKEN)}), lambda t: length(t) >= {R.TOKEN_MIN_LEN} AND length(t) <= {R.TOKEN_MAX_LEN} "
+            f"AND NOT starts_with(t, '_') AND NOT list_contains({O.lit_list(STOP)}, t))")
+
+
+def _docs(spark, sf):
+    """Topic corpus: one row per review (key, tokens)."""
+    df = _chained(spark, sf)
+    return df.select(F.md5(F.concat("Model", F.lit("|"), "Title_and_Reviews")).alias("doc"),
+                     TP.topic_tokens(F.col("text_topic"), STOP).alias("tokens"))
+
+
+_DOCS_SQL = _chained_ctes() + f""",
+docs AS (SELECT md5(concat(Model, '|', Title_and_Reviews)) AS doc, {_tokens_sql('text_topic')} AS tokens FROM chained)"""
+
+
+@register("top01_topic_tokens", _DOCS_SQL + "\nSELECT doc, array_to_string(tokens, ' ') AS tokens FROM docs")
+def top01(spark, sf):
+    return _docs(spark, sf).select("doc", F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("top03_bag_of_words", _DOCS_SQL + """
+SELECT doc, token, count(*) AS count FROM (SELECT doc, unnest(tokens) AS token FROM docs) GROUP BY doc, token""")
+def top03(spark, sf):
+    return TP.bag_of_words(_docs(spark, sf), "doc", "tokens")
+
+
+@register("top02_dictionary", _DOCS_SQL + """,
+bow AS (SELECT doc, token, count(*) AS count FROM (SELECT doc, unnest(tokens) AS token FROM docs) GROUP BY doc, token)
+SELECT token, count(*) AS doc_freq, sum(count) AS coll_freq, row_number() OVER (ORDER BY token) - 1 AS token_id
+FROM bow GROUP BY token""")
+def top02(spark, sf):
+    return TP.dictionary_table(TP.bag_of_words(_docs(spark, sf), "doc", "tokens"))
+
+
+# ---------------------------------------------------------------- LDA (rows-only checks)
+_MODEL_CACHE: dict = {}
+
+
+def _lda(spark, sf, k=R.LDA_TOPICS, iters=R.LDA_PASSES, seed=42):
+    key = (sf, k, iters, seed)
+    if key not in _MODEL_CACHE:
+        docs = _docs(spark, sf)
+        cv, vec = TP.vectorize(docs)
+        _MODEL_CACHE[key] = (cv, vec, TP.fit_lda(vec, k, iters, seed))
+    return _MODEL_CACHE[key]
+
+
+@register("top05_lda_topic_terms")
+def top05(spark, sf):
+    cv, vec, model = _lda(spark, sf)
+    return TP.topic_terms(model, cv.vocabulary, 10)
+
+
+@register("top06_doc_topics")
+def top06(spark, sf):
+    cv, vec, model = _lda(spark, sf)
+    return TP.doc_topics(model, vec, "doc").select("doc", "dominant_topic",
+                                                  F.transform("theta", lambda x: F.round(x, 6)).alias("theta"))
+
+
+@register("top07_perplexity")
+def top07(spark, sf):
+    cv, vec, model = _lda(spark, sf)
+    return TP.perplexity(model, vec)
+
+
+def _coherence_for(spark, sf, k, iters, seed, n=20):
+    docs = _docs(spark, sf)
+    if k == 1:
+        terms = TP.unigram_topic(docs, "tokens", n).select("topic", "term")
+    else:
+        cv, vec, model = _lda(spark, sf, k, iters, seed)
+        terms = TP.topic_terms(model, cv.vocabulary, n).select("topic", "term")
+    return TP.coherence_cv(docs, "doc", "tokens", terms)
+
+
+@register("top08_coherence_cv")
+def top08(spark, sf):
+    per_topic = _coherence_for(spark, sf, R.LDA_TOPICS, R.LDA_PASSES, 42)
+    return per_topic.select("topic", F.round("coherence", 6).alias("coherence"))
+
+
+@register("top09_topic_count_sweep")
+def top09(spark, sf):
+    out = None
+    for k in R.LDA_SWEEP:
+        c = TP.coherence_summary(_coherence_for(spark, sf, k, 1, R.LDA_SWEEP_SEED)).select(
+            F.lit(k).alias("num_topics"), F.round("coherence", 6).alias("coherence"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("top10_topic_prevalence")
+def top10(spark, sf):
+    cv, vec, model = _lda(spark, sf)
+    theta = TP.doc_topics(model, vec, "doc")
+    lens = vec.select("doc", F.size("tokens").alias("n"))
+    phi = _phi(spark, model, cv.vocabulary)
+    tf = TP.bag_of_words(_docs(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
+        F.sum("count").alias("freq"))
+    prevalence, rel, js = TP.topic_overview(theta, lens, "doc", phi, tf)
+    return prevalence.select("topic", F.round("prevalence", 6).alias("prevalence"))
+
+
+def _phi(spark, model, vocabulary):
+    """Normalised topic-term weights as a table (topic, term, weight)."""
+    tm = model.topicsMatrix()   # V x K, model state of size vocabulary x topics
+    rows = []
+    k = tm.numCols
+    arr = tm.toArray()
+    sums = arr.sum(axis=0)
+    for i, term in enumerate(vocabulary):
+        for t in range(k):
+            rows.append((t, term, float(arr[i, t] / sums[t])))
+    return spark.createDataFrame(rows, "topic int, term string, weight double")
+
+
+@register("top10b_topic_relevance_terms")
+def top10b(spark, sf):
+    cv, vec, model = _lda(spark, sf)
+    theta = TP.doc_topics(model, vec, "doc")
+    lens = vec.select("doc", F.size("tokens").alias("n"))
+    tf = TP.bag_of_words(_docs(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
+        F.sum("count").alias("freq"))
+    prevalence, rel, js = TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
+    return rel.select("topic", "rank", "term", F.round("relevance", 6).alias("relevance"))
+
+
+@register("top10c_topic_distances")
+def top10c(spark, sf):
+    cv, vec, model = _lda(spark, sf)
+    theta = TP.doc_topics(model, vec, "doc")
+    lens = vec.select("doc", F.size("tokens").alias("n"))
+    tf = TP.bag_of_words(_docs(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
+        F.sum("count").alias("freq"))
+    prevalence, rel, js = TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
+    return js.select("ta", "tb", F.round("js_divergence", 6).alias("js_divergence"))
+
+
+# ---------------------------------------------------------------- stored pages
+def _pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", "html")
+
+
+_PK = (f"concat(regexp_extract(url, {O.lit(PG.PRODUCT_KEY_RE)}, 1), "
+       f"regexp_replace(regexp_extract(url, {O.lit(PG.PRODUCT_KEY_RE)}, 2), '/$', ''))")
+_PAGE_NO = "coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT), 1)"
+_ARTICLE = f"regexp_extract(html, {O.lit(PG.ARTICLE_RE)}, 1)"
+
+
+@register("src03_review_blocks", f"""
+WITH pf AS (SELECT page_id, {_PK} AS product_key, {_PAGE_NO} AS page_no,
+   regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS Company,
+   CASE WHEN len(regexp_extract_all(html, {O.lit(PG.FOREIGN_BLOCK_MARKER)})) > 1
+        THEN regexp_extract(html, {O.lit(PG.TITLE_RE)}, 1) ELSE regexp_extract(html, {O.lit(PG.H1_RE)}, 1) END AS Model,
+   regexp_extract_all({_ARTICLE}, {O.lit(PG.PARAGRAPH_RE)}, 1) AS paras FROM pages),
+b AS (SELECT page_id, product_key, page_no, Company, Model, unnest(paras) AS block,
+      unnest(generate_series(0, len(paras) - 1)) AS block_no FROM pf)
+SELECT page_id, product_key, page_no, Company, Model, CAST(block_no AS INT) AS block_no, trim(block) AS Review,
+   coalesce(nullif(regexp_extract(block, {O.lit(PG.VOTES_RE)}, 0), ''), '0') AS Review_helpful_rating FROM b""")
+def src03(spark, sf):
+    return PG.review_blocks(_pages(spark, sf))
+
+
+@register("src07_pages_until_last", f"""
+WITH pf AS (SELECT page_id, {_PK} AS product_key, {_PAGE_NO} AS page_no, contains(html, 'Next page') AS has_next FROM pages),
+last AS (SELECT product_key, min(page_no) AS last_page FROM pf WHERE NOT has_next GROUP BY product_key)
+SELECT page_id, pf.product_key, page_no, has_next FROM pf LEFT JOIN last ON pf.product_key = last.product_key
+WHERE last_page IS NULL OR page_no <= last_page""")
+def src07(spark, sf):
+    return PG.pages_until_last(_pages(spark, sf)).select("page_id", "product_key", "page_no", "has_next")
+
+
+@register("src08_reviews_per_product", f"""
+WITH pf AS (SELECT page_id, {_PK} AS product_key, {_PAGE_NO} AS page_no, contains(html, 'Next page') AS has_next,
+   len(regexp_extract_all({_ARTICLE}, {O.lit(PG.PARAGRAPH_RE)}, 1)) AS n_blocks FROM pages),
+last AS (SELECT product_key, min(page_no) AS last_page FROM pf WHERE NOT has_next GROUP BY product_key),
+kept AS (SELECT pf.* FROM pf LEFT JOIN last ON pf.product_key = last.product_key
+         WHERE last_page IS NULL OR page_no <= last_page),
+per AS (SELECT product_key, sum(n_blocks) AS reviews, min(page_id) AS first_page FROM kept
+        WHERE n_blocks > 0 GROUP BY product_key)
+SELECT product_key, CAST(reviews AS BIGINT) AS reviews, first_page,
+  CAST(sum(reviews) OVER (ORDER BY first_page, product_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+    AS cumulative_reviews FROM per""")
+def src08(spark, sf):
+    return PG.collected_per_product(_pages(spark, sf))
+
+
+@register("src09_links_zip_shortest", f"""
+WITH z AS (SELECT page_id, regexp_extract_all(html, {O.lit(PG.LINK_TEXT_RE)}, 1) AS a,
+                  regexp_extract_all(html, {O.lit(PG.LINK_HREF_RE)}, 1) AS b FROM pages),
+c AS (SELECT page_id, a[1:least(len(a), len(b))] AS a, b[1:least(len(a), len(b))] AS b FROM z)
+SELECT page_id, unnest(a) AS link_text, unnest(b) AS href FROM c""")
+def src09(spark, sf):
+    return PG.page_links(_pages(spark, sf))
+
+
+@register("src10_field_counts", f"""
+SELECT count(*) AS pages, CAST(sum(length(regexp_extract(html, {O.lit(PG.TITLE_RE)}, 1))) AS BIGINT) AS title_chars,
+  CAST(sum(len(regexp_extract_all(html, {O.lit(PG.LINK_HREF_RE)}, 1))) AS BIGINT) AS links,
+  CAST(sum(len(regexp_extract_all(html, {O.lit(PG.LIST_ITEM_RE)}))) AS BIGINT) AS list_items,
+  CAST(sum(len(regexp_extract_all({_ARTICLE}, {O.lit(PG.PARAGRAPH_RE)}, 1))) AS BIGINT) AS paragraphs,
+  count(*) FILTER (WHERE length(trim({_ARTICLE})) = 0) AS empty_articles FROM pages""")
+def src10(spark, sf):
+    return PG.field_counts(_pages(spark, sf))
