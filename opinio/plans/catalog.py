@@ -709,3 +709,32 @@ SELECT count(*) AS pages, CAST(sum(length(regexp_extract(html, {O.lit(PG.TITLE_R
   count(*) FILTER (WHERE length(trim({_ARTICLE})) = 0) AS empty_articles FROM pages""")
 def src10(spark, sf):
     return PG.field_counts(_pages(spark, sf))
+
+
+# ---------------------------------------------------------------- row ids and language
+@register("cln04_dense_review_id", CLN + """
+SELECT md5(concat(Model, '|', Title_and_Reviews)) AS doc,
+       row_number() OVER (ORDER BY md5(concat(Model, '|', Title_and_Reviews))) - 1 AS review_id FROM keyed""")
+def cln04(spark, sf):
+    df = cleaned(spark, sf).select(F.md5(F.concat("Model", F.lit("|"), "Title_and_Reviews")).alias("doc"))
+    return TP.dense_index(df, "doc", "review_id")
+
+
+@register("cln10_language_id")
+def cln10(spark, sf):
+    """Language of each cleaned review by a Naive Bayes model trained on the
+    labelled ``documents`` table; English text keeps its text, other text
+    would be routed to translation."""
+    from opinio.operators.language import identify_language, train_language_model
+    model = train_language_model(table(spark, sf, "documents").select("text", "lang"))
+    df = identify_language(cleaned(spark, sf), model, text="text_raw", out="lang")
+    return df.select("Model", "Reviewer_name", "lang", (F.col("lang") == "en").alias("is_english"))
+
+
+@register("cln13_filtered_reviews", ENR + """
+SELECT Model, Reviewer_name, Sentiment_Score FROM enriched
+WHERE classification = 'Service Review' AND Polarity = 'Negative'""")
+def cln13(spark, sf):
+    df = _e(spark, sf)
+    return df.where((F.col("classification") == R.SERVICE_LABEL) & (F.col("Polarity") == "Negative")).select(
+        "Model", "Reviewer_name", "Sentiment_Score")
