@@ -9,7 +9,6 @@ joined on ``xxhash64(text)``; text without an entry passes through.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
 from pyspark.sql import Column, DataFrame
@@ -26,17 +25,15 @@ def char_trigrams(text: Column, prefix: int = 200) -> Column:
 def train_language_model(labelled: DataFrame, text: str = "text", label: str = "lang",
                          prefix: int = 200, features: int = 1 << 14, smoothing: float = 1.0):
     data = labelled.select(char_trigrams(F.col(text), prefix).alias("grams"), F.col(label).alias("lang"))
-    idx = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="skip")
+    idx = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="skip").fit(data)
     tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=features)
-    nb = NaiveBayes(modelType="multinomial", smoothing=smoothing)
-    model = Pipeline(stages=[idx, tf, nb]).fit(data)
-    return model, prefix
+    nb = NaiveBayes(modelType="multinomial", smoothing=smoothing).fit(tf.transform(idx.transform(data)))
+    return (tf, nb, list(idx.labels)), prefix
 
 
 def identify_language(df: DataFrame, model_and_prefix, text: str = "text_raw", out: str = "lang") -> DataFrame:
-    model, prefix = model_and_prefix
-    labels = model.stages[0].labels
-    scored = model.transform(df.withColumn("grams", char_trigrams(F.col(text), prefix)))
+    (tf, nb, labels), prefix = model_and_prefix
+    scored = nb.transform(tf.transform(df.withColumn("grams", char_trigrams(F.col(text), prefix))))
     scored = IndexToString(inputCol="prediction", outputCol=out, labels=labels).transform(scored)
     return scored.drop("grams", "features", "rawPrediction", "probability", "prediction")
 

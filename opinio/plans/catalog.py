@@ -22,6 +22,7 @@ from opinio.operators.clean import stage_counts
 from opinio.plans import oracle as O
 from opinio.plans.enrich import add_features, add_labels, cleaned, enriched
 from opinio.schemas import FEATURE_COLUMNS, NUMERIC_RAW_COLUMNS, RAW_COLUMNS
+from opinio.session import cut_lineage
 from opinio.sources.fixture import reviews_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,10 +543,19 @@ def top02(spark, sf):
 _MODEL_CACHE: dict = {}
 
 
+def _corpus(spark, sf):
+    """The topic corpus (doc, tokens), written once to the shared checkpoint
+    folder: the model fits, coherence and overview read it many times."""
+    key = ("corpus", sf)
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = cut_lineage(_docs(spark, sf))
+    return _MODEL_CACHE[key]
+
+
 def _lda(spark, sf, k=R.LDA_TOPICS, iters=R.LDA_PASSES, seed=42):
     key = (sf, k, iters, seed)
     if key not in _MODEL_CACHE:
-        docs = _docs(spark, sf)
+        docs = _corpus(spark, sf)
         cv, vec = TP.vectorize(docs)
         _MODEL_CACHE[key] = (cv, vec, TP.fit_lda(vec, k, iters, seed))
     return _MODEL_CACHE[key]
@@ -571,7 +581,7 @@ def top07(spark, sf):
 
 
 def _coherence_for(spark, sf, k, iters, seed, n=20):
-    docs = _docs(spark, sf)
+    docs = _corpus(spark, sf)
     if k == 1:
         terms = TP.unigram_topic(docs, "tokens", n).select("topic", "term")
     else:
@@ -602,7 +612,7 @@ def top10(spark, sf):
     theta = TP.doc_topics(model, vec, "doc")
     lens = vec.select("doc", F.size("tokens").alias("n"))
     phi = _phi(spark, model, cv.vocabulary)
-    tf = TP.bag_of_words(_docs(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
+    tf = TP.bag_of_words(_corpus(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
         F.sum("count").alias("freq"))
     prevalence, rel, js = TP.topic_overview(theta, lens, "doc", phi, tf)
     return prevalence.select("topic", F.round("prevalence", 6).alias("prevalence"))
@@ -626,7 +636,7 @@ def top10b(spark, sf):
     cv, vec, model = _lda(spark, sf)
     theta = TP.doc_topics(model, vec, "doc")
     lens = vec.select("doc", F.size("tokens").alias("n"))
-    tf = TP.bag_of_words(_docs(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
+    tf = TP.bag_of_words(_corpus(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
         F.sum("count").alias("freq"))
     prevalence, rel, js = TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
     return rel.select("topic", "rank", "term", F.round("relevance", 6).alias("relevance"))
@@ -637,7 +647,7 @@ def top10c(spark, sf):
     cv, vec, model = _lda(spark, sf)
     theta = TP.doc_topics(model, vec, "doc")
     lens = vec.select("doc", F.size("tokens").alias("n"))
-    tf = TP.bag_of_words(_docs(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
+    tf = TP.bag_of_words(_corpus(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
         F.sum("count").alias("freq"))
     prevalence, rel, js = TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
     return js.select("ta", "tb", F.round("js_divergence", 6).alias("js_divergence"))
