@@ -36,7 +36,7 @@ are never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,21 +112,40 @@ def _scalar(p: Column, p_boost: Column, v: Column, capdiff: Column) -> Column:
     return F.when(p_boost.isNotNull(), base + caps).otherwise(F.lit(0.0))
 
 
+def _strip_edges(w: Column) -> Column:
+    edge = f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$"
+    core = F.regexp_replace(w, edge, "")
+    return F.when(F.length(core) <= 2, w).otherwise(core)
+
+
 def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = True) -> DataFrame:
-    """Token rows (key, i, w, p1, p2, p3, n1, capdiff, but_pos) -> (key, v)
-    for every token that carries valence, after all neighbour rules."""
+    """Raw token rows (key, capdiff, i, w, p1, p2, p3, n1) -> (key, v) for
+    every token that carries valence, after all neighbour rules.
+
+    Edge punctuation is stripped by row expressions (whole-stage codegen):
+    first on the token itself, and on its neighbours only for the few rows
+    that hit the lexicon.  The first "but" of each review is a window min
+    over its hit rows, which stays inside the partition (input partitioned
+    by key)."""
     def side(k):
         return F.broadcast(info.select(F.col("token").alias(f"{k}_tok"),
                                        F.col("valence").alias(f"{k}_val"),
                                        F.col("boost").alias(f"{k}_boost"),
                                        F.col("neg").alias(f"{k}_neg")))
 
-    hits_info = F.broadcast(info.where(F.col("valence").isNotNull() & F.col("boost").isNull())
-                            .select(F.col("token").alias("lw"), "valence"))
-    t = tokens_df.withColumn("lw", F.lower("w"))
-    for k in ("p1", "p2", "p3", "n1"):
-        t = t.withColumn(f"l{k}", F.lower(k))
+    # tokens that score, plus "but" (its first position scales the others)
+    scoring = (info.where(F.col("valence").isNotNull() & F.col("boost").isNull())
+               .select(F.col("token").alias("lw"), "valence"))
+    but_row = info.sparkSession.range(1).select(F.lit("but").alias("lw"), F.lit(None).cast("double").alias("valence"))
+    hits_info = F.broadcast(scoring.unionByName(but_row).groupBy("lw").agg(F.max("valence").alias("valence")))
+    t = tokens_df.withColumn("w", _strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
     t = t.join(hits_info, "lw", "inner")
+    # per review over its few hit rows only; rows are already partitioned by key
+    t = t.withColumn("but_pos", F.coalesce(
+        F.min(F.when(F.col("lw") == "but", F.col("i") + 1)).over(Window.partitionBy("key")), F.lit(0)))
+    t = t.where(F.col("valence").isNotNull())
+    for k in ("p1", "p2", "p3", "n1"):
+        t = t.withColumn(k, _strip_edges(F.col(k))).withColumn(f"l{k}", F.lower(k))
     # "kind of" carries no valence
     t = t.where(~((F.col("lw") == "kind") & F.coalesce(F.col("ln1") == "of", F.lit(False))))
     for k in ("p1", "p2", "p3", "n1"):
@@ -179,19 +198,27 @@ def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = Tru
     return t.select("key", (v * but).alias("v"))
 
 
+# A whitespace token that is upper case (has an upper-case letter and no
+# lower/title-case letter), and one that is not.  Edge punctuation has no
+# case, so testing raw tokens equals testing stripped tokens.
+_UPPER_TOKEN = r"(?:^|\s)[^\s\p{Ll}\p{Lt}]*\p{Lu}[^\s\p{Ll}\p{Lt}]*(?=\s|$)"
+_NON_UPPER_TOKEN = r"(?:^|\s)(?:[^\s\p{Lu}]+|[^\s]*[\p{Ll}\p{Lt}][^\s]*)(?=\s|$)"
+
+
+def caps_differential(text: Column) -> Column:
+    """Some but not all tokens are ALL CAPS (two whole-text regex tests)."""
+    return F.coalesce(text.rlike(_UPPER_TOKEN) & text.rlike(_NON_UPPER_TOKEN), F.lit(False))
+
+
 def explode_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Narrow token rows with neighbours: key, i, w, p1, p2, p3, n1, capdiff, but_pos."""
-    toks = sentiment_tokens(F.col(text))
-    narrow = df.select(F.col(key).alias("key"), toks.alias("_t"))
-    narrow = narrow.select(
-        "key", "_t",
-        (F.exists("_t", _is_upper) & ~F.forall("_t", _is_upper)).alias("capdiff"),
-        F.array_position(F.transform("_t", F.lower), "but").alias("but_pos"))
+    """Narrow raw token rows with neighbours: key, capdiff, i, w, p1, p2, p3, n1."""
+    narrow = df.select(F.col(key).alias("key"), split_words(F.col(text)).alias("_t"),
+                       caps_differential(F.col(text)).alias("capdiff"))
     arr = F.transform("_t", lambda w, i: F.struct(
         i.alias("i"), w.alias("w"),
         F.get(F.col("_t"), i - 1).alias("p1"), F.get(F.col("_t"), i - 2).alias("p2"),
         F.get(F.col("_t"), i - 3).alias("p3"), F.get(F.col("_t"), i + 1).alias("n1")))
-    return narrow.select("key", "capdiff", "but_pos", F.inline(arr))
+    return narrow.select("key", "capdiff", F.inline(arr))
 
 
 def punctuation_emphasis(text: Column) -> Column:
