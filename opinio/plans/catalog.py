@@ -424,9 +424,8 @@ from opinio.sources.tables import table  # noqa: E402
 CHAIN_STOP = R.FIXTURE_CHAIN_STOP_WORDS + R.TOPIC_EXTRA_STOP_WORDS
 
 
-def _digit_sql_class():
-    from opinio.functions.text import _digit_class
-    return _digit_class()
+def _digits():
+    return TX.digit_chars()
 
 
 def _chain_sql(x, stop, dictionary_rel=None, order="reference"):
@@ -439,7 +438,7 @@ def _chain_sql(x, stop, dictionary_rel=None, order="reference"):
         y = f"translate({m(u(x))}, {O.PUNCT}, '')"
     else:
         y = u(m(p))
-    y = f"regexp_replace({y}, {O.lit(_digit_sql_class())}, '', 'g')"
+    y = f"translate({y}, {O.lit(_digits())}, '')"
     y = (f"array_to_string(list_filter(string_split_regex({y}, '\\s+'), "
          f"lambda w: w <> '' AND NOT list_contains({O.lit_list([s.lower() for s in stop])}, lower(w))), ' ')")
     return y
@@ -480,7 +479,7 @@ def txt08(spark, sf):
 
 
 @register("txt08b_documents_chain_fixture_order", f"""
-SELECT doc_id, {_collapse_sql(f"regexp_replace(translate(text, {O.PUNCT}, ''), {O.lit(_digit_sql_class())}, '', 'g')")} AS t
+SELECT doc_id, {_collapse_sql(f"translate(translate(text, {O.PUNCT}, ''), {O.lit(_digits())}, '')")} AS t
 FROM documents""".replace("SELECT doc_id, ", "SELECT doc_id, array_to_string(list_filter(string_split_regex(", 1)
           .replace(" AS t\nFROM documents", f", '\\s+'), lambda w: w <> '' AND NOT list_contains({O.lit_list(R.FIXTURE_CHAIN_STOP_WORDS)}, lower(w))), ' ') AS text\nFROM documents", 1))
 def txt08b(spark, sf):

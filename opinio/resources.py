@@ -163,3 +163,8 @@ def digit_like_chars() -> str:
         if ch.isdigit() and unicodedata.category(ch) != "Nd":
             out.append(ch)
     return "".join(out)
+
+
+def all_digit_chars() -> str:
+    """Every code point for which ``str.isdigit`` is true, built by rule."""
+    return "".join(chr(cp) for cp in range(0x110000) if chr(cp).isdigit())
