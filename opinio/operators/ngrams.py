@@ -69,4 +69,4 @@ def approx_top_words(df: DataFrame, text: str, stop_words: list[str], k: int = 2
     """NGR9: approximate heavy hitters for very large vocabularies
     (sketch per task, merged; memory bounded by the sketch size)."""
     words = df.select(F.explode(ngram_column(F.col(text), 1, stop_words)).alias("word"))
-    return words.agg(F.approx_top_k("word", F.lit(k)).alias("top")).select(F.inline("top"))
+    return words.agg(F.expr(f"approx_top_k(word, {int(k)})").alias("top")).select(F.inline("top"))

@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import PUNCT_CLASS, split_words
+from opinio.operators.util import BROADCAST_MAX_ROWS
 
 UPPER_WORD = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
 NEVER_SO_SCALAR = 1.25
@@ -118,7 +119,8 @@ def _strip_edges(w: Column) -> Column:
     return F.when(F.length(core) <= 2, w).otherwise(core)
 
 
-def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = True) -> DataFrame:
+def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = True,
+                   broadcast: bool = True) -> DataFrame:
     """Raw token rows (key, capdiff, i, w, p1, p2, p3, n1) -> (key, v) for
     every token that carries valence, after all neighbour rules.
 
@@ -127,17 +129,19 @@ def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = Tru
     that hit the lexicon.  The first "but" of each review is a window min
     over its hit rows, which stays inside the partition (input partitioned
     by key)."""
+    bc = F.broadcast if broadcast else (lambda d: d)
+
     def side(k):
-        return F.broadcast(info.select(F.col("token").alias(f"{k}_tok"),
-                                       F.col("valence").alias(f"{k}_val"),
-                                       F.col("boost").alias(f"{k}_boost"),
-                                       F.col("neg").alias(f"{k}_neg")))
+        return bc(info.select(F.col("token").alias(f"{k}_tok"),
+                              F.col("valence").alias(f"{k}_val"),
+                              F.col("boost").alias(f"{k}_boost"),
+                              F.col("neg").alias(f"{k}_neg")))
 
     # tokens that score, plus "but" (its first position scales the others)
     scoring = (info.where(F.col("valence").isNotNull() & F.col("boost").isNull())
                .select(F.col("token").alias("lw"), "valence"))
     but_row = info.sparkSession.range(1).select(F.lit("but").alias("lw"), F.lit(None).cast("double").alias("valence"))
-    hits_info = F.broadcast(scoring.unionByName(but_row).groupBy("lw").agg(F.max("valence").alias("valence")))
+    hits_info = bc(scoring.unionByName(but_row).groupBy("lw").agg(F.max("valence").alias("valence")))
     t = tokens_df.withColumn("w", _strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
     t = t.join(hits_info, "lw", "inner")
     # per review over its few hit rows only; rows are already partitioned by key
@@ -238,8 +242,13 @@ def compound(sum_s: Column, emphasis: Column) -> Column:
 def score_sentiment(df: DataFrame, info: DataFrame, key: str = "review_key", text: str = "text_en",
                     score_col: str = "Sentiment_Score", label_col: str = "Polarity",
                     include_nt: bool = True) -> DataFrame:
-    """Add ``Sentiment_Score`` and ``Polarity``; ``key`` must be unique per row."""
-    sums = (token_valences(explode_tokens(df, key, text), info, include_nt)
+    """Add ``Sentiment_Score`` and ``Polarity``; ``key`` must be unique per row.
+
+    The word table is broadcast only when a bounded probe shows it has at
+    most ``BROADCAST_MAX_ROWS`` rows (a word list); otherwise the token
+    joins are shuffle joins."""
+    small = info.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+    sums = (token_valences(explode_tokens(df, key, text), info, include_nt, broadcast=small)
             .groupBy("key").agg(F.sum("v").alias("_sum_s")))
     out = df.join(sums.hint("shuffle_hash").withColumnRenamed("key", key), key, "left")
     out = out.withColumn(score_col, compound(F.col("_sum_s"), punctuation_emphasis(F.col(text)))).drop("_sum_s")

@@ -747,3 +747,39 @@ def cln13(spark, sf):
     df = _e(spark, sf)
     return df.where((F.col("classification") == R.SERVICE_LABEL) & (F.col("Polarity") == "Negative")).select(
         "Model", "Reviewer_name", "Sentiment_Score")
+
+
+# ---------------------------------------------------------------- more profiling / options
+_CLEAN_COLS = RAW_COLUMNS + ["Title_and_Reviews"]
+
+
+@register("prf01b_null_counts_clean", CLN + "\n" + _null_sql("keyed", _CLEAN_COLS))
+def prf01b(spark, sf):
+    return P.null_counts(cleaned(spark, sf), _CLEAN_COLS)
+
+
+@register("ngr09_approx_top_words")
+def ngr09(spark, sf):
+    """Approximate heavy hitters (sketch) for very large vocabularies."""
+    return N.approx_top_words(_e(spark, sf, sentiment=False), "text_lower", STOP, 20)
+
+
+_UNKNOWN_SQL = ENR_NOSENT + f""",
+dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
+words AS (SELECT DISTINCT lower(unnest(string_split_regex(
+   {_chain_sql('text_lower', CHAIN_STOP)}, '\\s+'))) AS word FROM enriched),
+unknown AS (SELECT word FROM words WHERE word <> '' AND word NOT IN (SELECT word FROM dict)),
+cand AS (SELECT u.word, d.word AS cand, levenshtein(u.word, d.word) AS dist FROM unknown u, dict d
+         WHERE abs(length(u.word) - length(d.word)) <= 2)
+SELECT word, arg_min(cand, (dist, cand)) AS suggestion FROM cand WHERE dist <= 2 GROUP BY word"""
+
+
+# DuckDB's levenshtein counts bytes (a two-byte letter costs 2), Spark's
+# counts characters, so this query has no SQL oracle; tests/test_textclean.py
+# checks it against a brute-force edit distance.
+@register("txt06b_spelling_suggestions")
+def txt06b(spark, sf):
+    df = _e(spark, sf, sentiment=False)
+    chained = TC.clean_chain(df, "review_key", "text_lower", CHAIN_STOP, None)
+    words = chained.select(F.explode(TX.split_words(F.col("text_topic"))).alias("word"))
+    return TC.best_suggestions(words, _benchmark_dictionary(spark, sf), 2)

@@ -51,8 +51,8 @@ def _lev(a, b):
 
 
 def test_suggestions_exact_against_brute_force(spark):
-    dict_words = ["the", "then", "than", "hello", "help", "world", "word", "ab"]
-    unknown = ["teh", "hte", "helo", "wrld", "xyzzy", "ba", "thn"]
+    dict_words = ["the", "then", "than", "hello", "help", "world", "word", "ab", "gañ", "straße"]
+    unknown = ["teh", "hte", "helo", "wrld", "xyzzy", "ba", "thn", "a", "strase", "gaño"]
     got = {r["word"]: r["suggestion"] for r in TC.best_suggestions(
         spark.createDataFrame([(w,) for w in unknown], "word string"),
         spark.createDataFrame([(w,) for w in dict_words], "word string"), 2).collect()}
