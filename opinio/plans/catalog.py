@@ -783,3 +783,49 @@ def txt06b(spark, sf):
     chained = TC.clean_chain(df, "review_key", "text_lower", CHAIN_STOP, None)
     words = chained.select(F.explode(TX.split_words(F.col("text_topic"))).alias("word"))
     return TC.best_suggestions(words, _benchmark_dictionary(spark, sf), 2)
+
+
+# c_v coherence for topics fixed by the data (top 40 tokens, topic = rank mod 4),
+# so both engines score the same topics.
+_FIXED_TOPIC_WORDS = 40
+
+
+def _fixed_topics(docs):
+    tf = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    top = tf.orderBy(F.desc("c"), F.asc("term")).limit(_FIXED_TOPIC_WORDS)
+    ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("c"), F.asc("term"))) - 1)  # 40 rows
+    return ranked.select((F.col("rk") % R.LDA_TOPICS).cast("int").alias("topic"), "term")
+
+
+@register("top08b_coherence_fixed_topics", _DOCS_SQL + f""",
+tf AS (SELECT term, count(*) AS c FROM (SELECT unnest(tokens) AS term FROM docs) GROUP BY term),
+topw AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) - 1 AS rk FROM tf ORDER BY c DESC, term LIMIT {_FIXED_TOPIC_WORDS}),
+topics AS (SELECT CAST(rk % {R.LDA_TOPICS} AS INT) AS topic, term FROM topw),
+words AS (SELECT DISTINCT term AS w FROM topics),
+cd AS (SELECT doc, tokens, len(tokens) AS L FROM docs),
+pos AS (SELECT doc, L, w, p FROM (SELECT doc, L, unnest(tokens) AS w, unnest(generate_series(0, L - 1)) AS p FROM cd)
+        JOIN words USING (w)),
+iv AS (SELECT doc, w, CASE WHEN L < 110 THEN 0 ELSE greatest(p - 109, 0) END AS lo,
+              CASE WHEN L < 110 THEN 0 ELSE least(p, L - 110) END AS hi FROM pos),
+iv2 AS (SELECT *, max(hi) OVER (PARTITION BY doc, w ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_hi FROM iv),
+iv3 AS (SELECT *, sum(CASE WHEN prev_hi IS NULL OR lo > prev_hi + 1 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc, w ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM iv2),
+runs AS (SELECT doc, w, run, min(lo) AS lo, max(hi) AS hi FROM iv3 GROUP BY ALL),
+single AS (SELECT w, sum(hi - lo + 1) AS cnt FROM runs GROUP BY w),
+nwin AS (SELECT sum(greatest(L - 110 + 1, 1)) AS N FROM cd WHERE doc IN (SELECT doc FROM pos)),
+pair AS (SELECT a.w AS wi, b.w AS wj, sum(greatest(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1, 0)) AS co
+         FROM runs a JOIN runs b ON a.doc = b.doc AND a.w < b.w GROUP BY ALL),
+tp AS (SELECT t1.topic, t1.term AS wi, t2.term AS wj FROM topics t1 JOIN topics t2 ON t1.topic = t2.topic),
+tp2 AS (SELECT tp.topic, tp.wi, tp.wj, coalesce(si.cnt, 0) AS ci, coalesce(sj.cnt, 0) AS cj,
+          CASE WHEN tp.wi = tp.wj THEN coalesce(si.cnt, 0) ELSE coalesce(pr.co, 0) END AS co, N
+        FROM tp LEFT JOIN single si ON si.w = tp.wi LEFT JOIN single sj ON sj.w = tp.wj
+        LEFT JOIN pair pr ON pr.wi = least(tp.wi, tp.wj) AND pr.wj = greatest(tp.wi, tp.wj) CROSS JOIN nwin),
+np AS (SELECT topic, wi, wj, ln((co / N + 1e-12) / ((ci / N) * (cj / N))) / (-ln(co / N + 1e-12)) AS npmi FROM tp2),
+star AS (SELECT topic, wj, sum(npmi) AS s FROM np GROUP BY ALL),
+cosv AS (SELECT np.topic, wi, sum(npmi * s) / (sqrt(sum(npmi * npmi)) * sqrt(sum(s * s))) AS cos
+         FROM np JOIN star ON np.topic = star.topic AND np.wj = star.wj GROUP BY ALL)
+SELECT topic, round(avg(cos), 6) AS coherence FROM cosv GROUP BY topic""")
+def top08b(spark, sf):
+    docs = _corpus(spark, sf)
+    per_topic = TP.coherence_cv(docs, "doc", "tokens", _fixed_topics(docs))
+    return per_topic.select("topic", F.round("coherence", 6).alias("coherence"))
