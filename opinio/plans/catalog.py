@@ -130,7 +130,7 @@ def _describe_text_sql(rel, cols):
     parts = []
     for c in cols:
         parts.append(
-            f"SELECT {O.lit(c)} AS column_name, sum(freq) AS count, count(*) AS unique, "
+            f"SELECT {O.lit(c)} AS column_name, CAST(sum(freq) AS BIGINT) AS count, count(*) AS unique, "
             f"arg_min(v, (-freq, v)) AS top, max(freq) AS freq FROM "
             f"(SELECT {c} AS v, count(*) AS freq FROM {rel} WHERE {c} IS NOT NULL GROUP BY {c})")
     return " UNION ALL ".join(parts)
@@ -383,7 +383,7 @@ for _name, _n, _top in [("ngr04_top10_unigrams", 1, 10), ("ngr04_top20_bigrams",
 @register("ngr06_top10_trigrams_per_model_class", ENR_NOSENT + f"""
 , grams AS ({_ngram_sql('enriched', 3, group_cols=('Model', 'classification'))}),
 c AS (SELECT Model, classification, ngram, count(*) AS count FROM grams GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Model, classification ORDER BY count DESC, ngram) AS rank FROM c)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY Model, classification ORDER BY count DESC, ngram) AS INT) AS rank FROM c)
 WHERE rank <= 10""")
 def ngr06(spark, sf):
     return N.top_ngrams_per_group(_e(spark, sf, sentiment=False), "text_lower", 3, STOP, 10,
@@ -393,7 +393,7 @@ def ngr06(spark, sf):
 @register("ngr07_word_frequencies", ENR_NOSENT + f"""
 , grams AS ({_ngram_sql('enriched', 1)}),
 c AS (SELECT ngram AS word, count(*) AS count FROM grams GROUP BY ALL ORDER BY count DESC, word LIMIT 200)
-SELECT word, count, row_number() OVER (ORDER BY count DESC, word) AS rank,
+SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) AS INT) AS rank,
        round(count / max(count) OVER (), 6) AS weight FROM c""")
 def ngr07(spark, sf):
     return N.word_frequencies(_e(spark, sf, sentiment=False), "text_lower", STOP, 200)
@@ -402,7 +402,7 @@ def ngr07(spark, sf):
 @register("ngr08_word_frequencies_by_polarity", ENR + f"""
 , grams AS ({_ngram_sql('enriched', 1, group_cols=('Polarity',))}),
 c AS (SELECT Polarity, ngram AS word, count(*) AS count FROM grams GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY Polarity ORDER BY count DESC, word) AS rank FROM c)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY Polarity ORDER BY count DESC, word) AS INT) AS rank FROM c)
 SELECT Polarity, word, count, rank, round(count / max(count) OVER (PARTITION BY Polarity), 6) AS weight
 FROM r WHERE rank <= 200""")
 def ngr08(spark, sf):
@@ -532,7 +532,7 @@ def top03(spark, sf):
 
 @register("top02_dictionary", _DOCS_SQL + """,
 bow AS (SELECT doc, token, count(*) AS count FROM (SELECT doc, unnest(tokens) AS token FROM docs) GROUP BY doc, token)
-SELECT token, count(*) AS doc_freq, sum(count) AS coll_freq, row_number() OVER (ORDER BY token) - 1 AS token_id
+SELECT token, count(*) AS doc_freq, CAST(sum(count) AS BIGINT) AS coll_freq, row_number() OVER (ORDER BY token) - 1 AS token_id
 FROM bow GROUP BY token""")
 def top02(spark, sf):
     return TP.dictionary_table(TP.bag_of_words(_docs(spark, sf), "doc", "tokens"))
