@@ -94,11 +94,6 @@ def remove_urls(c) -> Column:
     return F.regexp_replace(_c(c), R.URL_PATTERN, "")
 
 
-@lru_cache(maxsize=1)
-def _digit_class() -> str:
-    return r"[\p{Nd}" + _regex_class_escape(R.digit_like_chars()) + "]"
-
-
 @lru_cache(maxsize=1)
 def digit_chars() -> str:
     return R.all_digit_chars()

@@ -55,13 +55,6 @@ def polarity_label(score) -> Column:
             .otherwise(F.lit("Neutral")))
 
 
-def sentiment_tokens(text: Column) -> Column:
-    """Whitespace tokens with edge punctuation stripped (emoticons kept)."""
-    edge = f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$"
-    return F.transform(split_words(text), lambda w: F.when(
-        F.length(F.regexp_replace(w, edge, "")) <= 2, w).otherwise(F.regexp_replace(w, edge, "")))
-
-
 def _is_upper(w: Column) -> Column:
     return w.rlike(UPPER_WORD)
 

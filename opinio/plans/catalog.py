@@ -478,10 +478,13 @@ def txt08(spark, sf):
     return _chained(spark, sf).select("Model", "Reviewer_name", "text_topic")
 
 
-@register("txt08b_documents_chain_fixture_order", f"""
-SELECT doc_id, {_collapse_sql(f"translate(translate(text, {O.PUNCT}, ''), {O.lit(_digits())}, '')")} AS t
-FROM documents""".replace("SELECT doc_id, ", "SELECT doc_id, array_to_string(list_filter(string_split_regex(", 1)
-          .replace(" AS t\nFROM documents", f", '\\s+'), lambda w: w <> '' AND NOT list_contains({O.lit_list(R.FIXTURE_CHAIN_STOP_WORDS)}, lower(w))), ' ') AS text\nFROM documents", 1))
+_FIXTURE_CHAIN_SQL = (
+    "array_to_string(list_filter(string_split_regex("
+    + _collapse_sql(f"translate(translate(text, {O.PUNCT}, ''), {O.lit(TX.digit_chars())}, '')")
+    + f", '\\s+'), lambda w: w <> '' AND NOT list_contains({O.lit_list(R.FIXTURE_CHAIN_STOP_WORDS)}, lower(w))), ' ')")
+
+
+@register("txt08b_documents_chain_fixture_order", f"SELECT doc_id, {_FIXTURE_CHAIN_SQL} AS text FROM documents")
 def txt08b(spark, sf):
     """FIXTURES check: TXT1 -> TXT4 -> TXT7 -> TXT5 over ``documents``."""
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -545,14 +548,14 @@ _MODEL_CACHE: dict = {}
 def _corpus(spark, sf):
     """The topic corpus (doc, tokens), written once to the shared checkpoint
     folder: the model fits, coherence and overview read it many times."""
-    key = ("corpus", sf)
+    key = ("corpus", id(spark), id(spark.sparkContext), sf)
     if key not in _MODEL_CACHE:
         _MODEL_CACHE[key] = cut_lineage(_docs(spark, sf))
     return _MODEL_CACHE[key]
 
 
 def _lda(spark, sf, k=R.LDA_TOPICS, iters=R.LDA_PASSES, seed=42):
-    key = (sf, k, iters, seed)
+    key = (id(spark), id(spark.sparkContext), sf, k, iters, seed)
     if key not in _MODEL_CACHE:
         docs = _corpus(spark, sf)
         cv, vec = TP.vectorize(docs)
@@ -618,16 +621,17 @@ def top10(spark, sf):
 
 
 def _phi(spark, model, vocabulary):
-    """Normalised topic-term weights as a table (topic, term, weight)."""
-    tm = model.topicsMatrix()   # V x K, model state of size vocabulary x topics
-    rows = []
-    k = tm.numCols
-    arr = tm.toArray()
-    sums = arr.sum(axis=0)
-    for i, term in enumerate(vocabulary):
-        for t in range(k):
-            rows.append((t, term, float(arr[i, t] / sums[t])))
-    return spark.createDataFrame(rows, "topic int, term string, weight double")
+    """Normalised topic-term weights (topic, term, weight) from the fitted
+    model's topic matrix (model state: vocabulary x topics)."""
+    import numpy as np
+    import pandas as pd
+    arr = model.topicsMatrix().toArray()          # V x K
+    arr = arr / arr.sum(axis=0, keepdims=True)
+    v, k = arr.shape
+    pdf = pd.DataFrame({"topic": np.tile(np.arange(k, dtype=np.int32), v),
+                        "term": np.repeat(np.asarray(vocabulary, dtype=object), k),
+                        "weight": arr.reshape(-1)})
+    return spark.createDataFrame(pdf, "topic int, term string, weight double")
 
 
 @register("top10b_topic_relevance_terms")

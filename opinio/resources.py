@@ -154,17 +154,6 @@ def accent_fold_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
-def digit_like_chars() -> str:
-    """Characters outside ``\\p{Nd}`` for which ``str.isdigit`` is true in the
-    BMP (superscripts, subscripts, circled digits ...), built by rule."""
-    out = []
-    for cp in range(0x80, 0x10000):
-        ch = chr(cp)
-        if ch.isdigit() and unicodedata.category(ch) != "Nd":
-            out.append(ch)
-    return "".join(out)
-
-
 def all_digit_chars() -> str:
     """Every code point for which ``str.isdigit`` is true, built by rule."""
     return "".join(chr(cp) for cp in range(0x110000) if chr(cp).isdigit())
