@@ -133,8 +133,9 @@ def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = Tru
     # tokens that score, plus "but" (its first position scales the others)
     scoring = (info.where(F.col("valence").isNotNull() & F.col("boost").isNull())
                .select(F.col("token").alias("lw"), "valence"))
-    but_row = info.sparkSession.range(1).select(F.lit("but").alias("lw"), F.lit(None).cast("double").alias("valence"))
-    hits_info = bc(scoring.unionByName(but_row).groupBy("lw").agg(F.max("valence").alias("valence")))
+    but_row = (info.sparkSession.range(1).select(F.lit("but").alias("lw"), F.lit(None).cast("double").alias("valence"))
+               .join(bc(scoring.select("lw")), "lw", "left_anti"))   # unless "but" itself scores
+    hits_info = bc(scoring.unionByName(but_row))
     t = tokens_df.withColumn("w", _strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
     t = t.join(hits_info, "lw", "inner")
     # per review over its few hit rows only; rows are already partitioned by key
