@@ -58,3 +58,24 @@ def enriched(spark: SparkSession, sf_dir: str, *, sentiment: bool = True, labels
     if labels:
         df = add_labels(df, keywords)
     return df
+
+
+def final_table(enriched_df: DataFrame, dictionary: DataFrame | None, stop_words: list[str],
+                topic_stop_words: list[str]) -> DataFrame:
+    """The table the pipeline writes out: the enriched reviews with the
+    topic-cleaned text in place of ``Title_and_Reviews`` and the topic
+    tokens as ``processed_text``."""
+    from opinio.operators.textclean import clean_chain
+    from opinio.operators.topics import topic_tokens
+    df = clean_chain(enriched_df, "review_key", "text_lower", stop_words, dictionary)
+    return (df.withColumn("Title_and_Reviews", F.col("text_topic"))
+              .withColumn("processed_text", topic_tokens(F.col("text_topic"), topic_stop_words)))
+
+
+def write_outputs(final_df: DataFrame, parquet_path: str, csv_path: str | None = None) -> None:
+    """SNK2/SNK3: Parquet partitioned by company (overwrite) and, optionally,
+    the headerless CSV append of the cleaned rows."""
+    from opinio.sources.sinks import append_csv, export_parquet
+    export_parquet(final_df, parquet_path, "Company")
+    if csv_path:
+        append_csv(final_df, csv_path)

@@ -64,3 +64,17 @@ def test_review_csv_encoding_and_roundtrip(spark):
     append_csv(df, out)
     back = read_reviews_csv(spark, out, header=False, encoding="UTF-8")
     assert back.count() == 2 and back.collect()[0]["Review"] == 'multi\nline "q"'
+
+
+def test_final_outputs_round_trip(spark):
+    from opinio import resources as R
+    from opinio.plans.enrich import enriched, final_table, write_outputs
+    d = tempfile.mkdtemp(prefix="opinio-test-")
+    df = final_table(enriched(spark, "/root/testdata/sf0.001"), None,
+                     R.FIXTURE_CHAIN_STOP_WORDS + R.TOPIC_EXTRA_STOP_WORDS, R.FIXTURE_STOP_WORDS)
+    write_outputs(df, os.path.join(d, "pq"), os.path.join(d, "csv"))
+    n = df.count()
+    back = spark.read.parquet(os.path.join(d, "pq"))
+    assert back.count() == n and "processed_text" in back.columns
+    assert back.select("Company").distinct().count() == df.select("Company").distinct().count()
+    assert spark.read.csv(os.path.join(d, "csv"), multiLine=True, escape='"').count() == n
