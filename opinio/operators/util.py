@@ -1,10 +1,9 @@
-"""Small shared helpers: bounded broadcast, word tables."""
+"""Small shared helper: broadcast behind a bounded size probe."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Word tables above this many rows are joined by shuffle instead of broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -17,19 +16,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     counted with a bounded probe (``limit(max_rows + 1).count()``)."""
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def word_table(spark: SparkSession, words, col: str = "word") -> DataFrame:
-    """Literal one-column word table (broadcast: its size is the list's)."""
-    words = list(dict.fromkeys(words))
-    df = spark.createDataFrame([(w,) for w in words], T.StructType([T.StructField(col, T.StringType())]))
-    return F.broadcast(df)
-
-
-def weight_table(spark: SparkSession, pairs, key: str = "token", value: str = "weight") -> DataFrame:
-    seen = {}
-    for k, v in pairs:
-        seen.setdefault(k, float(v))
-    df = spark.createDataFrame(list(seen.items()), T.StructType([
-        T.StructField(key, T.StringType()), T.StructField(value, T.DoubleType())]))
-    return F.broadcast(df)

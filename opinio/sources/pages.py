@@ -12,7 +12,7 @@ Mapping of the stored page layout onto the review fields:
 product key = host + path (without query/fragment), page number = the
 ``page`` query parameter (default 1), product name = ``<h1>`` (or
 ``<title>``), seller = host, review blocks = ``<p>`` paragraphs of the
-``<article>``, block headline = ``<b>`` text, helpful votes = the
+``<article>``, helpful votes = the
 ``found this helpful`` phrase (default "0").
 """
 
@@ -29,7 +29,6 @@ TITLE_RE = r"<title>(.*?)</title>"
 H1_RE = r"<h1>(.*?)</h1>"
 ARTICLE_RE = r"(?s)<article>(.*?)</article>"
 PARAGRAPH_RE = r"<p>([^<]*)"
-HEADLINE_RE = r"<b>([^<]*)"
 LINK_HREF_RE = r"<a href=\"([^\"]*)\">"
 LINK_TEXT_RE = r"<a href=\"[^\"]*\">([^<]*)</a>"
 LIST_ITEM_RE = r"<li>"

@@ -69,3 +69,10 @@ def test_lda_two_topics(spark):
     assert TP.perplexity(model, vec).collect()[0]["log_perplexity"] > 0
     uni = TP.unigram_topic(docs, "tokens", 2).collect()
     assert len(uni) == 2 and all(r["topic"] == 0 for r in uni)
+
+
+def test_lemmatize_keeps_order(spark):
+    docs = spark.createDataFrame([("1", ["cats", "ran", "cats"]), ("2", [])], "doc string, tokens array<string>")
+    lem = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "form string, lemma string")
+    got = {r["doc"]: r["tokens"] for r in TP.lemmatize(docs, "doc", "tokens", lem).collect()}
+    assert got == {"1": ["cat", "run", "cat"], "2": []}
