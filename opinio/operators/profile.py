@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinio.operators.quantiles import exact_quantiles
+from opinio.operators.quantiles import long_values, quantiles_from_long
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:   # PRF1
@@ -31,23 +31,22 @@ def sample_rows(df: DataFrame, n: int = 50, seed: int | None = None, key=None) -
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:            # PRF4
-    """count, mean, sample std, min, 25/50/75 % (interpolated, exact), max."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
-    basic = df.agg(*aggs)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    rows = []
-    for c in cols:
-        rows.append(F.struct(
-            F.lit(c).alias("column_name"), F.col(f"`{c}|count`").alias("count"),
-            F.round(F.col(f"`{c}|mean`"), 6).alias("mean"), F.round(F.col(f"`{c}|std`"), 6).alias("std"),
-            F.col(f"`{c}|min`").alias("min"), F.round(F.col(f"`{c}|q0.25`"), 6).alias("q25"),
-            F.round(F.col(f"`{c}|q0.5`"), 6).alias("q50"), F.round(F.col(f"`{c}|q0.75`"), 6).alias("q75"),
-            F.col(f"`{c}|max`").alias("max")))
-    return basic.crossJoin(q).select(F.inline(F.array(*rows)))
+    """count, mean, sample std, min, 25/50/75 % (interpolated, exact), max.
+    The plan behind ``df`` runs once: its values go to a narrow long table
+    (checkpointed) that both the summary and the quantile rounds read."""
+    spark = df.sparkSession
+    vals = long_values(df, cols)
+    q = quantiles_from_long(vals, cols, [0.25, 0.5, 0.75])
+    qdf = spark.createDataFrame([(c, q[f"{c}|q0.25"], q[f"{c}|q0.5"], q[f"{c}|q0.75"]) for c in cols],
+                                "c string, q25 double, q50 double, q75 double")
+    basic = vals.groupBy("c").agg(F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"),
+                                  F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    names = spark.createDataFrame([(c,) for c in cols], "c string")   # columns with no values still listed
+    return (names.join(basic, "c", "left").join(F.broadcast(qdf), "c", "left")
+            .select(F.col("c").alias("column_name"), F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+                    F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min",
+                    F.round("q25", 6).alias("q25"), F.round("q50", 6).alias("q50"),
+                    F.round("q75", 6).alias("q75"), "max"))
 
 
 def describe_text(df: DataFrame, cols: list[str]) -> DataFrame:               # PRF5

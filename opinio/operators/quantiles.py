@@ -87,12 +87,15 @@ def kth_smallest(vals: DataFrame, cols: list[str], ranks: dict[str, list[int]],
     return done
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """One-row DataFrame with a column ``{col}|q{p}`` per column and prob."""
-    spark = df.sparkSession
-    # The rounds re-read the values: write the narrow (column, value) table
-    # once to the shared checkpoint folder instead of re-running the plan.
-    vals = cut_lineage(_long_values(df, cols))
+def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The narrow (column, value) table, written once to the shared
+    checkpoint folder: the refinement rounds and the summary stats read it
+    instead of re-running the plan that produced ``df``."""
+    return cut_lineage(_long_values(df, cols))
+
+
+def quantiles_from_long(vals: DataFrame, cols: list[str], probs: list[float]) -> dict[str, float | None]:
+    """``{col}|q{p}`` -> value from the long table."""
     got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in
            vals.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
                                  F.max("x").alias("mx")).collect()}
@@ -109,7 +112,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
             rs.add(min(int(math.floor(h)) + 1, n - 1))
         ranks[c] = sorted(rs)
     kth = kth_smallest(vals, cols, ranks, stats)
-    out = {}
+    out: dict[str, float | None] = {}
     for c in cols:
         n = stats[c][0]
         for p in probs:
@@ -121,6 +124,12 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
             hi_i = min(lo_i + 1, n - 1)
             v_lo, v_hi = kth[(c, lo_i)], kth[(c, hi_i)]
             out[f"{c}|q{p}"] = float(v_lo + (v_hi - v_lo) * (h - lo_i))
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """One-row DataFrame with a column ``{col}|q{p}`` per column and prob."""
+    out = quantiles_from_long(long_values(df, cols), cols, probs)
     names = list(out)
-    return spark.createDataFrame([tuple(out[k] for k in names)],
-                                 ", ".join(f"`{k}` double" for k in names))
+    return df.sparkSession.createDataFrame([tuple(out[k] for k in names)],
+                                           ", ".join(f"`{k}` double" for k in names))
