@@ -48,3 +48,13 @@ def test_exact_quantiles_match_numpy(spark):
     for c, arr in (("x", np.array(x)), ("y", np.array([float(i % 11) for i in range(len(x))]))):
         for p in (0.25, 0.5, 0.75):
             assert abs(q[f"{c}|q{p}"] - float(np.quantile(arr, p))) < 1e-9
+
+
+def test_describe_text_and_random_sample(spark):
+    from opinio.operators.profile import describe_text, sample_rows
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",), ("c",)], "x string")
+    r = describe_text(df, ["x"]).collect()[0]
+    assert (r["count"], r["unique"], r["top"], r["freq"]) == (5, 3, "b", 2)     # tie b/c: smallest
+    big = spark.range(1000)
+    assert sample_rows(big, 50, seed=7).count() == 50
+    assert sample_rows(big, 50, seed=7).collect() == sample_rows(big, 50, seed=7).collect()

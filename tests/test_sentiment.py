@@ -106,3 +106,15 @@ def test_matches_plain_python(spark):
 def test_labels_at_thresholds(spark):
     df = spark.createDataFrame([(0.05,), (-0.05,), (0.0499,), (-0.0499,)], "s double")
     assert [r[0] for r in df.select(polarity_label("s")).collect()] == ["Positive", "Negative", "Neutral", "Neutral"]
+
+
+def test_lexicon_file_with_published_lists(spark, tmp_path):
+    from opinio.operators.sentiment import default_word_info, read_lexicon
+    p = tmp_path / "lexicon.txt"
+    p.write_text("good\t1.9\t0.9\t[2, 2]\nbad\t-2.5\t0.8\t[-2, -3]\n", encoding="utf-8")
+    info = default_word_info(spark, read_lexicon(spark, str(p)))
+    texts = ["good", "very good", "not good", "barely good", "bad"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, t string")
+    s = {r["k"]: r["Sentiment_Score"] for r in score_sentiment(df, info, key="k", text="t").collect()}
+    assert s["1"] > s["0"] > s["3"] > 0 > s["2"]
+    assert s["4"] < 0
