@@ -90,18 +90,24 @@ def polarity_share(df: DataFrame) -> DataFrame:                        # AGG11
 
 def equal_width_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:   # AGG12
     """``bins`` equal-width bins between min and max, last bin closed; empty
-    bins reported with 0.  min/max is one global aggregate (one row, then
-    broadcast); the bin counts are a partial-aggregated group-by."""
+    bins reported with 0.  min/max is one global aggregate whose two
+    numbers come back as literals; the bin counts are a partial-aggregated
+    group-by."""
     spark = df.sparkSession
-    bounds = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
+    if lo is None:
+        lo = hi = 0.0
     x = F.col(col).cast("double")
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("lo")) / width * bins), F.lit(bins - 1))).cast("int")
-    counted = (df.select(col).where(F.col(col).isNotNull()).crossJoin(F.broadcast(bounds))
+    width = hi - lo
+    b = (F.lit(0) if width == 0 else
+         F.least(F.floor((x - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1))).cast("int")
+    counted = (df.select(col).where(F.col(col).isNotNull())
                .select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(bounds))
-    edge = lambda k: F.when(width == 0, F.col("lo")).otherwise(F.col("lo") + width * k / bins)
+    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+
+    def edge(k):
+        return F.lit(lo) if width == 0 else F.lit(lo) + F.lit(width) * k / bins
+
     return (all_bins.join(counted, "bin", "left")
             .select("bin", F.round(edge(F.col("bin")), 6).alias("lower"),
                     F.round(edge(F.col("bin") + 1), 6).alias("upper"),
@@ -121,15 +127,16 @@ def polarity_share_by_model(df: DataFrame) -> DataFrame:               # AGG14
 
 def polarity_by_class(df: DataFrame, by_model: bool = False) -> DataFrame:  # AGG15, AGG16
     """Counts in the fixed order Positive / Neutral / Negative for each
-    class (and model), with zero rows for absent combinations."""
+    class (and model), with zero rows for absent combinations.  The 6
+    (class, polarity) cells come from a literal array, exploded once per
+    model (no join product)."""
     spark = df.sparkSession
     keys = ["Model"] if by_model else []
-    labels = spark.createDataFrame(
-        [(lab, i) for i, lab in enumerate(R.POLARITY_ORDER)], "Polarity string, polarity_rank int")
-    classes = spark.createDataFrame([(R.PRODUCT_LABEL,), (R.SERVICE_LABEL,)], "classification string")
-    grid = F.broadcast(labels).crossJoin(F.broadcast(classes))
-    if by_model:
-        grid = df.select("Model").distinct().crossJoin(F.broadcast(grid))
+    cells = F.array(*[F.struct(F.lit(c).alias("classification"), F.lit(p).alias("Polarity"),
+                               F.lit(i).alias("polarity_rank"))
+                      for c in (R.PRODUCT_LABEL, R.SERVICE_LABEL) for i, p in enumerate(R.POLARITY_ORDER)])
+    base = df.select("Model").distinct() if by_model else spark.range(1)
+    grid = base.select(*keys, F.inline(cells))
     counts = count_by(df, *keys, "classification", "Polarity")
     return (grid.join(counts, keys + ["classification", "Polarity"], "left")
             .select(*keys, "classification", "Polarity", "polarity_rank",

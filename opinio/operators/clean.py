@@ -77,9 +77,10 @@ def stage_counts(raw: DataFrame) -> DataFrame:
     parsed = complete
     for c in NUMERIC_RAW_COLUMNS:
         parsed = parsed & nums[c].isNotNull()
-    per_stage = d.agg(F.count(F.lit(1)).alias("distinct_rows"),
-                      F.count_if(complete).alias("complete_rows"),
-                      F.count_if(parsed).alias("parsed_rows"))
-    total = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
-    final = clean_reviews(raw).agg(F.count(F.lit(1)).alias("clean_rows"))
-    return total.crossJoin(per_stage).crossJoin(final)
+    distinct_rows, complete_rows, parsed_rows = d.agg(
+        F.count(F.lit(1)), F.count_if(complete), F.count_if(parsed)).first()
+    raw_rows = raw.count()
+    clean_rows = clean_reviews(raw).count()
+    return raw.sparkSession.createDataFrame(
+        [(raw_rows, distinct_rows, complete_rows, parsed_rows, clean_rows)],
+        "raw_rows long, distinct_rows long, complete_rows long, parsed_rows long, clean_rows long")

@@ -130,12 +130,11 @@ def unigram_topic(docs: DataFrame, tokens: str, n: int = 20) -> DataFrame:
     """K=1: the single topic is the corpus unigram distribution (Spark's LDA
     refuses k=1)."""
     counts = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c").alias("total"))
+    total = counts.agg(F.sum("c")).first()[0] or 1
     top = counts.orderBy(F.desc("c"), F.asc("term")).limit(n)
-    return (top.crossJoin(F.broadcast(total))
-            .select(F.lit(0).alias("topic"),
-                    (F.row_number().over(Window.orderBy(F.desc("c"), F.asc("term"))) - 1).alias("rank"),
-                    "term", (F.col("c") / F.col("total")).alias("weight")))
+    return top.select(F.lit(0).alias("topic"),
+                      (F.row_number().over(Window.orderBy(F.desc("c"), F.asc("term"))) - 1).alias("rank"),
+                      "term", (F.col("c") / F.lit(float(total))).alias("weight"))
 
 
 # ---------------------------------------------------------------- coherence c_v
@@ -169,8 +168,9 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
     runs = iv.groupBy("doc", "w", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     per_word = runs.groupBy("doc", "w").agg(F.collect_list(F.struct("lo", "hi")).alias("iv"),
                                             F.sum(F.col("hi") - F.col("lo") + 1).alias("n_win"))
-    n_windows = (d.join(pos.select("doc").distinct(), "doc", "left_semi")
-                 .agg(F.sum(F.greatest(F.col("L") - window + 1, F.lit(1))).alias("N")))
+    # number of windows of the documents that hold a topic word (one number)
+    n_windows = float(d.join(pos.select("doc").distinct(), "doc", "left_semi")
+                      .agg(F.sum(F.greatest(F.col("L") - window + 1, F.lit(1)))).first()[0] or 0)
     single = per_word.groupBy("w").agg(F.sum("n_win").alias("cnt"))
     a = per_word.select("doc", F.col("w").alias("wi"), F.col("iv").alias("ivi"))
     b = per_word.select("doc", F.col("w").alias("wj"), F.col("iv").alias("ivj"))
@@ -188,7 +188,7 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
           .join(single.select(F.col("w").alias("wj"), F.col("cnt").alias("cj")), "wj", "left")
           .join(pair.select(F.col("wi").alias("_a"), F.col("wj").alias("_b"), "co"),
                 (F.least("wi", "wj") == F.col("_a")) & (F.greatest("wi", "wj") == F.col("_b")), "left")
-          .crossJoin(F.broadcast(n_windows)))
+          .withColumn("N", F.lit(n_windows)))
     ci, cj = F.coalesce("ci", F.lit(0)), F.coalesce("cj", F.lit(0))
     co = F.when(F.col("wi") == F.col("wj"), ci).otherwise(F.coalesce("co", F.lit(0)))
     pij = co / F.col("N")
@@ -219,8 +219,8 @@ def topic_overview(theta: DataFrame, doc_len: DataFrame, key: str, phi: DataFram
     t = theta.join(doc_len, key).select(F.posexplode("theta").alias("topic", "p"), "n")
     prevalence = (t.groupBy("topic").agg(F.sum(F.col("p") * F.col("n")).alias("mass"))
                   .withColumn("prevalence", F.col("mass") / F.sum("mass").over(Window.partitionBy())))
-    total = term_freq.agg(F.sum("freq").alias("T"))
-    pw = term_freq.crossJoin(F.broadcast(total)).select("term", (F.col("freq") / F.col("T")).alias("pw"))
+    total = float(term_freq.agg(F.sum("freq")).first()[0] or 1)
+    pw = term_freq.select("term", (F.col("freq") / F.lit(total)).alias("pw"))
     rel = (phi.join(pw, "term")
            .withColumn("relevance", lam * F.log("weight") + (1 - lam) * F.log(F.col("weight") / F.col("pw"))))
     rel = rel.withColumn("rank", F.row_number().over(
