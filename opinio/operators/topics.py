@@ -147,7 +147,8 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
     for each (document, word) the windows that contain it form a union of
     intervals of window starts, so counts need no per-window rows:
     |U_w| for single counts and |U_i n U_j| (pairwise interval overlap)
-    for pair counts, over the <= (K N)^2 word pairs present in a document.
+    for pair counts, only for the same-topic word pairs (a fixed list of
+    <= K N^2 pairs joined by equality, not all pairs of a document).
     Documents without any topic word add no windows.
     """
     spark = docs.sparkSession
@@ -178,7 +179,12 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
         F.flatten(F.transform("ivi", lambda x: F.transform("ivj", lambda y: F.greatest(
             F.least(x["hi"], y["hi"]) - F.greatest(x["lo"], y["lo"]) + 1, F.lit(0))))),
         F.lit(0).cast("long"), lambda acc, v: acc + v)
-    pair = (a.join(b, "doc").where(F.col("wi") < F.col("wj"))
+    # only same-topic word pairs are scored: a fixed list of <= K N^2 pairs
+    # (broadcast); each (document, word) row meets its partners by equi-join
+    needed = (topics.select("topic", F.col("term").alias("wi"))
+              .join(topics.select("topic", F.col("term").alias("wj")), "topic")
+              .where(F.col("wi") < F.col("wj")).select("wi", "wj").distinct())
+    pair = (a.join(F.broadcast(needed), "wi").join(b, ["doc", "wj"])
             .select("wi", "wj", overlap.alias("co")).groupBy("wi", "wj").agg(F.sum("co").alias("co")))
     eps = 1e-12
     # NPMI for every ordered pair of topic words of the same topic
