@@ -68,8 +68,10 @@ def stage_counts(raw: DataFrame) -> DataFrame:
     """PRF2 across the cleaning stages: raw rows, distinct rows, distinct
     rows without nulls, and those whose numbers also parse, and the final
     clean count (after the second de-duplication)."""
-    df = with_text(raw.select(*RAW_COLUMNS))
-    d = df.withColumn("_k", row_key(RAW_COLUMNS)).dropDuplicates(["_k"])
+    df = with_text(raw.select(*RAW_COLUMNS)).withColumn("_k", row_key(RAW_COLUMNS))
+    # one row per distinct raw row, with its number of copies (sums to the raw count)
+    d = df.groupBy("_k").agg(F.count(F.lit(1)).alias("_copies"),
+                             *[F.first(c).alias(c) for c in RAW_COLUMNS + ["text_raw"]])
     complete = F.col("text_raw").isNotNull()
     for c in RAW_COLUMNS:
         complete = complete & F.col(c).isNotNull()
@@ -77,9 +79,8 @@ def stage_counts(raw: DataFrame) -> DataFrame:
     parsed = complete
     for c in NUMERIC_RAW_COLUMNS:
         parsed = parsed & nums[c].isNotNull()
-    distinct_rows, complete_rows, parsed_rows = d.agg(
-        F.count(F.lit(1)), F.count_if(complete), F.count_if(parsed)).first()
-    raw_rows = raw.count()
+    raw_rows, distinct_rows, complete_rows, parsed_rows = d.agg(
+        F.sum("_copies"), F.count(F.lit(1)), F.count_if(complete), F.count_if(parsed)).first()
     clean_rows = clean_reviews(raw).count()
     return raw.sparkSession.createDataFrame(
         [(raw_rows, distinct_rows, complete_rows, parsed_rows, clean_rows)],
