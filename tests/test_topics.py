@@ -76,3 +76,30 @@ def test_lemmatize_keeps_order(spark):
     lem = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "form string, lemma string")
     got = {r["doc"]: r["tokens"] for r in TP.lemmatize(docs, "doc", "tokens", lem).collect()}
     assert got == {"1": ["cat", "run", "cat"], "2": []}
+
+
+def test_topic_overview_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    terms = ["t%d" % i for i in range(6)]
+    phi = rng.random((2, 6)); phi /= phi.sum(axis=1, keepdims=True)
+    theta = rng.random((5, 2)); theta /= theta.sum(axis=1, keepdims=True)
+    lens = rng.integers(1, 50, 5)
+    freq = rng.integers(1, 30, 6)
+    th = spark.createDataFrame([(str(d), [float(x) for x in theta[d]]) for d in range(5)], "doc string, theta array<double>")
+    dl = spark.createDataFrame([(str(d), int(lens[d])) for d in range(5)], "doc string, n long")
+    ph = spark.createDataFrame([(k, terms[j], float(phi[k, j])) for k in range(2) for j in range(6)],
+                               "topic int, term string, weight double")
+    tf = spark.createDataFrame([(terms[j], int(freq[j])) for j in range(6)], "term string, freq long")
+    prev, rel, js = TP.topic_overview(th, dl, "doc", ph, tf, lam=0.6, top=3)
+    mass = (theta * lens[:, None]).sum(axis=0)
+    got = {r["topic"]: r["prevalence"] for r in prev.collect()}
+    for k in range(2):
+        assert abs(got[k] - mass[k] / mass.sum()) < 1e-12
+    pw = freq / freq.sum()
+    relv = 0.6 * np.log(phi) + 0.4 * np.log(phi / pw)
+    for k in range(2):
+        want = [terms[j] for j in np.argsort(-relv[k], kind="stable")[:3]]
+        assert [r["term"] for r in rel.where(F.col("topic") == k).orderBy("rank").collect()] == want
+    m = (phi[0] + phi[1]) / 2
+    want_js = 0.5 * (phi[0] * np.log(phi[0] / m)).sum() + 0.5 * (phi[1] * np.log(phi[1] / m)).sum()
+    assert abs(js.collect()[0]["js_divergence"] - want_js) < 1e-12
