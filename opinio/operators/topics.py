@@ -65,11 +65,10 @@ def dense_index(df: DataFrame, order_col: str, name: str, partitions: int | None
     checkpoint (fixes partition contents), count rows per partition
     (<= partitions rows), prefix-sum those counts and add each row's offset
     in its partition."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the range partitioner samples its input in a job of its own: read a
     # written copy instead of running the producing plan twice
     df = cut_lineage(df)
+    n = partitions or max(1, df.rdd.getNumPartitions())   # keep the input's parallelism
     s = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
          .withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
     s = cut_lineage(s)
