@@ -20,7 +20,7 @@ from opinio.operators import ngrams as N
 from opinio.operators import profile as P
 from opinio.operators.clean import stage_counts
 from opinio.plans import oracle as O
-from opinio.plans.enrich import add_features, add_labels, cleaned, enriched
+from opinio.plans.enrich import add_features, cleaned, enriched
 from opinio.schemas import FEATURE_COLUMNS, NUMERIC_RAW_COLUMNS, RAW_COLUMNS
 from opinio.session import cut_lineage
 from opinio.sources.fixture import reviews_raw
@@ -225,7 +225,6 @@ def agg06(spark, sf):
     return A.helpful_mean_by_model(cleaned(spark, sf))
 
 
-_EMO_CLASS = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in R.EMOTICON_RANGES)
 
 
 @register("agg07_emoticons_by_model", CLN + """
@@ -768,16 +767,6 @@ def ngr09(spark, sf):
     return N.approx_top_words(_e(spark, sf, sentiment=False), "text_lower", STOP, 20)
 
 
-_UNKNOWN_SQL = ENR_NOSENT + f""",
-dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
-words AS (SELECT DISTINCT lower(unnest(string_split_regex(
-   {_chain_sql('text_lower', CHAIN_STOP)}, '\\s+'))) AS word FROM enriched),
-unknown AS (SELECT word FROM words WHERE word <> '' AND word NOT IN (SELECT word FROM dict)),
-cand AS (SELECT u.word, d.word AS cand, levenshtein(u.word, d.word) AS dist FROM unknown u, dict d
-         WHERE abs(length(u.word) - length(d.word)) <= 2)
-SELECT word, arg_min(cand, (dist, cand)) AS suggestion FROM cand WHERE dist <= 2 GROUP BY word"""
-
-
 # DuckDB's levenshtein counts bytes (a two-byte letter costs 2), Spark's
 # counts characters, so this query has no SQL oracle; tests/test_textclean.py
 # checks it against a brute-force edit distance.
