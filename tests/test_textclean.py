@@ -59,3 +59,17 @@ def test_suggestions_exact_against_brute_force(spark):
     for w in unknown:
         cands = sorted((_lev(w, d), d) for d in dict_words if _lev(w, d) <= 2)
         assert got.get(w) == (cands[0][1] if cands else None), w
+
+
+def test_broadcast_probe(spark):
+    from opinio.operators.util import broadcast_if_small
+    small = spark.range(5)
+    big = spark.range(50)
+    other = spark.range(100).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p_small = other.join(broadcast_if_small(small, 10), other.k == small.id)._jdf.queryExecution().executedPlan().toString()
+        p_big = other.join(broadcast_if_small(big, 10), other.k == big.id)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+    assert "BroadcastHashJoin" in p_small and "BroadcastHashJoin" not in p_big
