@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, secrets
+from . import decontaminate, line_dedup, quality, secrets, url_filter
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,62 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ln AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM d),
+k AS (SELECT r, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM ln),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, c.key IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id <> c.last) AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM w WHERE len(w) > 2)),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q
+        FROM (SELECT r, p, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM g) WHERE k > 1) GROUP BY r),
+ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT d.doc_id, d.source, CAST(len(w.w) AS BIGINT) AS n_words,
+      CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(ln.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(ln.n_dup, 0) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d JOIN w ON w.r = d.r LEFT JOIN ln ON ln.r = d.r LEFT JOIN rep ON rep.r = d.r),
+f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 2 * n_symbols > n_words AS f3,
+      100 * n_dup_lines > 50 * n_lines AS f4 FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, unnest([1, 2, 3, 4]) AS rule,
+      unnest([count(*) FILTER (f1), count(*) FILTER (f2), count(*) FILTER (f3), count(*) FILTER (f4)]) AS x FROM f GROUP BY source),
+pr AS (SELECT rule, sum(x) / sum(n) AS m, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) * (sum(x) / sum(n)) AS v FROM h GROUP BY rule),
+rt AS (SELECT source, max(CASE WHEN v > 1e-12 THEN (x + m * greatest(m * (1 - m) / v - 1, 1.0)) / (n + greatest(m * (1 - m) / v - 1, 1.0))
+       ELSE m END) AS rate FROM h JOIN pr USING (rule) GROUP BY source)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
+       NOT (f1 OR f2) AND rate <= 0.5 AS kept
+FROM f JOIN rt ON f.source IS NOT DISTINCT FROM rt.source
+"""
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -58,8 +114,13 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_quality": op5_quality,
+    "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }
 SQL = {
+    "op3_line_dedup": OP3_SQL,
+    "op5_quality": OP5_SQL,
     "op10_decontamination": OP10_SQL,
 }
