@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, line_dedup, quality, secrets, url_filter
+from . import decontaminate, line_dedup, quality, secrets, spm, token_counts, url_filter
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,28 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on the driver (tasks get the vocabulary by broadcast)."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+SENTENCEPIECE = "piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the digest of the text decoded from them
+    (a literal U+2581 comes back as a space)."""
+    docs = table(spark, sf_dir, "documents")
+    out = spm.encode_texts(docs, tokenizer_path(SENTENCEPIECE), with_text=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                      F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(SENTENCEPIECE))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -114,8 +136,10 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
+    "op7_token_counts": op7_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }
