@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, line_dedup, quality, secrets, spm, token_counts, url_filter
+from . import decontaminate, line_dedup, quality, secrets, spm, token_counts, toxicity, url_filter
+from .common import crc_fold
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,14 @@ FROM m GROUP BY r
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -138,6 +147,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op9_url_filter": op9_url_filter,
