@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, line_dedup, quality, secrets, spm, token_counts, toxicity, url_filter
-from .common import crc_fold
+from . import decontaminate, line_dedup, quality, secrets, spm, token_counts, token_files, toxicity, url_filter
+from .common import crc_fold, shared_folder
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,13 @@ FROM f JOIN rt ON f.source IS NOT DISTINCT FROM rt.source
 """
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files below the shared folder and returns what is read back from them."""
+    folder = shared_folder(spark, "token-files")
+    base = token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, folder, base, with_ids=False)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
@@ -150,6 +157,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_token_files": op8_token_files,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }
