@@ -27,6 +27,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,42 +69,50 @@ class UnitEncoder:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
+        self.start = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
 
     def _encode_new(self, units: list[str]) -> None:
         """Words go to the library many at a time, one a line; units of white space alone."""
-        parts: list[np.ndarray] = [None] * len(units)
-        words = [i for i, u in enumerate(units) if self.line >= 0 and not u[-1].isspace() and "\n" not in u]
-        for k in range(0, len(words), 2000):
-            some = words[k:k + 2000]
+        start, count = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        parts, size, alone = [], len(self.ids), []
+        words = []
+        for i, u in enumerate(units):
+            (words if self.line >= 0 and not u[-1].isspace() else alone).append(i)
+        for k in range(0, len(words), 4000):
+            some = words[k:k + 4000]
             ids = np.array(self._ids("\n".join([units[i] for i in some])), dtype=np.uint32)
             cut = np.flatnonzero(ids == self.line)
-            pieces = np.split(ids, cut)
-            if len(pieces) == len(some):
-                for n, (i, p) in enumerate(zip(some, pieces)):
-                    parts[i] = p[1:] if n else p
-        for i, p in enumerate(parts):
-            if p is None:
-                parts[i] = np.array(self._ids(units[i]), dtype=np.uint32)
+            if len(cut) != len(some) - 1:
+                alone += some
+                continue
+            edges = np.concatenate(([-1], cut, [len(ids)]))
+            n = np.diff(edges) - 1
+            count[some] = n
+            start[some] = size + np.cumsum(n) - n
+            parts.append(np.delete(ids, cut))
+            size += len(parts[-1])
+        for i in alone:
+            parts.append(np.array(self._ids(units[i]), dtype=np.uint32))
+            start[i], count[i] = size, len(parts[-1])
+            size += len(parts[-1])
         self.ids = np.concatenate([self.ids, *parts])
-        self.count = np.concatenate([self.count, np.fromiter(map(len, parts), np.int64, len(parts))])
+        self.start = np.concatenate([self.start, start])
+        self.count = np.concatenate([self.count, count])
 
     def encode(self, rows: list[str]) -> list[np.ndarray]:
         if len(self.number) > MAX_UNITS:
             self._forget()
-        known, codes, sizes = self.number, [], []
-        for t in rows:
-            u = _UNIT.findall(t)
-            codes += [known.setdefault(x, len(known)) for x in u]
-            sizes.append(len(u))
+        known = self.number
+        units = [_UNIT.findall(t) for t in rows]
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        code = np.fromiter((known.setdefault(x, len(known)) for u in units for x in u), np.int64, int(sizes.sum()))
         if len(known) > len(self.count):
-            self._encode_new(list(known)[len(self.count):])
-        code = np.array(codes, dtype=np.int64)
-        start = np.cumsum(self.count) - self.count
-        count = self.count[code] if len(code) else np.empty(0, np.int64)
+            self._encode_new(list(islice(known, len(self.count), None)))
+        count = self.count[code]
         before = np.cumsum(count) - count
-        ids = self.ids[np.arange(int(count.sum())) + np.repeat(start[code] - before, count)] if len(code) else self.ids[:0]
-        ends = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)]
+        ids = self.ids[np.arange(int(count.sum())) + np.repeat(self.start[code] - before, count)]
+        ends = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(sizes)))]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
