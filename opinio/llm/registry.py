@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, line_dedup, quality, secrets, spm, token_counts, token_files, toxicity, url_filter
+from . import decontaminate, jaccard, line_dedup, quality, secrets, spm, token_counts, token_files, toxicity, url_filter
 from .common import crc_fold, shared_folder
 
 
@@ -47,6 +47,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(SENTENCEPIECE))
 
@@ -156,6 +160,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_url_filter": op9_url_filter,
