@@ -1,4 +1,95 @@
-STAGES = []
+"""A corpus pipeline over ``documents``: toxicity, line de-duplication, near-duplicate
+removal, benchmark decontamination, tokenisation.
+
+``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
+DataFrame, which is written as Parquet and read again as the next stage's ``docs``.  All stages but
+the last return the columns of their input.
+
+Defined cases, for every stage: an empty input gives an empty result; a null text counts as empty
+and stays null if the stage keeps the row unchanged; extra columns, whatever their names, are
+carried along; repeated rows are judged alike (near-duplicate removal keeps one of them).  Rows
+without an id are never removed as near duplicates, since the row that stays could not be named.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from opinio.llm import decontaminate, jaccard, line_dedup, spm, toxicity
+from opinio.llm.common import shared_folder
+from opinio.llm.registry import SENTENCEPIECE, tokenizer_path
+from opinio.sources.tables import table
+
+#: Not expressible in SQL (a trained model); tested against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def _row(docs: DataFrame, **changed):
+    """The carried row's columns, some of them replaced."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents with a toxicity score of at least one half go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, model, carry=True)
+    return scored.where(F.col("score") < 0.5).select(*_row(docs))
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: long lines found in five or more documents stay only in the largest id that has
+    them; ``n_chars`` follows the text."""
+    kept = line_dedup.dedup_lines(docs, carry=True)
+    cut = F.col("n_dropped") > 0
+    return kept.select(*_row(
+        docs, text=F.when(cut, F.col("text")).otherwise(F.col("row").getField("text")),
+        n_chars=F.when(cut, F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars"))))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of every group of linked documents the one with the smallest id stays."""
+    found = jaccard.near_duplicates(docs)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    stays = (found.where(alone | (F.col("doc_id") == F.col("component_id")))
+             .groupBy(F.when(~alone, F.col("component_id")).alias("group"), F.when(alone, F.col("doc_id")).alias("id"),
+                      F.when(alone, F.col("text_hash")).alias("hash"), alone.alias("all"))
+             .agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+             .select(F.col("one.doc_id").alias("of_doc"), F.col("one.text_hash").alias("of_hash"), "all"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    joined = rows.join(stays, F.col("id").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash")))
+    copy = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
+    return joined.withColumn("copy", copy).where(F.col("all") | (F.col("copy") == 1)).select(*_row(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents with at least one word in twenty inside a benchmark window go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.where(~F.col("contaminated")).select(*_row(docs))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: ids of every text, and the text decoded from them."""
+    out = spm.encode_texts(docs, tokenizer_path(SENTENCEPIECE), with_text=True, carry=True)
+    return out.select("doc_id", F.col("row").getField("lang").alias("lang"), F.col("row").getField("source").alias("source"),
+                      F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("text").alias("decoded"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_common_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", tokenise),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; every stage's result is written to the shared folder."""
+    folder = shared_folder(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

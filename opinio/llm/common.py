@@ -11,17 +11,25 @@ from pyspark.sql import functions as F
 
 from opinio.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "narrow", "texts", "strings", "sha256_hex", "shared_folder", "crc_fold"]
+__all__ = ["cut_lineage", "narrow", "row_type", "texts", "strings", "sha256_hex", "shared_folder", "crc_fold"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
-    """``(doc_id, text, ...)`` and nothing else: a null text becomes empty,
-    other columns of the input never reach an operator."""
+def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
+           **more: str) -> DataFrame:
+    """``(doc_id, text, ...)`` and nothing else: a null text becomes empty, other
+    columns of the input never reach an operator.  With ``carry`` the whole
+    input row goes along as the struct ``row``, where no name can clash."""
     return docs.select(F.col(id_col).alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       *[F.col(c).alias(n) for n, c in more.items()])
+                       *[F.col(c).alias(n) for n, c in more.items()],
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+
+
+def row_type(source: DataFrame) -> str:
+    """``, row struct<...>`` for a schema string, if the input row is carried."""
+    return f", row {source.schema['row'].dataType.simpleString()}" if "row" in source.columns else ""
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, narrow, texts
+from .common import cut_lineage, narrow, row_type, texts
 
 WINDOW = 13
 CHUNK_WORDS = 1 << 16
@@ -208,21 +208,25 @@ def _merge(spans) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  one_in: int = 20, max_words: int = MAX_WORDS, with_text: bool = False) -> DataFrame:
+                  one_in: int = 20, max_words: int = MAX_WORDS, with_text: bool = False,
+                  carry: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_words, word_spans, char_spans, items,
     n_hit, n_items, contaminated`` (at least one word in ``one_in`` is hit), and
-    ``text`` if asked for."""
+    ``text`` or the input row (``carry``) if asked for."""
     spark = docs.sparkSession
-    found = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = narrow(docs, id_col, text_col, carry)
+    row = ["row"] if carry else []
+    found = found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
+    schema = _SCHEMA + row_type(found)
     shards = _shards(benchmark, item_col, item_text_col, window, max_words)
     for first, last, items in shards:
         shared = spark.sparkContext.broadcast(SuffixAutomaton(items, window))
         if not first:                                        # a further pass: keep what was found
             found = cut_lineage(found)
-        found = found.mapInArrow(_pass(shared, first, with_text or not last), _SCHEMA)
+        found = found.mapInArrow(_pass(shared, first, with_text or not last), schema)
     n_hit = F.coalesce(F.aggregate("word_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]), F.lit(0))
     found = found.select("doc_id", *(["text"] if with_text else []), "n_words", "word_spans", "char_spans", "items",
-                         n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"))
+                         n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), *row)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) &
                             (F.col("n_hit") * one_in >= F.col("n_words")))
 
@@ -232,23 +236,25 @@ def _pass(shared, first: bool, keep_text: bool):
         automaton = shared.value
         for b in batches:
             rows = texts(b)
+            of = lambda name: b.column(b.schema.get_field_index(name))
+            row = [of("row")] if "row" in b.schema.names else []
             n_words, spans, chars, items = [], [], [], []
             for i, t in enumerate(rows):
                 words = words_of(t)
                 s, it = automaton.match(words)
                 if not first:
-                    s = _merge([*s, *((x["start"], x["end"]) for x in b.column(3)[i].as_py())])
-                    it = it | set(b.column(5)[i].as_py())
+                    s = _merge([*s, *((x["start"], x["end"]) for x in of("word_spans")[i].as_py())])
+                    it = it | set(of("items")[i].as_py())
                 n_words.append(len(words))
                 spans.append([{"start": x, "end": y} for x, y in s])
                 chars.append([{"start": x, "end": y} for x, y in _char_spans(t, s)] if s else [])
                 items.append(sorted(it))
-            text = (b.column(b.schema.get_field_index("text")).cast(pa.string()) if keep_text
+            text = (of("text").cast(pa.string()) if keep_text
                     else pa.nulls(b.num_rows, pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, _SPAN), pa.array(chars, _SPAN),
-                 pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "word_spans", "char_spans", "items"])
+                 pa.array(items, pa.list_(pa.string())), *row],
+                names=["doc_id", "text", "n_words", "word_spans", "char_spans", "items", *["row"] * len(row)])
     return run
 
 

@@ -104,13 +104,13 @@ def _total(rows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """``doc_id, text`` (kept lines), ``n_lines, n_dropped``: one row per input row.
+                min_docs: int = MIN_DOCS, batches: int = BATCHES, carry: bool = False) -> DataFrame:
+    """``doc_id, text`` (kept lines), ``n_lines, n_dropped`` (and the input row, if carried): one row per input row.
 
     ``batches`` deals the documents by id into that many batches, which together are all of them."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "lines")
-    rows = narrow(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    rows = narrow(docs, id_col, text_col, carry).withColumn("th", F.xxhash64("text"))
     lines = (rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
              .select("doc_id", "th", "pos", line_key(F.col("line")).alias("key"))
              .where(F.length("key") >= min_chars)
@@ -131,10 +131,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.array_sort(F.collect_set("pos")).alias("gone")))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("th") == F.col("of_th")), "left")
     none = F.array().cast("array<int>")
-    return joined.select("doc_id", F.struct(F.split("text", "\n").alias("lines"),
+    row = ["row"] if carry else []
+    return joined.select("doc_id", *row, F.struct(F.split("text", "\n").alias("lines"),
                                             F.coalesce("gone", none).alias("gone")).alias("x")) \
         .select("doc_id", _kept(F.col("x")).alias("text"), F.size("x.lines").cast("long").alias("n_lines"),
-                F.size("x.gone").cast("long").alias("n_dropped"))
+                F.size("x.gone").cast("long").alias("n_dropped"), *row)
 
 
 def _kept(x: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, strings
+from .common import narrow, row_type, strings
 from .pieces import SPACE, PieceModel, _spread
 
 _P = np.uint64(0x100000001B3)
@@ -202,9 +202,9 @@ def decode(ids: np.ndarray, model: PieceModel) -> str:
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_text: bool = False) -> DataFrame:
-    """``doc_id, ids`` (and the decoded ``text``), one row per input row."""
-    source = narrow(docs, id_col, text_col)
+                 with_text: bool = False, carry: bool = False) -> DataFrame:
+    """``doc_id, ids`` (and the decoded ``text``, and the input row, if carried), one row per input row."""
+    source = narrow(docs, id_col, text_col, carry)
     kind = source.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
@@ -220,9 +220,11 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 out = [b.column(0).slice(k, len(part)), lists]
                 if with_text:
                     out.append(pa.array([decode(ids[x:y], shared.value) for x, y in zip(ends[:-1], ends[1:])], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "text"][:len(out)])
+                names = ["doc_id", "ids", "text"][:len(out)] + ["row"] * carry
+                yield pa.RecordBatch.from_arrays([*out, *[c.slice(k, len(part)) for c in b.columns[2:]]], names=names)
 
-    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", text string" if with_text else ""))
+    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", text string" if with_text else "")
+                             + row_type(source))
 
 
 def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

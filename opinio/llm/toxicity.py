@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, narrow, strings
+from .common import crc_fold, narrow, row_type, strings
 
 SEQUENCE = 128
 #: bounds of the fitting sample: documents of at most so many code points, so many of each kind
@@ -262,9 +262,9 @@ def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
-                least: float = 0.5) -> DataFrame:
-    """``doc_id, score, spans``: one row per input row."""
-    source = narrow(docs, id_col, text_col)
+                least: float = 0.5, carry: bool = False) -> DataFrame:
+    """``doc_id, score, spans`` (and the input row, if carried): one row per input row."""
+    source = narrow(docs, id_col, text_col, carry)
     kind = source.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -278,6 +278,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
                 spans = [_spans(t, p, least) if len(p) and p.max() >= least else [] for t, p in zip(part, marginals)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(k, len(part)), pa.array([shared.value.score(p) for p in marginals], pa.float64()),
-                     pa.array(spans, _SPAN)], names=["doc_id", "score", "spans"])
+                     pa.array(spans, _SPAN), *[c.slice(k, len(part)) for c in b.columns[2:]]],
+                    names=["doc_id", "score", "spans", *(["row"] if carry else [])])
 
-    return source.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:long,end:long>>")
+    return source.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:long,end:long>>{row_type(source)}")
