@@ -24,6 +24,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,36 +42,48 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(_STRIP)), UPPER, UPPER.lower())
 
 
+class Run(NamedTuple):
+    rows: DataFrame                                          # bucketed and sorted
+    path: str
+
+
 class LineRuns:
     """The runs: ``h1, h2, n_docs, last`` (documents holding the key, largest id)."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int, fanout: int = 2):
         self.spark, self.folder, self.buckets, self.fanout = spark, folder, buckets, fanout
-        self.levels: list[list[DataFrame]] = [[]]            # new keys: a key is in one run only
-        self.updates: list[list[DataFrame]] = [[]]           # further documents of known keys
+        self.levels: list[list[Run]] = [[]]                  # new keys: a key is in one run only
+        self.updates: list[list[Run]] = [[]]                 # further documents of known keys
 
-    def _run(self, rows: DataFrame) -> DataFrame:
+    def _run(self, rows: DataFrame) -> Run:
         """Write a sorted run; the table entry only carries the bucketing to the reader."""
         name = f"line_run_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}"
         (rows.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
-         .option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name))
+         .option("path", path).format("parquet").saveAsTable(name))
         run = self.spark.table(name)
         run.schema                                           # resolve before the entry goes; files stay
         self.spark.sql(f"DROP TABLE {name}")
-        return run
+        return Run(run, path)
+
+    def _all(self, runs: list[Run]) -> DataFrame:
+        """Several runs as one table.  Read as plain files: a union of bucketed tables claims to be
+        distributed by key (Spark 4.1), and an aggregate over it would not bring a key's rows together."""
+        return self.spark.read.schema(runs[0].rows.schema).parquet(*[r.path for r in runs])
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: ``h1, h2, doc_id`` rows of documents that no earlier batch held."""
         one_each = keys.select(*_KEY, "doc_id").distinct()     # spreads a hot line over its documents
         batch = self._run(one_each.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")))
+        known = [r for level in self.levels for r in level]
         fresh = batch
-        for run in (r for level in self.levels for r in level):
-            fresh = fresh.join(run.select(*_KEY), _KEY, "left_anti")
-        known = any(self.levels)
-        fresh = self._run(fresh) if known else batch
-        self.levels[0].append(fresh)
         if known:
-            self.updates[0].append(self._run(batch.join(fresh.select(*_KEY), _KEY, "left_anti")))
+            unseen = batch.rows
+            for run in known:
+                unseen = unseen.join(run.rows.select(*_KEY), _KEY, "left_anti")
+            fresh = self._run(unseen)
+            self.updates[0].append(self._run(batch.rows.join(fresh.rows.select(*_KEY), _KEY, "left_anti")))
+        self.levels[0].append(fresh)
         self._compact()
 
     def _compact(self) -> None:
@@ -80,23 +93,16 @@ class LineRuns:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                     self.updates.append([])
-                self.levels[k + 1].append(self._run(_union(self.levels[k])))
+                self.levels[k + 1].append(self._run(self._all(self.levels[k])))
                 if self.updates[k]:
-                    self.updates[k + 1].append(self._run(_total(_union(self.updates[k]))))
+                    self.updates[k + 1].append(self._run(_total(self._all(self.updates[k]))))
                 self.levels[k], self.updates[k] = [], []
             k += 1
 
     def totals(self) -> DataFrame:
         """One row per key over all batches."""
         runs = [r for side in (self.levels, self.updates) for level in side for r in level]
-        return _total(_union(runs))
-
-
-def _union(runs: list[DataFrame]) -> DataFrame:
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
+        return _total(self._all(runs))
 
 
 def _total(rows: DataFrame) -> DataFrame:
