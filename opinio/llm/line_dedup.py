@@ -29,7 +29,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, narrow, shared_folder
+from .common import UPPER, cut_lineage, narrow, shared_folder
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select(*_KEY, "doc_id"))
-    common = runs.totals().where(F.col("n_docs") >= min_docs).select(*_KEY, "last")
+    # written, so that the join below exchanges both sides and can split the lines of a hot key
+    common = cut_lineage(runs.totals().where(F.col("n_docs") >= min_docs).select(*_KEY, "last"))
 
     # (doc_id, th) names a row; of rows that repeat, both lose the same lines
     gone = (lines.join(common, _KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))
