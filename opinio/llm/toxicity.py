@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +39,7 @@ from .common import crc_fold, narrow, row_type, strings
 SEQUENCE = 128
 #: bounds of the fitting sample: documents of at most so many code points, so many of each kind
 MAX_CHARS = 20_000
-MAX_TOXIC, MAX_CLEAN, MAX_CALIBRATION = 1500, 3000, 2500
+MAX_TOXIC, MAX_CLEAN, MAX_CALIBRATION = 1000, 2000, 2000
 MAX_WORDS_KEPT = 1_000_000
 _WORD = re.compile(r"\w+")
 
@@ -139,63 +138,78 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, math.log1p(total), float(p.max()), math.log1p(100 * total / len(p))])
 
 
-def _token_labels(docs: list[tuple[list[list[str]], int]], known: dict[str, list[str]]) -> set[str]:
-    """Forms that are significantly more frequent (by documents) in toxic than in clean documents."""
-    seen = {0: defaultdict(int), 1: defaultdict(int)}
-    total = [0, 0]
-    for seqs, label in docs:
-        total[label] += 1
-        words = {w for s in seqs for w in s}
-        for f in {f for w in words for f in known[w]}:
-            seen[label][f] += 1
-    out = set()
-    for f, n1 in seen[1].items():
-        n0 = seen[0].get(f, 0)
-        odds = math.log((n1 + 0.5) / (total[1] + 1)) - math.log((n0 + 0.5) / (total[0] + 1))
-        if n1 >= 6 and odds - 2 * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5)) > math.log(2.5):
-            out.add(f)
-    return out
-
-
-def fit_chain(docs: list[tuple[list[list[str]], int]], steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ToxicityModel:
+class _Sample:
+    """Labelled documents as arrays: word numbers, sequence sizes, and the forms of every word."""
+
+    def __init__(self, docs: list[tuple[str, int]]):
+        numbers: dict[str, int] = {}
+        tokens, sizes, per_doc = [], [], []
+        for text, _ in docs:
+            seqs = sequences(text)
+            tokens.append(np.array([numbers.setdefault(w, len(numbers)) for s in seqs for w in s], dtype=np.int32))
+            sizes.append(np.array([len(s) for s in seqs], dtype=np.int32))
+            per_doc.append(len(tokens[-1]))
+        self.n_words, self.tokens = len(numbers), np.concatenate([np.empty(0, np.int32), *tokens])
+        self.sizes = np.concatenate([np.empty(0, np.int32), *sizes]).astype(np.int64)
+        self.per_doc, self.labels = np.array(per_doc, dtype=np.int64), np.array([y for _, y in docs], dtype=np.int64)
+        self.forms: dict[str, int] = {}
+        counts, flat = np.zeros(self.n_words, dtype=np.int64), []
+        for i, w in enumerate(numbers):
+            own = [self.forms.setdefault(f, len(self.forms)) for f in forms(w)]
+            counts[i] = len(own)
+            flat.append(np.array(own, dtype=np.int32))
+        self.flat = np.concatenate([np.empty(0, np.int32), *flat])
+        self.of_word = np.repeat(np.arange(self.n_words, dtype=np.int32), counts)
+        self.first = np.cumsum(counts) - counts
+        self.counts = counts
+
+    def toxic_forms(self) -> np.ndarray:
+        """Forms that are significantly more frequent (by documents) in toxic than in clean documents."""
+        n = np.zeros((2, len(self.forms)))
+        at = np.concatenate(([0], np.cumsum(self.per_doc)))
+        for y, a, b in zip(self.labels, at, at[1:]):
+            words = np.unique(self.tokens[a:b])
+            c = self.counts[words]
+            own = self.flat[np.arange(int(c.sum())) + np.repeat(self.first[words] - (np.cumsum(c) - c), c)]
+            n[y, np.unique(own)] += 1
+        total = np.bincount(self.labels, minlength=2)
+        odds = np.log((n[1] + 0.5) / (total[1] + 1)) - np.log((n[0] + 0.5) / (total[0] + 1))
+        return (n[1] >= 6) & (odds - 2 * np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5)) > math.log(2.5))
+
+
+def fit_chain(docs: list[tuple[str, int]], steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ToxicityModel:
     """Steps 1 and 2: token labels, then the chain's weights."""
-    words = sorted({w for seqs, _ in docs for s in seqs for w in s})
-    known = {w: forms(w) for w in words}
-    marked = _token_labels(docs, known)
-    if not marked:
+    sample = _Sample(docs)
+    marked = sample.toxic_forms()
+    if not marked.any():
         return ToxicityModel()
-    counts: dict[str, int] = defaultdict(int)
-    for w in words:
-        for f in known[w]:
-            counts[f] += 1
-    ids = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 2 or f in marked))}
-    number = {w: i for i, w in enumerate(words)}
-    feats = [[ids[f] for f in known[w] if f in ids] for w in words]
-    of_word = np.repeat(np.arange(len(words)), [len(f) for f in feats])
-    flat = np.array([i for f in feats for i in f], dtype=np.int64)
-    toxic_word = np.array([any(f in marked for f in known[w]) for w in words])
-    token = np.array([number[w] for seqs, _ in docs for s in seqs for w in s], dtype=np.int64)
-    sizes = np.array([len(s) for seqs, _ in docs for s in seqs], dtype=np.int64)
-    label = np.repeat([y for _, y in docs], [sum(map(len, seqs)) for seqs, _ in docs])
+    token, sizes, n_words = sample.tokens, sample.sizes, sample.n_words
+    used = (np.bincount(sample.flat, minlength=len(marked)) >= 2) | marked
+    here = used[sample.flat]
+    of_word, flat = sample.of_word[here], (np.cumsum(used) - 1)[sample.flat[here]]
+    n_forms = int(used.sum())
+    toxic_word = np.bincount(sample.of_word[marked[sample.flat]], minlength=n_words) > 0
+    label = np.repeat(sample.labels, sample.per_doc)
     y = (toxic_word[token] & (label == 1)).astype(float)
     last = np.zeros(len(token), dtype=bool)
     last[np.cumsum(sizes) - 1] = True
     pair = np.flatnonzero(~last)                              # tokens that have a successor
     seen = np.array([[np.sum((1 - y[pair]) * (1 - y[pair + 1])), np.sum((1 - y[pair]) * y[pair + 1])],
                      [np.sum(y[pair] * (1 - y[pair + 1])), np.sum(y[pair] * y[pair + 1])]])
-    w, bias, trans = np.zeros(len(ids)), -5.0, np.zeros((2, 2))
-    g2w, g2b, g2t = np.full(len(ids), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    for _ in range(steps):                                    # AdaGrad on the mean log likelihood
-        emission = bias + np.bincount(of_word, weights=w[flat], minlength=len(words))
+    w, bias, trans = np.zeros(n_forms), -5.0, np.zeros((2, 2))
+    g2w, g2b, g2t = np.full(n_forms, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    for _ in range(steps):                                    # AdaGrad on the log likelihood
+        emission = bias + np.bincount(of_word, weights=w[flat], minlength=n_words)
         odds = np.exp(np.clip(emission, -30, 30))[token]
         a = np.exp(trans)
         p, fwd, bwd = forward_backward(odds, sizes, a)
         residual = y - p
-        by_word = np.bincount(token, weights=residual, minlength=len(words))
-        gw = np.bincount(flat, weights=by_word[of_word], minlength=len(ids)) - l2 * len(token) * w
+        by_word = np.bincount(token, weights=residual, minlength=n_words)
+        gw = np.bincount(flat, weights=by_word[of_word], minlength=n_forms) - l2 * len(token) * w
         x, r = odds[pair + 1] * bwd[pair + 1], fwd[pair]
-        cells = np.stack([np.full(len(pair), a[0, 0]), a[0, 1] * x, a[1, 0] * r, a[1, 1] * r * x])
-        expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        whole = a[0, 0] + a[0, 1] * x + a[1, 0] * r + a[1, 1] * r * x
+        expected = np.array([[np.sum(a[0, 0] / whole), np.sum(a[0, 1] * x / whole)],
+                             [np.sum(a[1, 0] * r / whole), np.sum(a[1, 1] * r * x / whole)]])
         gt, gb = seen - expected, residual.sum()
         g2w += gw ** 2
         g2b += gb ** 2
@@ -203,18 +217,19 @@ def fit_chain(docs: list[tuple[list[list[str]], int]], steps: int = 60, rate: fl
         w += rate * gw / np.sqrt(g2w)
         bias += rate * gb / math.sqrt(g2b)
         trans += rate * gt / np.sqrt(g2t)
-    keep = np.abs(w) > 1e-6
-    return ToxicityModel({f: float(w[i]) for f, i in ids.items() if keep[i]}, float(bias), np.exp(trans))
+    weights = {f: float(w[i]) for f, i in zip((f for f, k in zip(sample.forms, used) if k), range(n_forms)) if abs(w[i]) > 1e-6}
+    return ToxicityModel(weights, float(bias), np.exp(trans))
 
 
-def calibrate(model: ToxicityModel, docs: list[tuple[list[list[str]], int]], rounds: int = 25, l2: float = 0.1) -> None:
+def calibrate(model: ToxicityModel, docs: list[tuple[str, int]], rounds: int = 25, l2: float = 0.1) -> None:
     """Step 3: logistic regression by Newton steps."""
     y = np.array([label for _, label in docs], dtype=float)
     prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     model.calibrator = np.array([prior, 0.0, 0.0, 0.0])
     if not model.weights or y.min(initial=1) == y.max(initial=0):
         return
-    x = np.array([summary(p) for p in model.marginals([d for d, _ in docs], {})])
+    known: dict[str, float] = {}
+    x = np.array([summary(model.marginals([sequences(t)], known)[0]) for t, _ in docs])
     c = model.calibrator.copy()
     shrink = np.array([0.0, l2, l2, l2])
     for _ in range(rounds):
@@ -234,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def sample(where, n: int):
         got = rows.where(where).orderBy("h", "text").limit(n).select("text", "toxic").collect()
-        return [(sequences(r.text), r.toxic) for r in got]
+        return [(r.text, r.toxic) for r in got]
 
     chain = F.col("fold") != 4
     model = fit_chain(sample(chain & (F.col("toxic") == 1), MAX_TOXIC) + sample(chain & (F.col("toxic") == 0), MAX_CLEAN))
