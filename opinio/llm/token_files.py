@@ -39,17 +39,18 @@ from .common import narrow, strings
 
 END = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 5
-RULES_PER_ROUND = 1024
+ROUNDS = 3
+RULES_PER_ROUND = 2048
 LEAST_COUNT = 8
 #: units remembered by a task; beyond it the memory starts anew
 MAX_UNITS = 1_000_000
 
 # White space as the tokenizer's pattern sees it.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The tokenizer's pattern always cuts where these units meet: a word keeps one leading space, and of a
-#: longer run of white space the last character stands apart from the rest.
-_UNIT = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The tokenizer's pattern always cuts where these units meet: a word keeps one leading space, a run of
+#: Latin letters ends before common punctuation (not before an apostrophe, which may be a contraction),
+#: and of a longer run of white space the last character stands apart from the rest.
+_UNIT = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?|&$%*#()<>/{_WS}-]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
 class UnitEncoder:
@@ -116,7 +117,18 @@ class UnitEncoder:
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _bins(key: np.ndarray, bits: int = 20) -> np.ndarray:
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> UnitEncoder:
+    """One encoder per Python worker, so that the units of one task are known to the next."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_json] = UnitEncoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
+
+def _bins(key: np.ndarray, bits: int = 18) -> np.ndarray:
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -131,7 +143,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, p
         key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         inside = ~ends[:-1]
         bins = _bins(key)
-        counts = np.bincount(bins[inside], minlength=1 << 20)
+        counts = np.bincount(bins[inside], minlength=1 << 18)
         # candidates by hashed counts (never below the true count), then exact counts
         floor = max(least, int(np.partition(counts, -4 * per_round)[-4 * per_round]))
         maybe = inside & (counts >= floor)[bins]
@@ -231,7 +243,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
     shared = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = UnitEncoder(shared.value), TaskContext.get().partitionId(), 0
+        encoder, part, shard = _encoder(shared.value), TaskContext.get().partitionId(), 0
         ids, tokens, size = [], [], 0
         stop = np.array([end], dtype=np.uint32)
         for b in batches:
