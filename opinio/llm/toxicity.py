@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, narrow, row_type, strings
+from .common import crc_fold, cut_lineage, narrow, row_type, strings
 
 SEQUENCE = 128
 #: bounds of the fitting sample: documents of at most so many code points, so many of each kind
@@ -243,13 +243,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_id_col: str = "doc_id", label_col: str = "toxic") -> ToxicityModel:
     known = labels.select(F.col(label_id_col).alias("of"), F.col(label_col).cast("int").alias("toxic")) \
         .where(F.col("toxic").isin(0, 1)).groupBy("of").agg(F.max("toxic").alias("toxic"))
-    rows = narrow(docs, id_col, text_col).join(known, F.col("doc_id") == F.col("of")).withColumn("fold", crc_fold()) \
-        .where((F.col("fold") != 0) & (F.length("text") <= MAX_CHARS)) \
-        .select("text", "toxic", "fold", F.xxhash64("text").alias("h")).dropDuplicates(["h", "toxic"])
+    source = narrow(docs, id_col, text_col)
+    # chosen by hashes alone, so that only the sample's texts leave their files; one of several equal texts
+    keys = source.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    rows = cut_lineage(keys.where(F.col("n") <= MAX_CHARS).join(known, F.col("doc_id") == F.col("of"))
+                       .withColumn("fold", crc_fold()).where(F.col("fold") != 0)
+                       .groupBy("h", "toxic").agg(F.min(F.struct("doc_id", "fold")).alias("one"))
+                       .select("h", "toxic", "one.doc_id", "one.fold"))
 
     def sample(where, n: int):
-        got = rows.where(where).orderBy("h", "text").limit(n).select("text", "toxic").collect()
-        return [(r.text, r.toxic) for r in got]
+        some = rows.where(where).orderBy("h", "toxic", "doc_id").limit(n)
+        some = some.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "toxic")
+        got = (source.withColumn("h", F.xxhash64("text"))
+               .join(F.broadcast(some), (F.col("doc_id") == F.col("of")) & (F.col("h") == F.col("of_h")))   # n rows at most
+               .select("h", "toxic", "doc_id", "text").distinct().collect())
+        return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.h, r.toxic))]
 
     chain = F.col("fold") != 4
     model = fit_chain(sample(chain & (F.col("toxic") == 1), MAX_TOXIC) + sample(chain & (F.col("toxic") == 0), MAX_CLEAN))
