@@ -18,7 +18,7 @@ def _c(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Whitespace strip on both ends (not only blanks, unlike ``trim``)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
 
 
 def overall_rating_text(c) -> Column:

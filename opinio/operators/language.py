@@ -3,8 +3,9 @@
 Language id is a Spark ML job: character trigrams of the whole text,
 hashed (``HashingTF``, fixed feature size), classified by multinomial
 ``NaiveBayes`` trained on labelled text (``documents(text, lang)``).
-Translation is a lookup in a translation memory ``(text_hash, translated)``
-joined on ``xxhash64(text)``; text without an entry passes through.
+Translation is a lookup in a translation memory ``(text, translated)`` joined
+on the text itself; English text never enters the join, and text without an
+entry passes through.
 """
 
 from __future__ import annotations
@@ -15,28 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def char_trigrams(text: Column, prefix: int | None = None) -> Column:
-    """Overlapping character trigrams of the lower-cased text (of its first
-    ``prefix`` characters only when a caller asks for that), found in one
+def char_trigrams(text: Column) -> Column:
+    """Overlapping character trigrams of the lower-cased text, found in one
     linear regex pass: a zero-width look-ahead captures each 3-character
     window.  Texts shorter than 3 characters give themselves."""
-    x = F.lower(text if prefix is None else F.substring(text, 1, prefix))
+    x = F.lower(text)
     grams = F.regexp_extract_all(x, F.lit(r"(?s)(?=(.{3}))"), 1)
     return F.when(F.length(x) >= 3, grams).otherwise(F.array(x))
 
 
 def train_language_model(labelled: DataFrame, text: str = "text", label: str = "lang",
-                         prefix: int | None = None, features: int = 1 << 16, smoothing: float = 1.0):
-    data = labelled.select(char_trigrams(F.col(text), prefix).alias("grams"), F.col(label).alias("lang"))
+                         features: int = 1 << 16, smoothing: float = 1.0):
+    data = labelled.select(char_trigrams(F.col(text)).alias("grams"), F.col(label).alias("lang"))
     idx = StringIndexer(inputCol="lang", outputCol="label", handleInvalid="skip").fit(data)
     tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=features)
     nb = NaiveBayes(modelType="multinomial", smoothing=smoothing).fit(tf.transform(idx.transform(data)))
-    return (tf, nb, list(idx.labels)), prefix
+    return tf, nb, list(idx.labels)
 
 
-def identify_language(df: DataFrame, model_and_prefix, text: str = "text_raw", out: str = "lang") -> DataFrame:
-    (tf, nb, labels), prefix = model_and_prefix
-    scored = nb.transform(tf.transform(df.withColumn("grams", char_trigrams(F.col(text), prefix))))
+def identify_language(df: DataFrame, model, text: str = "text_raw", out: str = "lang") -> DataFrame:
+    tf, nb, labels = model
+    scored = nb.transform(tf.transform(df.withColumn("grams", char_trigrams(F.col(text)))))
     scored = IndexToString(inputCol="prediction", outputCol=out, labels=labels).transform(scored)
     return scored.drop("grams", "features", "rawPrediction", "probability", "prediction")
 
@@ -44,10 +44,15 @@ def identify_language(df: DataFrame, model_and_prefix, text: str = "text_raw", o
 def translate_with_memory(df: DataFrame, memory: DataFrame, text: str = "text_raw", lang: str = "lang",
                           out: str = "text_en") -> DataFrame:
     """CLN11-12: English text stays; other text is replaced by its entry in
-    ``memory(text_hash, translated)`` when there is one.  The memory grows
-    with the corpus, so this is a shuffle join on the hash (no broadcast)."""
-    keyed = df.withColumn("_h", F.xxhash64(text))
-    mem = memory.select(F.col("text_hash").alias("_h"), F.col("translated").alias("_tr")).dropDuplicates(["_h"])
-    res = keyed.join(mem, "_h", "left")
-    return res.withColumn(out, F.when(F.col(lang) == "en", F.col(text)).otherwise(F.coalesce("_tr", F.col(text)))) \
-              .drop("_h", "_tr")
+    ``memory(text, translated)`` when there is one (several: the smallest).
+
+    The memory grows with the corpus, so this is a shuffle join on the SHA-256
+    of the text, tested on the text itself; English rows stay out of it."""
+    key = F.sha2(F.col(text), 256)
+    mem = (memory.where(F.col("text").isNotNull() & F.col("translated").isNotNull())
+           .groupBy(F.sha2("text", 256).alias("_mh"), F.col("text").alias("_mt")).agg(F.min("translated").alias("_tr")))
+    english = df.where(F.coalesce(F.col(lang) == "en", F.lit(False)))
+    other = df.where(~F.coalesce(F.col(lang) == "en", F.lit(False))).withColumn("_h", key)
+    found = (other.join(mem, (F.col("_h") == F.col("_mh")) & (F.col(text) == F.col("_mt")), "left")
+             .withColumn(out, F.coalesce("_tr", F.col(text))).drop("_h", "_mh", "_mt", "_tr"))
+    return english.withColumn(out, F.col(text)).unionByName(found)

@@ -50,14 +50,15 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:            #
 
 
 def describe_text(df: DataFrame, cols: list[str]) -> DataFrame:               # PRF5
-    """count, distinct, most frequent value (ties: smallest) and its count."""
-    out = None
-    for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("freq"))
-        top = counts.agg(
-            F.sum("freq").alias("count"), F.count(F.lit(1)).alias("unique"),
-            F.min_by(F.col(c), F.struct(-F.col("freq"), F.col(c))).alias("top"),
-            F.max("freq").alias("freq"))
-        one = top.select(F.lit(c).alias("column_name"), "count", "unique", "top", "freq")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """count, distinct, most frequent value (ties: smallest) and its count.
+
+    One pass: every (column, value) is counted together, with partial counts
+    before the shuffle.  A column without values has count 0 and no top."""
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])))
+    # a null value keeps its column in the result but counts nothing
+    counts = values.groupBy("column_name", "v").agg(F.count("v").alias("freq"))
+    return (counts.groupBy("column_name")
+            .agg(F.sum("freq").alias("count"), F.count("v").alias("unique"),
+                 F.min_by("v", F.when(F.col("v").isNotNull(), F.struct(-F.col("freq"), F.col("v")))).alias("top"),
+                 F.when(F.count("v") > 0, F.max("freq")).alias("freq")))

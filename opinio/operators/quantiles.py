@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from opinio.session import cut_lineage
 
 BUCKETS = 1024
-MAX_ROUNDS = 80
 
 
 def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -53,14 +52,14 @@ def kth_smallest(vals: DataFrame, cols: list[str], ranks: dict[str, list[int]],
                 done[(c, r)] = mn
             else:
                 state[(c, r)] = [mn, mx, 0]
-    for _ in range(MAX_ROUNDS):
-        if not state:
-            break
+    while state:                # a round always parts the smallest from the largest value, so this ends
         tgt = spark.createDataFrame(
             [(c, r, lo, hi) for (c, r), (lo, hi, _b) in state.items()],
             "c string, r long, lo double, hi double")
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("x") - F.col("lo")) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        half = F.col("hi") / 2 - F.col("lo") / 2              # halves: the full width may overflow
+        share = (F.col("x") / 2 - F.col("lo") / 2) / F.greatest(half, F.lit(5e-324))
+        bucket = (F.when(F.col("x") == F.col("hi"), BUCKETS - 1).when(F.col("x") == F.col("lo"), 0)
+                  .otherwise(F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))).cast("int"))
         hist = (vals.join(F.broadcast(tgt), "c")
                 .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
                 .groupBy("c", "r", bucket.alias("b"))
@@ -82,8 +81,6 @@ def kth_smallest(vals: DataFrame, cols: list[str], ranks: dict[str, list[int]],
                         state[key] = [bmin, bmax, below + acc]
                     break
                 acc += n
-    if state:
-        raise RuntimeError("quantile refinement did not converge")
     return done
 
 
@@ -95,11 +92,16 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quantiles_from_long(vals: DataFrame, cols: list[str], probs: list[float]) -> dict[str, float | None]:
-    """``{col}|q{p}`` -> value from the long table."""
-    got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in
-           vals.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
-                                 F.max("x").alias("mx")).collect()}
-    stats = {c: got.get(c, (0, None, None)) for c in cols}
+    """``{col}|q{p}`` -> value from the long table.  Infinite values are counted, and only the finite
+    ones are searched; between two different values of which one is infinite, the quantile is the upper one."""
+    inf = F.lit(float("inf"))
+    finite = (F.col("x") != inf) & (F.col("x") != -inf)
+    got = {r["c"]: r for r in
+           vals.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == -inf).alias("low"),
+                                 F.count_if(finite).alias("mid"), F.min(F.when(finite, F.col("x"))).alias("mn"),
+                                 F.max(F.when(finite, F.col("x"))).alias("mx")).collect()}
+    vals = vals.where(finite)
+    stats = {c: (got[c]["n"], got[c]["mn"], got[c]["mx"]) if c in got else (0, None, None) for c in cols}
     ranks: dict[str, list[int]] = {}
     for c in cols:
         n = stats[c][0]
@@ -111,7 +113,19 @@ def quantiles_from_long(vals: DataFrame, cols: list[str], probs: list[float]) ->
             rs.add(int(math.floor(h)))
             rs.add(min(int(math.floor(h)) + 1, n - 1))
         ranks[c] = sorted(rs)
-    kth = kth_smallest(vals, cols, ranks, stats)
+    kth: dict[tuple[str, int], float] = {}
+    search: dict[str, list[int]] = {}
+    for c, rs in ranks.items():
+        low, mid = got[c]["low"], got[c]["mid"]
+        for r in rs:
+            if r < low:
+                kth[(c, r)] = float("-inf")
+            elif r >= low + mid:
+                kth[(c, r)] = float("inf")
+            else:
+                search.setdefault(c, []).append(r - low)
+    for (c, r), v in kth_smallest(vals, list(search), search, stats).items():
+        kth[(c, r + got[c]["low"])] = v
     out: dict[str, float | None] = {}
     for c in cols:
         n = stats[c][0]
@@ -123,7 +137,13 @@ def quantiles_from_long(vals: DataFrame, cols: list[str], probs: list[float]) ->
             lo_i = int(math.floor(h))
             hi_i = min(lo_i + 1, n - 1)
             v_lo, v_hi = kth[(c, lo_i)], kth[(c, hi_i)]
-            out[f"{c}|q{p}"] = float(v_lo + (v_hi - v_lo) * (h - lo_i))
+            if v_lo == v_hi or h == lo_i:
+                out[f"{c}|q{p}"] = float(v_lo)
+            elif math.isinf(v_lo) or math.isinf(v_hi):
+                out[f"{c}|q{p}"] = float(v_hi)
+            else:
+                out[f"{c}|q{p}"] = float(v_lo * (1 - (h - lo_i)) + v_hi * (h - lo_i)) if math.isinf(v_hi - v_lo) \
+                    else float(v_lo + (v_hi - v_lo) * (h - lo_i))
     return out
 
 

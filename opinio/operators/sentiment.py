@@ -36,13 +36,13 @@ are never shuffled.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import PUNCT_CLASS, split_words
-from opinio.operators.util import BROADCAST_MAX_ROWS
 
 UPPER_WORD = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
 NEVER_SO_SCALAR = 1.25
@@ -78,7 +78,10 @@ def word_info(spark: SparkSession, lexicon, boosters, negations) -> DataFrame:
                 rows[tok.lower()][1] = float(delta)
         for tok in negations:
             rows.setdefault(tok.lower(), [None, None, False])[2] = True
-        data = [(k, v[0], v[1], v[2]) for k, v in sorted(rows.items())]
+        # one literal array: a local relation, whose exact size the planner knows (a plain list would be
+        # an RDD of unknown size), so that it is broadcast by that size
+        data = pd.DataFrame([(k, v[0], v[1], v[2]) for k, v in sorted(rows.items())],
+                            columns=["token", "valence", "boost", "neg"])
         return spark.createDataFrame(data, "token string, valence double, boost double, neg boolean")
 
     def as_df(x, schema):
@@ -112,8 +115,7 @@ def _strip_edges(w: Column) -> Column:
     return F.when(F.length(core) <= 2, w).otherwise(core)
 
 
-def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = True,
-                   broadcast: bool = True) -> DataFrame:
+def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = True) -> DataFrame:
     """Raw token rows (key, capdiff, i, w, p1, p2, p3, n1) -> (key, v) for
     every token that carries valence, after all neighbour rules.
 
@@ -122,20 +124,19 @@ def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = Tru
     that hit the lexicon.  The first "but" of each review is a window min
     over its hit rows, which stays inside the partition (input partitioned
     by key)."""
-    bc = F.broadcast if broadcast else (lambda d: d)
-
     def side(k):
-        return bc(info.select(F.col("token").alias(f"{k}_tok"),
-                              F.col("valence").alias(f"{k}_val"),
-                              F.col("boost").alias(f"{k}_boost"),
-                              F.col("neg").alias(f"{k}_neg")))
+        return info.select(F.col("token").alias(f"{k}_tok"),
+                           F.col("valence").alias(f"{k}_val"),
+                           F.col("boost").alias(f"{k}_boost"),
+                           F.col("neg").alias(f"{k}_neg"))
 
     # tokens that score, plus "but" (its first position scales the others)
     scoring = (info.where(F.col("valence").isNotNull() & F.col("boost").isNull())
                .select(F.col("token").alias("lw"), "valence"))
-    but_row = (info.sparkSession.range(1).select(F.lit("but").alias("lw"), F.lit(None).cast("double").alias("valence"))
-               .join(bc(scoring.select("lw")), "lw", "left_anti"))   # unless "but" itself scores
-    hits_info = bc(scoring.unionByName(but_row))
+    # a second row for "but", should it score itself, only marks its place: rows without valence go below
+    but_row = info.sparkSession.createDataFrame(
+        pd.DataFrame({"lw": ["but"], "valence": [None]}), "lw string, valence double")
+    hits_info = scoring.unionByName(but_row)
     t = tokens_df.withColumn("w", _strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
     t = t.join(hits_info, "lw", "inner")
     # per review over its few hit rows only; rows are already partitioned by key
@@ -238,13 +239,12 @@ def score_sentiment(df: DataFrame, info: DataFrame, key: str = "review_key", tex
                     include_nt: bool = True) -> DataFrame:
     """Add ``Sentiment_Score`` and ``Polarity``; ``key`` must be unique per row.
 
-    The word table is broadcast only when a bounded probe shows it has at
-    most ``BROADCAST_MAX_ROWS`` rows (a word list); otherwise the token
-    joins are shuffle joins."""
-    small = info.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-    sums = (token_valences(explode_tokens(df, key, text), info, include_nt, broadcast=small)
+    The planner broadcasts the word table if its size in bytes (exact for
+    literal lists, the file size for a lexicon file) is under Spark's
+    broadcast threshold; otherwise the token joins are shuffle joins."""
+    sums = (token_valences(explode_tokens(df, key, text), info, include_nt)
             .groupBy("key").agg(F.sum("v").alias("_sum_s")))
-    out = df.join(sums.hint("shuffle_hash").withColumnRenamed("key", key), key, "left")
+    out = df.join(sums.withColumnRenamed("key", key), key, "left")
     out = out.withColumn(score_col, compound(F.col("_sum_s"), punctuation_emphasis(F.col(text)))).drop("_sum_s")
     return out.withColumn(label_col, polarity_label(F.col(score_col)))
 

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as TX
-from opinio.operators.util import broadcast_if_small
 
 
 def dictionary_from_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -32,14 +31,14 @@ def keep_dictionary_words(df: DataFrame, key: str, text: str, dictionary: DataFr
     out = out or text
     words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
     d = dictionary.select((F.col("word") if case_sensitive else F.lower("word")).alias("_dw")).distinct()
-    d = broadcast_if_small(d.withColumn("_ok", F.lit(True)))
+    d = d.withColumn("_ok", F.lit(True))                      # AQE broadcasts it if its measured size allows
     probe = F.col("w") if case_sensitive else F.lower("w")
     kept = (words.join(d, probe == F.col("_dw"), "left")
             .select("_k", "pos", F.when(F.col("_ok"), F.col("w")).otherwise(F.lit("")).alias("w")))
     rebuilt = (kept.groupBy("_k")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))),
                                              lambda s: s["w"]), " ").alias("_rebuilt")))
-    res = df.join(rebuilt.hint("shuffle_hash"), df[key] == rebuilt["_k"], "left")
+    res = df.join(rebuilt, df[key] == rebuilt["_k"], "left")
     return res.withColumn(out, F.coalesce(F.col("_rebuilt"), F.lit(""))).drop("_k", "_rebuilt")
 
 
@@ -48,7 +47,7 @@ def _deletions(w: Column, k: int) -> Column:
     def one(x):
         return F.array_union(F.array(x), F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
                                                      lambda i: F.concat(F.substring(x, F.lit(1), i - 1),
-                                                                        F.substring(x, i + 1, F.lit(1 << 20)))))
+                                                                        F.substring(x, i + 1, F.length(x)))))
     arr = F.array(w)
     for _ in range(k):
         arr = F.array_distinct(F.flatten(F.transform(arr, one)))
@@ -72,20 +71,15 @@ def best_suggestions(words: DataFrame, dictionary: DataFrame, max_distance: int
     pairs = (uv.join(dv, "v").select("word", "cand", "freq").distinct()
              .withColumn("dist", F.levenshtein("word", "cand", max_distance))
              .where(F.col("dist") >= 0))
-    return pairs.groupBy("word").agg(F.min_by("cand", F.struct("dist", -F.col("freq"), "cand")).alias("suggestion"))
+    best = pairs.groupBy("word").agg(F.min_by("cand", F.struct("dist", -F.col("freq"), "cand")).alias("suggestion"))
+    return u.join(best, "word", "left")                       # no candidate: a null suggestion
 
 
 def clean_chain(df: DataFrame, key: str, text: str, stop_words: list[str], dictionary: DataFrame | None = None,
                 order: str = "reference", out: str = "text_topic") -> DataFrame:
     """TXT8 in the reference order: punctuation, mentions, URLs, numbers,
     stop words, dictionary words, whitespace."""
-    x = F.col(text)
-    if order == "urls_first":
-        x = TX.remove_punctuation(TX.remove_mentions(TX.remove_urls(x)))
-    else:
-        x = TX.remove_urls(TX.remove_mentions(TX.remove_punctuation(x)))
-    x = TX.remove_stop_words(TX.remove_numbers(x), stop_words)
-    df = df.withColumn(out, x)
+    df = df.withColumn(out, TX.clean_steps(F.col(text), stop_words, order))
     if dictionary is not None:
         df = keep_dictionary_words(df, key, out, dictionary)
     return df.withColumn(out, TX.collapse_spaces(F.col(out)))

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from opinio import resources as R
 from opinio.functions.text import without_words
-from opinio.operators.util import broadcast_if_small
 from opinio.session import cut_lineage
 
 _FOLD_SRC, _FOLD_DST = R.accent_fold_table()
@@ -45,7 +44,7 @@ def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFr
     """Replace each token by its lemma from ``lemmas(form, lemma)``, order
     kept (explode with position, broadcast-checked join, rebuild)."""
     ex = df.select(F.col(key).alias("_k"), F.posexplode(tokens).alias("pos", "form"))
-    lem = broadcast_if_small(lemmas.dropDuplicates(["form"]))
+    lem = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
     rebuilt = (ex.join(lem, "form", "left")
                .select("_k", "pos", F.coalesce("lemma", "form").alias("t"))
                .groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))),
@@ -92,7 +91,7 @@ def vectorize(docs: DataFrame, tokens: str = "tokens"):
     vocab = docs.select(F.explode(tokens).alias("t")).distinct().count()
     cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=max(vocab, 1), minDF=1.0)
     model = cv.fit(docs)
-    vec = cut_lineage(model.transform(docs).where(F.size(tokens) > 0))
+    vec = cut_lineage(model.transform(docs))                  # documents without tokens stay (empty vector)
     return model, vec
 
 
@@ -114,7 +113,9 @@ def topic_terms(model, vocabulary: list[str], n: int = 10) -> DataFrame:
 
 def doc_topics(model, vec: DataFrame, key: str) -> DataFrame:                     # TOP6
     arr = vector_to_array("topicDistribution")
-    return (model.transform(vec).select(key, arr.alias("theta"))
+    even = F.transform(arr, lambda x: F.lit(1.0) / F.size(arr))   # a document without tokens: the prior's mean
+    total = F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
+    return (model.transform(vec).select(key, F.when(total > 0, arr).otherwise(even).alias("theta"))
             .withColumn("dominant_topic", (F.array_position("theta", F.array_max("theta")) - 1).cast("int")))
 
 
@@ -156,12 +157,12 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
     d = docs.select(F.col(key).alias("doc"), F.col(tokens).alias("t")).withColumn("L", F.size("t"))
     pos = d.select("doc", "L", F.posexplode("t").alias("p", "w")).join(tw, "w")
     max_s = F.greatest(F.col("L") - window, F.lit(0))
-    iv = pos.select("doc", "w", "L",
+    iv = pos.select("doc", "w", "L", "p",
                     F.when(F.col("L") < window, F.lit(0)).otherwise(F.greatest(F.col("p") - window + 1, F.lit(0))).alias("lo"),
                     F.when(F.col("L") < window, F.lit(0)).otherwise(F.least(F.col("p"), max_s)).alias("hi"))
     # merge overlapping intervals per (doc, word): consecutive positions give
     # nested/overlapping ranges; a new run starts where lo > running max(hi)+1
-    w_dw = Window.partitionBy("doc", "w").orderBy("lo", "hi")
+    w_dw = Window.partitionBy("doc", "w").orderBy("lo", "hi", "p")
     iv = iv.withColumn("_prev_hi", F.max("hi").over(w_dw.rowsBetween(Window.unboundedPreceding, -1)))
     iv = iv.withColumn("_new", F.when(F.col("_prev_hi").isNull() | (F.col("lo") > F.col("_prev_hi") + 1), 1).otherwise(0))
     iv = iv.withColumn("_run", F.sum("_new").over(w_dw.rowsBetween(Window.unboundedPreceding, 0)))
@@ -196,15 +197,19 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
           .withColumn("N", F.lit(n_windows)))
     ci, cj = F.coalesce("ci", F.lit(0)), F.coalesce("cj", F.lit(0))
     co = F.when(F.col("wi") == F.col("wj"), ci).otherwise(F.coalesce("co", F.lit(0)))
-    pij = co / F.col("N")
-    npmi = F.log((pij + eps) / ((ci / F.col("N")) * (cj / F.col("N")))) / (-F.log(pij + eps))
-    tp = tp.withColumn("npmi", npmi)
+    # a word that no document holds has no windows: its scores are defined as 0
+    pij = F.coalesce(F.try_divide(co, F.col("N")), F.lit(0.0))
+    joint = F.try_divide(ci, F.col("N")) * F.try_divide(cj, F.col("N"))
+    npmi = F.try_divide(F.log(F.try_divide(pij + eps, joint)), -F.log(pij + eps))
+    tp = tp.withColumn("npmi", F.coalesce(npmi, F.lit(0.0)))
     # context vectors: v_i[j] = npmi(i, j); v*[j] = sum_i npmi(i, j)
     star = tp.groupBy("topic", "wj").agg(F.sum("npmi").alias("s"))
     vec = tp.join(star, ["topic", "wj"])
     cos = (vec.groupBy("topic", "wi")
-           .agg((F.sum(F.col("npmi") * F.col("s")) /
-                 (F.sqrt(F.sum(F.col("npmi") * F.col("npmi"))) * F.sqrt(F.sum(F.col("s") * F.col("s"))))).alias("cos")))
+           .agg(F.coalesce(F.try_divide(
+               F.sum(F.col("npmi") * F.col("s")),
+               F.sqrt(F.sum(F.col("npmi") * F.col("npmi"))) * F.sqrt(F.sum(F.col("s") * F.col("s")))),
+               F.lit(0.0)).alias("cos")))
     per_topic = cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
     return per_topic
 

@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = O.unicode_space(sql)
         return fn
     return deco
 
@@ -123,7 +123,7 @@ def prf04(spark, sf):
     return P.describe_numeric(add_features(cleaned(spark, sf)), _DESC_COLS)
 
 
-_TEXT_DESC = ["Model", "Company", "Review_title", "Reviewer_name"]
+_TEXT_DESC = RAW_COLUMNS                                  # all nine are text before parsing
 
 
 def _describe_text_sql(rel, cols):
@@ -510,15 +510,32 @@ def _tokens_sql(x):
             f"AND NOT starts_with(t, '_') AND NOT list_contains({O.lit_list(STOP)}, t))")
 
 
+# One document per review: the key covers the whole row, so that reviews with the same text stay apart.
+def _amount(c):
+    return F.col(c).try_cast("decimal(24,6)").cast("string")
+
+
+def _doc_key():
+    return F.md5(F.concat_ws("\x1f", "Model", "Company", _amount("Overall_product_rating"),
+                             _amount("Overall_product_rating_count"), "Review_title", "Reviewer_name",
+                             _amount("Review_Rating"), "Review", _amount("Review_helpful_rating")))
+
+
+_DOC_KEY_SQL = "md5(concat_ws(chr(31), Model, Company, " + ", ".join(
+    f"CAST(CAST({c} AS DECIMAL(24,6)) AS VARCHAR)" if c.endswith(("rating", "count", "Rating")) else c
+    for c in ("Overall_product_rating", "Overall_product_rating_count", "Review_title", "Reviewer_name",
+              "Review_Rating", "Review", "Review_helpful_rating")) + "))"
+
+
 def _docs(spark, sf):
     """Topic corpus: one row per review (key, tokens)."""
     df = _chained(spark, sf)
-    return df.select(F.md5(F.concat("Model", F.lit("|"), "Title_and_Reviews")).alias("doc"),
+    return df.select(_doc_key().alias("doc"),
                      TP.topic_tokens(F.col("text_topic"), STOP).alias("tokens"))
 
 
 _DOCS_SQL = _chained_ctes() + f""",
-docs AS (SELECT md5(concat(Model, '|', Title_and_Reviews)) AS doc, {_tokens_sql('text_topic')} AS tokens FROM chained)"""
+docs AS (SELECT {_DOC_KEY_SQL} AS doc, {_tokens_sql('text_topic')} AS tokens FROM chained)"""
 
 
 @register("top01_topic_tokens", _DOCS_SQL + "\nSELECT doc, array_to_string(tokens, ' ') AS tokens FROM docs")
@@ -663,23 +680,41 @@ def _pages(spark, sf):
 _PK = (f"concat(regexp_extract(url, {O.lit(PG.PRODUCT_KEY_RE)}, 1), "
        f"regexp_replace(regexp_extract(url, {O.lit(PG.PRODUCT_KEY_RE)}, 2), '/$', ''))")
 _PAGE_NO = "coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT), 1)"
-_ARTICLE = f"regexp_extract(html, {O.lit(PG.ARTICLE_RE)}, 1)"
+# SQL by the rule, on strings alone: paragraphs start at <p>, end at </p> or the next <p>.
+_PARAS = ("list_transform(string_split(string_split(string_split(html, '<article>')[2], '</article>')[1], '<p>')[2:], "
+          "lambda p: string_split(p, '</p>')[1])")
+
+
+def _text_sql(x):
+    x = f"regexp_replace(replace({x}, '<br>', chr(10)), '<[^>]*>', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
 
 
 @register("src03_review_blocks", f"""
 WITH pf AS (SELECT page_id, {_PK} AS product_key, {_PAGE_NO} AS page_no,
    regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS Company,
-   CASE WHEN len(regexp_extract_all(html, {O.lit(PG.FOREIGN_BLOCK_MARKER)})) > 1
-        THEN regexp_extract(html, {O.lit(PG.TITLE_RE)}, 1) ELSE regexp_extract(html, {O.lit(PG.H1_RE)}, 1) END AS Model,
-   regexp_extract_all({_ARTICLE}, {O.lit(PG.PARAGRAPH_RE)}, 1) AS paras FROM pages),
+   string_split(string_split(html, '<h1>')[2], '</h1>')[1] AS Model, {_PARAS} AS paras FROM pages),
 b AS (SELECT page_id, product_key, page_no, Company, Model, unnest(paras) AS block,
       unnest(generate_series(0, len(paras) - 1)) AS block_no FROM pf)
-SELECT page_id, product_key, page_no, Company, Model, CAST(block_no AS INT) AS block_no, trim(block) AS Review,
-   coalesce(nullif(regexp_extract(block, {O.lit(PG.VOTES_RE)}, 0), ''), '0') AS Review_helpful_rating FROM b""")
+SELECT page_id, product_key, page_no, Company, Model, CAST(block_no AS INT) AS block_no, {_text_sql('block')} AS Review,
+   CASE WHEN contains(block, ' found this helpful') THEN regexp_extract(block, {O.lit(PG.VOTES_RE)}, 0) ELSE '0' END
+     AS Review_helpful_rating FROM b""")
 def src03(spark, sf):
     return PG.review_blocks(_pages(spark, sf))
 
 
+# Nothing of an article is lost: its characters outside tags, less the headline, are the blocks' characters.
+@register("src03b_article_characters", """
+SELECT CAST(sum(length(regexp_replace(string_split(string_split(html, '</h1>')[2], '</article>')[1], '<[^>]*>|[ \\t\\r\\n]+|&[a-z]+;', '', 'g')))
+            AS BIGINT) AS characters FROM pages""")
+def src03b(spark, sf):
+    blocks = PG.page_fields(_pages(spark, sf)).select(F.explode(PG.paragraphs(F.col("articles"))).alias("b"))
+    text = F.regexp_replace("b", r"<[^>]*>|[ \t\r\n]+|&[a-z]+;", "")
+    return blocks.agg(F.sum(F.length(text)).cast("long").alias("characters"))
+
+
 @register("src07_pages_until_last", f"""
 WITH pf AS (SELECT page_id, {_PK} AS product_key, {_PAGE_NO} AS page_no, contains(html, 'Next page') AS has_next FROM pages),
 last AS (SELECT product_key, min(page_no) AS last_page FROM pf WHERE NOT has_next GROUP BY product_key)
@@ -691,12 +726,11 @@ def src07(spark, sf):
 
 @register("src08_reviews_per_product", f"""
 WITH pf AS (SELECT page_id, {_PK} AS product_key, {_PAGE_NO} AS page_no, contains(html, 'Next page') AS has_next,
-   len(regexp_extract_all({_ARTICLE}, {O.lit(PG.PARAGRAPH_RE)}, 1)) AS n_blocks FROM pages),
+   len({_PARAS}) AS n_blocks FROM pages),
 last AS (SELECT product_key, min(page_no) AS last_page FROM pf WHERE NOT has_next GROUP BY product_key),
 kept AS (SELECT pf.* FROM pf LEFT JOIN last ON pf.product_key = last.product_key
          WHERE last_page IS NULL OR page_no <= last_page),
-per AS (SELECT product_key, sum(n_blocks) AS reviews, min(page_id) AS first_page FROM kept
-        WHERE n_blocks > 0 GROUP BY product_key)
+per AS (SELECT product_key, sum(n_blocks) AS reviews, min(page_id) AS first_page FROM kept GROUP BY product_key)
 SELECT product_key, CAST(reviews AS BIGINT) AS reviews, first_page,
   CAST(sum(reviews) OVER (ORDER BY first_page, product_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
     AS cumulative_reviews FROM per""")
@@ -717,18 +751,19 @@ def src09(spark, sf):
 SELECT count(*) AS pages, CAST(sum(length(regexp_extract(html, {O.lit(PG.TITLE_RE)}, 1))) AS BIGINT) AS title_chars,
   CAST(sum(len(regexp_extract_all(html, {O.lit(PG.LINK_HREF_RE)}, 1))) AS BIGINT) AS links,
   CAST(sum(len(regexp_extract_all(html, {O.lit(PG.LIST_ITEM_RE)}))) AS BIGINT) AS list_items,
-  CAST(sum(len(regexp_extract_all({_ARTICLE}, {O.lit(PG.PARAGRAPH_RE)}, 1))) AS BIGINT) AS paragraphs,
-  count(*) FILTER (WHERE length(trim({_ARTICLE})) = 0) AS empty_articles FROM pages""")
+  CAST(sum(len({_PARAS})) AS BIGINT) AS paragraphs,
+  count(*) FILTER (WHERE length(trim(string_split(string_split(html, '<article>')[2], '</article>')[1])) = 0) AS empty_articles FROM pages""")
 def src10(spark, sf):
     return PG.field_counts(_pages(spark, sf))
 
 
 # ---------------------------------------------------------------- row ids and language
-@register("cln04_dense_review_id", CLN + """
-SELECT md5(concat(Model, '|', Title_and_Reviews)) AS doc,
-       row_number() OVER (ORDER BY md5(concat(Model, '|', Title_and_Reviews))) - 1 AS review_id FROM keyed""")
+@register("cln04_dense_review_id", CLN + f"""
+SELECT {_DOC_KEY_SQL} AS doc, Model, Reviewer_name, Review_Rating,
+       row_number() OVER (ORDER BY {_DOC_KEY_SQL}) - 1 AS review_id FROM keyed""")
 def cln04(spark, sf):
-    df = cleaned(spark, sf).select(F.md5(F.concat("Model", F.lit("|"), "Title_and_Reviews")).alias("doc"))
+    """A dense id on every review row."""
+    df = cleaned(spark, sf).select(_doc_key().alias("doc"), "Model", "Reviewer_name", "Review_Rating")
     return TP.dense_index(df, "doc", "review_id")
 
 
@@ -798,11 +833,11 @@ words AS (SELECT DISTINCT term AS w FROM topics),
 cd AS (SELECT doc, tokens, len(tokens) AS L FROM docs),
 pos AS (SELECT doc, L, w, p FROM (SELECT doc, L, unnest(tokens) AS w, unnest(generate_series(0, L - 1)) AS p FROM cd)
         JOIN words USING (w)),
-iv AS (SELECT doc, w, CASE WHEN L < 110 THEN 0 ELSE greatest(p - 109, 0) END AS lo,
+iv AS (SELECT doc, w, p, CASE WHEN L < 110 THEN 0 ELSE greatest(p - 109, 0) END AS lo,
               CASE WHEN L < 110 THEN 0 ELSE least(p, L - 110) END AS hi FROM pos),
-iv2 AS (SELECT *, max(hi) OVER (PARTITION BY doc, w ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_hi FROM iv),
+iv2 AS (SELECT *, max(hi) OVER (PARTITION BY doc, w ORDER BY lo, hi, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_hi FROM iv),
 iv3 AS (SELECT *, sum(CASE WHEN prev_hi IS NULL OR lo > prev_hi + 1 THEN 1 ELSE 0 END)
-        OVER (PARTITION BY doc, w ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM iv2),
+        OVER (PARTITION BY doc, w ORDER BY lo, hi, p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM iv2),
 runs AS (SELECT doc, w, run, min(lo) AS lo, max(hi) AS hi FROM iv3 GROUP BY ALL),
 single AS (SELECT w, sum(hi - lo + 1) AS cnt FROM runs GROUP BY w),
 nwin AS (SELECT sum(greatest(L - 110 + 1, 1)) AS N FROM cd WHERE doc IN (SELECT doc FROM pos)),

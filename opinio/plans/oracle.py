@@ -22,6 +22,11 @@ def lit_list(xs) -> str:
     return "[" + ", ".join(lit(x) for x in xs) + "]"
 
 
+def unicode_space(sql: str) -> str:
+    """White space of every script in the splitting patterns (the SQL engine's own class is ASCII)."""
+    return (sql.replace("'\\s+'", "'[\\t-\\r \\x{85}\\p{Z}]+'").replace("'\\S+'", "'[^\\t-\\r \\x{85}\\p{Z}]+'"))
+
+
 PUNCT = lit(R.PUNCTUATION)
 
 ADAPTER = """
@@ -45,7 +50,7 @@ raw AS (SELECT Model, Company, Overall_product_rating, Overall_product_rating_co
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[\\t-\\r \\x{{85}}\\p{{Z}}]+|[\\t-\\r \\x{{85}}\\p{{Z}}]+$', '', 'g')"
 
 
 def _num(x: str) -> str:

@@ -20,7 +20,7 @@ def _s(c: Column) -> Column:
 
 
 def reviews_raw_from_documents(docs: DataFrame, keep_doc_id: bool = False) -> DataFrame:
-    sn = F.substring("source", 4, 1 << 20).cast("int")
+    sn = F.substring("source", F.lit(4), F.length("source")).cast("int")
     n = F.col("n_chars")
     votes = (F.when(n % 7 == 0, F.lit("0"))
              .when(n % 7 == 1, F.lit("One person found this helpful"))

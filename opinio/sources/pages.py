@@ -12,7 +12,9 @@ Mapping of the stored page layout onto the review fields:
 product key = host + path (without query/fragment), page number = the
 ``page`` query parameter (default 1), product name = ``<h1>`` (or
 ``<title>``), seller = host, review blocks = ``<p>`` paragraphs of the
-``<article>``, helpful votes = the
+``<article>`` with all their text (a paragraph ends at its end tag, at the next
+paragraph or with the article; inner tags are dropped, line breaks kept and
+entities decoded), helpful votes = the
 ``found this helpful`` phrase (default "0").
 """
 
@@ -22,13 +24,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio import resources as R
+from opinio.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: markers of the stored page layout.
 TITLE_RE = r"<title>(.*?)</title>"
 H1_RE = r"<h1>(.*?)</h1>"
 ARTICLE_RE = r"(?s)<article>(.*?)</article>"
-PARAGRAPH_RE = r"<p>([^<]*)"
+PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_END = "</p>"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+            ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")]      # &amp; last
 LINK_HREF_RE = r"<a href=\"([^\"]*)\">"
 LINK_TEXT_RE = r"<a href=\"[^\"]*\">([^<]*)</a>"
 LIST_ITEM_RE = r"<li>"
@@ -46,6 +52,29 @@ def _rx_all(c: Column, pattern: str, idx: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), idx)
 
 
+def element_text(html: Column) -> Column:
+    """The text of an element: line breaks for ``<br>``, no tags, decoded entities, trimmed."""
+    x = F.regexp_replace(html, r"(?i)<br\s*/?>", "\n")
+    x = F.regexp_replace(x, r"<[^>]*>", "")
+    for name, char in ENTITIES:
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return F.trim(x, F.lit(" \t\r\n"))
+
+
+def articles(html: Column) -> Column:
+    """Inner HTML of all ``<article>`` elements."""
+    return _rx_all(html, ARTICLE_RE)
+
+
+def paragraphs(article: Column) -> Column:
+    """Inner HTML of the paragraphs of all articles, in order."""
+    def of(a):
+        parts = F.split(a, PARAGRAPH_START)
+        return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                           lambda p: F.substring_index(p, PARAGRAPH_END, 1))
+    return F.flatten(F.transform(article, of))
+
+
 def product_key(url: Column) -> Column:
     return F.concat(_rx(url, PRODUCT_KEY_RE, 1), F.regexp_replace(_rx(url, PRODUCT_KEY_RE, 2), "/$", ""))
 
@@ -59,7 +88,6 @@ def page_fields(pages: DataFrame) -> DataFrame:
     columns) without exploding anything."""
     html, url = F.col("html"), F.col("url")
     foreign = F.regexp_count(html, F.lit(FOREIGN_BLOCK_MARKER)) > 1
-    article = _rx(html, ARTICLE_RE)
     return pages.select(
         "page_id", "url",
         product_key(url).alias("product_key"),
@@ -69,7 +97,7 @@ def page_fields(pages: DataFrame) -> DataFrame:
         F.when(foreign, _rx(html, TITLE_RE)).otherwise(_rx(html, H1_RE)).alias("Model"),
         _rx(html, TITLE_RE).alias("page_title"),
         html.contains(NEXT_PAGE_TEXT).alias("has_next"),
-        article.alias("article"),
+        articles(html).alias("articles"),
     )
 
 
@@ -81,20 +109,23 @@ def review_blocks(pages: DataFrame) -> DataFrame:
 
 def blocks_of(pf: DataFrame) -> DataFrame:
     blocks = pf.select("page_id", "product_key", "page_no", "Company", "Model",
-                       F.posexplode(_rx_all(F.col("article"), PARAGRAPH_RE)).alias("block_no", "block"))
+                       F.posexplode(paragraphs(F.col("articles"))).alias("block_no", "block"))
+    blocks = blocks.withColumn("block", element_text(F.col("block")))
     return blocks.select(
         "page_id", "product_key", "page_no", "Company", "Model", "block_no",
-        F.trim("block").alias("Review"),
+        F.col("block").alias("Review"),
         F.coalesce(F.nullif(_rx(F.col("block"), VOTES_RE, 0), F.lit("")),
                    F.lit(R.DEFAULT_VOTES)).alias("Review_helpful_rating"))
 
 
-def pages_until_last(pages: DataFrame) -> DataFrame:
+def pages_until_last(pages: DataFrame, *columns: Column) -> DataFrame:
     """SRC7: per product, keep pages up to the first page that has no
     "Next page" link.  The per-product limit is a partial-aggregated
     group-by joined back (AQE splits a skewed product), not a window that
     would put all pages of a hot product in one task."""
     pf = page_fields(pages)
+    if columns:                                               # only what the caller needs goes through the join
+        pf = pf.select("page_id", "product_key", "page_no", "has_next", *columns)
     last = (pf.where(~F.col("has_next")).groupBy("product_key")
             .agg(F.min("page_no").alias("last_page")))
     return (pf.join(last, "product_key", "left")
@@ -102,14 +133,27 @@ def pages_until_last(pages: DataFrame) -> DataFrame:
 
 
 def collected_per_product(pages: DataFrame) -> DataFrame:
-    """SRC8: reviews collected per product and the running total in
-    product order (the order of the product's first page).  The running
-    sum is a window over the per-product table (one row per product)."""
-    blocks = blocks_of(pages_until_last(pages))
-    per = (blocks.groupBy("product_key").agg(F.count(F.lit(1)).alias("reviews"),
-                                             F.min("page_id").alias("first_page")))
-    w = Window.orderBy("first_page", "product_key").rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("cumulative_reviews", F.sum("reviews").over(w))
+    """SRC8: reviews collected per product (none: 0) and the running total in
+    product order (the order of the product's first page).  Blocks are counted
+    before the join that ends a product's pages, so no article text is
+    shuffled; the running total is summed within range partitions of the
+    product order, plus the totals of the partitions before."""
+    counted = pages_until_last(pages, F.size(paragraphs(F.col("articles"))).alias("n"))
+    per = (counted.groupBy("product_key").agg(F.sum("n").cast("long").alias("reviews"),
+                                              F.min("page_id").alias("first_page")))
+    return running_total(per, ["first_page", "product_key"], "reviews", "cumulative_reviews")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` in ``order`` without a one-task window: the rows are
+    range-partitioned (and written, which fixes the partitions); only the totals
+    per partition are summed up in one place."""
+    part = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = part.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return (part.withColumn("_within", within).join(before, "_part")
+            .withColumn(out, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before"))
 
 
 def zip_shortest(*arrays: Column) -> Column:
@@ -133,5 +177,5 @@ def field_counts(pages: DataFrame) -> DataFrame:
         F.sum(F.length(_rx(html, TITLE_RE))).cast("long").alias("title_chars"),
         F.sum(F.size(_rx_all(html, LINK_HREF_RE))).cast("long").alias("links"),
         F.sum(F.regexp_count(html, F.lit(LIST_ITEM_RE))).cast("long").alias("list_items"),
-        F.sum(F.size(_rx_all(_rx(html, ARTICLE_RE), PARAGRAPH_RE))).cast("long").alias("paragraphs"),
+        F.sum(F.size(paragraphs(articles(html)))).cast("long").alias("paragraphs"),
         F.count_if(F.length(F.trim(_rx(html, ARTICLE_RE))) == 0).alias("empty_articles"))

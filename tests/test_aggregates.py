@@ -58,3 +58,15 @@ def test_describe_text_and_random_sample(spark):
     big = spark.range(1000)
     assert sample_rows(big, 50, seed=7).count() == 50
     assert sample_rows(big, 50, seed=7).collect() == sample_rows(big, 50, seed=7).collect()
+
+
+def test_quantiles_with_infinite_and_extreme_values(spark):
+    from opinio.operators.quantiles import exact_quantiles
+    inf = float("inf")
+    cases = {"inf": [1.0, 2.0, inf, -inf, 3.0], "wide": [-1.7e308, 1.7e308, 0.0, 5.0], "tiny": [5e-324, 0.0, 1e-323],
+             "all": [inf, inf], "near": [1.0, 1.0000000000000002, 1.0]}
+    for name, values in cases.items():
+        r = exact_quantiles(spark.createDataFrame([(v,) for v in values], "x double"), ["x"], [0.0, 0.5, 1.0]).first()
+        s = sorted(values)
+        mid = s[len(s) // 2] if len(s) % 2 else (s[len(s) // 2 - 1] + s[len(s) // 2]) / 2
+        assert [r["x|q0.0"], r["x|q0.5"], r["x|q1.0"]] == [s[0], mid, s[-1]], name

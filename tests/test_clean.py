@@ -64,3 +64,21 @@ def test_stage_counts(spark):
 def test_numbers_guarded(spark):
     for bad in ["1d", "NaN", "4.5.1", ""]:
         assert clean_reviews(raw(spark, [with_(Overall_product_rating=bad)])).count() == 0
+
+
+def test_same_text_by_three_reviewers_is_three_documents(spark):
+    """The document key of the topic queries covers the whole row."""
+    from pyspark.sql import functions as F
+
+    from opinio.operators import topics as TP
+    from opinio.operators.clean import clean_reviews
+    from opinio.plans.catalog import _doc_key
+    from opinio.schemas import REVIEWS_RAW_SCHEMA
+    rows = [("Phone X", "Acme", "4.5 out of 5", "12 global ratings", "Good", name, "5.0 out of 5 stars", "Nice phone nice", "0")
+            for name in ("ann", "bob", "cat", "cat")]
+    df = clean_reviews(spark.createDataFrame(rows, REVIEWS_RAW_SCHEMA))
+    docs = df.select(_doc_key().alias("doc"), F.split(F.lower("Title_and_Reviews"), " ").alias("tokens"))
+    bow = TP.bag_of_words(docs, "doc", "tokens")
+    assert bow.select("doc").distinct().count() == 3
+    nice = [r for r in TP.dictionary_table(bow).collect() if r["token"] == "nice"][0]
+    assert (nice["doc_freq"], nice["coll_freq"]) == (3, 6)

@@ -48,3 +48,14 @@ def test_classifier_matches_plain_python(spark):
     want = [_py_classify(t.lower(), R.PRODUCT_KEYWORDS, R.SERVICE_KEYWORDS) for t in texts]
     assert got == want
     assert got[0] == "Service Review"   # "Shipping" counts case-folded
+
+
+def test_white_space_of_every_script(spark):
+    from pyspark.sql import functions as F
+
+    from opinio.functions import text as TX
+    from opinio.functions.parse import to_number, strip_ws
+    text = "a\u00a0b\u2003c d\u3000"
+    r = spark.createDataFrame([(text, "\u00a04.5\u2009")], "t string, n string").select(
+        TX.word_count("t").alias("n"), TX.split_words("t").alias("w"), to_number(strip_ws("n")).alias("x")).first()
+    assert (r["n"], r["w"], r["x"]) == (len(text.split()), text.split(), 4.5)

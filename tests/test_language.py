@@ -1,12 +1,10 @@
-from pyspark.sql import functions as F
-
 from opinio.operators.language import identify_language, train_language_model, translate_with_memory
 
 
 def test_translation_memory_routing(spark):
     df = spark.createDataFrame([("hello there", "en"), ("bonjour", "fr"), ("hola", "es")], "text_raw string, lang string")
-    mem = (spark.createDataFrame([("bonjour", "good morning")], "src string, translated string")
-           .select(F.xxhash64("src").alias("text_hash"), "translated"))
+    mem = spark.createDataFrame([("bonjour", "hi"), ("bonjour", "good morning"), ("hello there", "x"), (None, "y"),
+                                 ("hola", None)], "text string, translated string")
     got = {r["text_raw"]: r["text_en"] for r in translate_with_memory(df, mem).collect()}
     assert got == {"hello there": "hello there", "bonjour": "good morning", "hola": "hola"}
 

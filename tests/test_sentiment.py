@@ -120,12 +120,10 @@ def test_lexicon_file_with_published_lists(spark, tmp_path):
     assert s["4"] < 0
 
 
-def test_large_word_table_falls_back_to_shuffle_joins(spark, monkeypatch):
-    import opinio.operators.sentiment as S
+def test_large_word_table_falls_back_to_shuffle_joins(spark):
     info = word_info(spark, LEX.items(), BOOST.items(), NEG)
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "k string, t string")
     small = {r["k"]: r["Sentiment_Score"] for r in score_sentiment(df, info, key="k", text="t").collect()}
-    monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 3)       # the word table now counts as large
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         out = score_sentiment(df, info, key="k", text="t")

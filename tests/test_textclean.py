@@ -19,8 +19,8 @@ def test_steps(spark):
 
 def test_chain_orders(spark):
     t = "Hi @bob see https://ex.com/x ok"
-    ref = one(spark, lambda c: TX.clean_chain(c, []), t)
-    first = one(spark, lambda c: TX.clean_chain(c, [], order="urls_first"), t)
+    ref = one(spark, lambda c: TX.collapse_spaces(TX.clean_steps(c, [])), t)
+    first = one(spark, lambda c: TX.collapse_spaces(TX.clean_steps(c, [], order="urls_first")), t)
     assert "bob" in ref and "httpsexcomx" in ref       # punctuation first: mention/URL never match
     assert first == "Hi see ok"
 
@@ -28,8 +28,8 @@ def test_chain_orders(spark):
 def test_chain_idempotent(spark):
     texts = ["The 3 cats, said @x: http://a.b ... fine!", "  ", "Ünïcode ², ok"]
     df = spark.createDataFrame([(t,) for t in texts], "x string")
-    once = df.select(TX.clean_chain(F.col("x"), ["the"]).alias("x"))
-    twice = once.select(TX.clean_chain(F.col("x"), ["the"]).alias("x"))
+    once = df.select(TX.collapse_spaces(TX.clean_steps(F.col("x"), ["the"])).alias("x"))
+    twice = once.select(TX.collapse_spaces(TX.clean_steps(F.col("x"), ["the"])).alias("x"))
     assert once.collect() == twice.collect()
 
 
@@ -56,20 +56,7 @@ def test_suggestions_exact_against_brute_force(spark):
     got = {r["word"]: r["suggestion"] for r in TC.best_suggestions(
         spark.createDataFrame([(w,) for w in unknown], "word string"),
         spark.createDataFrame([(w,) for w in dict_words], "word string"), 2).collect()}
+    assert set(got) == set(unknown) and got["xyzzy"] is None        # unknown words all stay
     for w in unknown:
         cands = sorted((_lev(w, d), d) for d in dict_words if _lev(w, d) <= 2)
         assert got.get(w) == (cands[0][1] if cands else None), w
-
-
-def test_broadcast_probe(spark):
-    from opinio.operators.util import broadcast_if_small
-    small = spark.range(5)
-    big = spark.range(50)
-    other = spark.range(100).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        p_small = other.join(broadcast_if_small(small, 10), other.k == small.id)._jdf.queryExecution().executedPlan().toString()
-        p_big = other.join(broadcast_if_small(big, 10), other.k == big.id)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-    assert "BroadcastHashJoin" in p_small and "BroadcastHashJoin" not in p_big

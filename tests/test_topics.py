@@ -103,3 +103,17 @@ def test_topic_overview_against_numpy(spark):
     m = (phi[0] + phi[1]) / 2
     want_js = 0.5 * (phi[0] * np.log(phi[0] / m)).sum() + 0.5 * (phi[1] * np.log(phi[1] / m)).sum()
     assert abs(js.collect()[0]["js_divergence"] - want_js) < 1e-12
+
+
+def test_coherence_of_a_word_that_no_document_holds(spark):
+    docs = spark.createDataFrame([("1", ["a", "b"]), ("2", ["a"])], "doc string, tokens array<string>")
+    terms = spark.createDataFrame([(0, "a"), (0, "b"), (0, "absent"), (1, "nowhere")], "topic int, term string")
+    got = {r["topic"]: r["coherence"] for r in TP.coherence_cv(docs, "doc", "tokens", terms, window=2).collect()}
+    assert got[1] == 0.0 and -1 <= got[0] <= 1
+
+
+def test_documents_without_tokens_have_even_topics(spark):
+    docs = spark.createDataFrame([("1", ["a", "b"]), ("2", []), ("3", ["a", "c"])], "doc string, tokens array<string>")
+    cv, vec = TP.vectorize(docs)
+    got = {r["doc"]: r["theta"] for r in TP.doc_topics(TP.fit_lda(vec, 2, 2), vec, "doc").collect()}
+    assert len(got) == 3 and got["2"] == [0.5, 0.5] and all(abs(sum(t) - 1) < 1e-6 for t in got.values())
