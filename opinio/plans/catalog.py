@@ -8,6 +8,7 @@ both engines; doubles are rounded to 6 places in both.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,8 +23,10 @@ from opinio.operators.clean import stage_counts
 from opinio.plans import oracle as O
 from opinio.plans.enrich import add_features, cleaned, enriched
 from opinio.schemas import FEATURE_COLUMNS, NUMERIC_RAW_COLUMNS, RAW_COLUMNS
-from opinio.session import cut_lineage
+from opinio.session import cut_lineage, ensure_checkpoint_dir
+from opinio.sources.files import read_reviews_csv
 from opinio.sources.fixture import reviews_raw
+from opinio.sources.sinks import append_csv, export_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -857,3 +860,127 @@ def top08b(spark, sf):
     docs = _corpus(spark, sf)
     per_topic = TP.coherence_cv(docs, "doc", "tokens", _fixed_topics(docs))
     return per_topic.select("topic", F.round("coherence", 6).alias("coherence"))
+
+
+# ---------------------------------------------------------------- sources and sinks: written and read back
+@register("src02_csv_round_trip", O.with_ctes(O.ADAPTER) + "\nSELECT " + ", ".join(RAW_COLUMNS) + " FROM raw")
+def src02(spark, sf):
+    """SNK1 then SRC2: the raw reviews as headerless CSV files below the shared folder, read back with
+    the encoding found per file."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviews-csv-{uuid.uuid4().hex}"
+    append_csv(reviews_raw(spark, sf).select(*RAW_COLUMNS), path)
+    return read_reviews_csv(spark, path, header=False)
+
+
+@register("snk03_parquet_round_trip", SQL["cln01_clean_reviews"])
+def snk03(spark, sf):
+    """SNK3: the cleaned reviews as Parquet partitioned by company, read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviews-parquet-{uuid.uuid4().hex}"
+    df = cleaned(spark, sf).select(*RAW_COLUMNS, "Title_and_Reviews")
+    export_parquet(df, path, "Company")
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+# ---------------------------------------------------------------- language: held-out check and routing
+@register("cln10b_language_held_out")
+def cln10b(spark, sf):
+    """CLN10 measured: trained on four fifths of the labelled documents (by crc32 of the id), counted on the rest."""
+    from opinio.operators.language import identify_language, train_language_model
+    docs = table(spark, sf, "documents").select("text", F.col("lang").alias("label"),
+                                                (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"))
+    model = train_language_model(docs.where("fold <> 0").select("text", F.col("label").alias("lang")))
+    out = identify_language(docs.where("fold = 0"), model, text="text", out="lang")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("documents"),
+                                    F.count_if(F.col("lang") == F.col("label")).alias("correct"))
+
+
+_ROUTED_SQL = O.with_ctes(O.ADAPTER, O.CLEAN) + """,
+labels AS (SELECT text, min(lang) AS lang FROM documents GROUP BY text),
+memory AS (SELECT DISTINCT concat(substr(text, 1, 24), ' ', text) AS src, reverse(text) AS tr FROM documents
+           WHERE lang <> 'en' AND n_chars % 2 = 0)
+SELECT Model, Reviewer_name, Review_Rating, labels.lang, tr IS NOT NULL AND labels.lang <> 'en' AS translated,
+       md5(CASE WHEN labels.lang = 'en' OR tr IS NULL THEN text_raw ELSE tr END) AS text_en_md5
+FROM keyed JOIN labels ON keyed.Review = labels.text LEFT JOIN memory ON keyed.text_raw = memory.src"""
+
+
+@register("cln12_translated_reviews", _ROUTED_SQL)
+def cln12(spark, sf):
+    """CLN11-12 in the cleaning step: English reviews keep their text, others take their entry of the
+    translation memory, if it has one.  Labels and memory are derived from the given documents."""
+    from opinio.operators.clean import clean_reviews
+    from opinio.operators.language import translate_with_memory
+    docs = table(spark, sf, "documents").select("text", "lang", "n_chars")
+    labels = docs.groupBy("text").agg(F.min("lang").alias("lang"))
+    memory = (docs.where((F.col("lang") != "en") & (F.col("n_chars") % 2 == 0))
+              .select(F.concat(F.substring("text", 1, 24), F.lit(" "), "text").alias("text"), F.reverse("text").alias("translated")))
+
+    def route(df):
+        return translate_with_memory(df.join(labels, df["Review"] == labels["text"]).drop("text"), memory)
+
+    df = clean_reviews(reviews_raw(spark, sf), translate=route)
+    return df.select("Model", "Reviewer_name", "Review_Rating", "lang",
+                     (F.col("text_en") != F.col("text_raw")).alias("translated"), F.md5("text_en").alias("text_en_md5"))
+
+
+# ---------------------------------------------------------------- topic tables given fixed topics, and invariants
+_OVERVIEW_SQL = _DOCS_SQL + f""",
+tf AS (SELECT term, count(*) AS freq FROM (SELECT unnest(tokens) AS term FROM docs) GROUP BY term),
+topw AS (SELECT term, freq, row_number() OVER (ORDER BY freq DESC, term) - 1 AS rk FROM tf ORDER BY freq DESC, term LIMIT {_FIXED_TOPIC_WORDS}),
+w AS (SELECT CAST(t AS INT) AS topic, term, freq * (1 + (rk + t) % 4) AS x FROM topw, range({R.LDA_TOPICS}) AS r(t)),
+phi AS (SELECT topic, term, CAST(x AS DOUBLE) / sum(x) OVER (PARTITION BY topic) AS weight FROM w),
+dn AS (SELECT doc, len(tokens) AS n FROM docs),
+theta AS (SELECT doc, n, CAST(t AS INT) AS topic, CAST(1 + (n + t) % 4 AS DOUBLE) / 10 AS p FROM dn, range({R.LDA_TOPICS}) AS r(t))"""
+
+
+def _fixed_overview(spark, sf):
+    """TOP10 on topics fixed by the data, the same in both engines."""
+    docs = _corpus(spark, sf)
+    tf = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    top = tf.orderBy(F.desc("freq"), F.asc("term")).limit(_FIXED_TOPIC_WORDS)
+    top = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("freq"), F.asc("term"))) - 1)       # 40 rows
+    w = top.select(F.explode(F.array(*[F.lit(t) for t in range(R.LDA_TOPICS)])).alias("topic"), "term", "freq", "rk") \
+        .withColumn("x", F.col("freq") * (1 + (F.col("rk") + F.col("topic")) % 4))
+    phi = w.select("topic", "term", (F.col("x") / F.sum("x").over(Window.partitionBy("topic"))).alias("weight"))
+    lens = docs.select("doc", F.size("tokens").alias("n"))
+    theta = lens.select("doc", F.array(*[(1 + (F.col("n") + t) % 4).cast("double") / 10 for t in range(R.LDA_TOPICS)]).alias("theta"))
+    return TP.topic_overview(theta, lens, "doc", phi, tf)
+
+
+@register("top10d_prevalence_fixed_topics", _OVERVIEW_SQL + """
+SELECT topic, round(sum(p * n) / sum(sum(p * n)) OVER (), 6) AS prevalence FROM theta GROUP BY topic""")
+def top10d(spark, sf):
+    return _fixed_overview(spark, sf)[0].select("topic", F.round("prevalence", 6).alias("prevalence"))
+
+
+@register("top10e_relevance_fixed_topics", _OVERVIEW_SQL + """,
+pw AS (SELECT term, CAST(freq AS DOUBLE) / sum(freq) OVER () AS pw FROM tf),
+rel AS (SELECT topic, term, 0.6 * ln(weight) + 0.4 * ln(weight / pw) AS relevance FROM phi JOIN pw USING (term))
+SELECT topic, term, round(relevance, 6) AS relevance FROM rel
+QUALIFY row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, term) <= 30""")
+def top10e(spark, sf):
+    return _fixed_overview(spark, sf)[1].select("topic", "term", F.round("relevance", 6).alias("relevance"))
+
+
+@register("top10f_distances_fixed_topics", _OVERVIEW_SQL + """
+SELECT a.topic AS ta, b.topic AS tb,
+  round(0.5 * sum(a.weight * ln(a.weight / ((a.weight + b.weight) / 2)))
+        + 0.5 * sum(b.weight * ln(b.weight / ((a.weight + b.weight) / 2))), 6) AS js_divergence
+FROM phi a JOIN phi b ON a.term = b.term AND a.topic < b.topic GROUP BY a.topic, b.topic""")
+def top10f(spark, sf):
+    return _fixed_overview(spark, sf)[2].select("ta", "tb", F.round("js_divergence", 6).alias("js_divergence"))
+
+
+@register("top04_lda_invariants", _DOCS_SQL + f"""
+SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM docs)) AS terms,
+       CAST({R.LDA_TOPICS} AS BIGINT) AS topics, CAST((SELECT count(*) FROM docs) AS DOUBLE) AS theta_total,
+       true AS perplexity_is_minus_bound""")
+def top04(spark, sf):
+    """What must hold of any fit: every document has a distribution, every token is a term."""
+    cv, vec, model = _lda(spark, sf)
+    theta = TP.doc_topics(model, vec, "doc").select(F.aggregate("theta", F.lit(0.0), lambda s, x: s + x).alias("s"),
+                                                    F.size("theta").alias("k"))
+    p = TP.perplexity(model, vec).select(((F.col("log_perplexity") + F.col("per_word_bound") == 0)
+                                          & (F.col("log_perplexity") > 0)).alias("perplexity_is_minus_bound"))
+    out = theta.agg(F.count(F.lit(1)).alias("documents"), F.lit(len(cv.vocabulary)).cast("long").alias("terms"),
+                    F.max("k").cast("long").alias("topics"), F.round(F.sum("s"), 6).alias("theta_total"))
+    return out.withColumn("perplexity_is_minus_bound", p.scalar())

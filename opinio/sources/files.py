@@ -3,6 +3,8 @@ with encoding detection (SRC2)."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +18,30 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """SRC2: 'UTF-8' when every line is valid UTF-8, else 'ISO-8859-1'
-    (which decodes any byte, so later candidates are never needed).  One
-    distributed pass with a boolean AND aggregate."""
-    ok = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect()[0]["ok"]
-    return "UTF-8" if ok in (True, None) else "ISO-8859-1"
+def detect_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """SRC2, per file: 'UTF-8' when every line of the file is valid UTF-8, else
+    'ISO-8859-1' (which decodes any byte, so later candidates are never
+    needed).  One distributed pass; one row per file comes back."""
+    rows = (spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file"))
+            .agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect())
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault("UTF-8" if r["ok"] else "ISO-8859-1", []).append(unquote(r["file"]))
+    return out
 
 
 def read_reviews_csv(spark: SparkSession, path: str, header: bool = True, encoding: str | None = None) -> DataFrame:
-    """Raw review rows (all text).  ``multiLine`` because review bodies hold
-    newlines inside quotes; such files are read one task per file, so
+    """Raw review rows (all text), each file in its own encoding unless one is
+    given; a byte order mark is skipped.  ``multiLine`` because review bodies
+    hold newlines inside quotes; such files are read one task per file, so
     large exports should be written as many files."""
-    enc = encoding or detect_encoding(spark, path)
-    return (spark.read.schema(REVIEWS_RAW_SCHEMA).option("header", header).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("encoding", enc).csv(path))
+    def read(paths, enc: str) -> DataFrame:
+        return (spark.read.schema(REVIEWS_RAW_SCHEMA).option("header", header).option("multiLine", True)
+                .option("quote", '"').option("escape", '"').option("encoding", enc).csv(paths))
+    if encoding:
+        return read(path, encoding)
+    out = None
+    for enc, files in sorted(detect_encodings(spark, path).items()):
+        part = read(files, enc)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else read(path, "UTF-8")

@@ -19,14 +19,18 @@ def _csv_safe(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+#: Values are written as they are: by default the CSV writer strips white space at both ends.
+_EXACT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def append_csv(df: DataFrame, path: str, header: bool = False) -> None:
     """SNK1/SNK2: append, no header line (each run adds files)."""
-    _csv_safe(df).write.mode("append").option("header", header).option("escape", '"').csv(path)
+    _csv_safe(df).write.mode("append").option("header", header).options(**_EXACT).csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
     """SNK3: full overwrite export with a header."""
-    _csv_safe(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _csv_safe(df).write.mode("overwrite").option("header", True).options(**_EXACT).csv(path)
 
 
 def export_parquet(df: DataFrame, path: str, partition_by: str | None = "Company") -> None:

@@ -4,7 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from opinio.sources import pages as PG
-from opinio.sources.files import detect_encoding, read_config, read_reviews_csv
+from opinio.sources.files import detect_encodings, read_config, read_reviews_csv
 from opinio.sources.sinks import append_csv
 from opinio.schemas import REVIEWS_RAW_SCHEMA
 
@@ -55,7 +55,7 @@ def test_review_csv_encoding_and_roundtrip(spark):
     header = ",".join(f.name for f in REVIEWS_RAW_SCHEMA.fields) + "\n"
     with open(p, "wb") as f:
         f.write((header + line).encode("latin-1"))
-    assert detect_encoding(spark, p) == "ISO-8859-1"
+    assert list(detect_encodings(spark, p)) == ["ISO-8859-1"]
     r = read_reviews_csv(spark, p).collect()
     assert r[0]["Review_title"] == "Título" and r[0]["Review"] == 'multi\nline "q"'
     out = os.path.join(d, "out")
@@ -66,6 +66,16 @@ def test_review_csv_encoding_and_roundtrip(spark):
     assert back.count() == 2 and back.collect()[0]["Review"] == 'multi\nline "q"'
 
 
+def test_each_file_in_its_own_encoding(spark):
+    d = tempfile.mkdtemp(prefix="opinio test é-")
+    line = 'M,C,4.5 out of 5,1 global ratings, Título ,%s,5.0 out of 5 stars,r,0\n'
+    for name, enc in (("a.csv", "latin-1"), ("b.csv", "utf-8"), ("c.csv", "utf-8-sig")):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write((line % name).encode(enc))
+    got = {r["Reviewer_name"]: (r["Model"], r["Review_title"]) for r in read_reviews_csv(spark, d, header=False).collect()}
+    assert got == {n: ("M", " Título ") for n in ("a.csv", "b.csv", "c.csv")}
+
+
 def test_final_outputs_round_trip(spark):
     from opinio import resources as R
     from opinio.plans.enrich import enriched, final_table, write_outputs
