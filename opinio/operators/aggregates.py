@@ -90,27 +90,26 @@ def polarity_share(df: DataFrame) -> DataFrame:                        # AGG11
 
 def equal_width_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:   # AGG12
     """``bins`` equal-width bins between min and max, last bin closed; empty
-    bins reported with 0.  min/max is one global aggregate whose two
-    numbers come back as literals; the bin counts are a partial-aggregated
-    group-by."""
-    spark = df.sparkSession
-    lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
-    if lo is None:
-        lo = hi = 0.0
-    x = F.col(col).cast("double")
-    width = hi - lo
-    b = (F.lit(0) if width == 0 else
-         F.least(F.floor((x - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1))).cast("int")
-    counted = (df.select(col).where(F.col(col).isNotNull())
-               .select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    bins reported with 0.
+
+    One pass over ``df``: equal values are counted first (partial counts before
+    the shuffle); their bounds are a scalar subquery over the same counts."""
+    values = (df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+              .groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    bounds = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("b")).scalar()
+    placed = values.withColumn("b", bounds)
+    width = F.col("b.hi") - F.col("b.lo")
+    at = F.when(width == 0, 0).otherwise(
+        F.least(F.floor(F.try_divide(F.col("x") - F.col("b.lo"), width) * bins), F.lit(bins - 1))).cast("int")
+    counted = placed.select(at.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("count"))
+    all_bins = (df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("b", bounds)
+                .withColumn("lo", F.coalesce("b.lo", F.lit(0.0))).withColumn("hi", F.coalesce("b.hi", F.lit(0.0))))
 
     def edge(k):
-        return F.lit(lo) if width == 0 else F.lit(lo) + F.lit(width) * k / bins
+        return F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * k / bins, 6)
 
     return (all_bins.join(counted, "bin", "left")
-            .select("bin", F.round(edge(F.col("bin")), 6).alias("lower"),
-                    F.round(edge(F.col("bin") + 1), 6).alias("upper"),
+            .select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
@@ -127,20 +126,17 @@ def polarity_share_by_model(df: DataFrame) -> DataFrame:               # AGG14
 
 def polarity_by_class(df: DataFrame, by_model: bool = False) -> DataFrame:  # AGG15, AGG16
     """Counts in the fixed order Positive / Neutral / Negative for each
-    class (and model), with zero rows for absent combinations.  The 6
-    (class, polarity) cells come from a literal array, exploded once per
-    model (no join product)."""
-    spark = df.sparkSession
+    class (and model), with zero rows for absent combinations: the 6
+    (class, polarity) cells are conditional counts of one aggregate, then
+    turned into rows."""
     keys = ["Model"] if by_model else []
-    cells = F.array(*[F.struct(F.lit(c).alias("classification"), F.lit(p).alias("Polarity"),
-                               F.lit(i).alias("polarity_rank"))
-                      for c in (R.PRODUCT_LABEL, R.SERVICE_LABEL) for i, p in enumerate(R.POLARITY_ORDER)])
-    base = df.select("Model").distinct() if by_model else spark.range(1)
-    grid = base.select(*keys, F.inline(cells))
-    counts = count_by(df, *keys, "classification", "Polarity")
-    return (grid.join(counts, keys + ["classification", "Polarity"], "left")
-            .select(*keys, "classification", "Polarity", "polarity_rank",
-                    F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    cells = [(c, p, i) for c in (R.PRODUCT_LABEL, R.SERVICE_LABEL) for i, p in enumerate(R.POLARITY_ORDER)]
+    wide = df.groupBy(*keys).agg(*[
+        F.count_if((F.col("classification") == c) & (F.col("Polarity") == p)).alias(f"_{k}")
+        for k, (c, p, _) in enumerate(cells)])
+    return wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("classification"), F.lit(p).alias("Polarity"), F.lit(i).alias("polarity_rank"),
+                 F.col(f"_{k}").alias("count")) for k, (c, p, i) in enumerate(cells)])))
 
 
 def service_share_by_model(df: DataFrame) -> DataFrame:                # AGG17

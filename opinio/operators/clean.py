@@ -66,22 +66,22 @@ def clean_reviews(raw: DataFrame, translate=None, strip_commas_in_votes: bool =
 
 def stage_counts(raw: DataFrame) -> DataFrame:
     """PRF2 across the cleaning stages: raw rows, distinct rows, distinct
-    rows without nulls, and those whose numbers also parse, and the final
-    clean count (after the second de-duplication)."""
-    df = with_text(raw.select(*RAW_COLUMNS)).withColumn("_k", row_key(RAW_COLUMNS))
-    # one row per distinct raw row, with its number of copies (sums to the raw count)
-    d = df.groupBy("_k").agg(F.count(F.lit(1)).alias("_copies"),
-                             *[F.first(c).alias(c) for c in RAW_COLUMNS + ["text_raw"]])
+    rows without nulls, those whose numbers also parse, and the final clean
+    count (after the second de-duplication).
+
+    One lazy plan: only the row keys, two flags and the copies are shuffled."""
+    df = with_text(raw.select(*RAW_COLUMNS))
+    nums = parsed_numbers()
     complete = F.col("text_raw").isNotNull()
     for c in RAW_COLUMNS:
         complete = complete & F.col(c).isNotNull()
-    nums = parsed_numbers()
     parsed = complete
     for c in NUMERIC_RAW_COLUMNS:
         parsed = parsed & nums[c].isNotNull()
-    raw_rows, distinct_rows, complete_rows, parsed_rows = d.agg(
-        F.sum("_copies"), F.count(F.lit(1)), F.count_if(complete), F.count_if(parsed)).first()
-    clean_rows = clean_reviews(raw).count()
-    return raw.sparkSession.createDataFrame(
-        [(raw_rows, distinct_rows, complete_rows, parsed_rows, clean_rows)],
-        "raw_rows long, distinct_rows long, complete_rows long, parsed_rows long, clean_rows long")
+    df = df.select(row_key(RAW_COLUMNS).alias("_k"), complete.alias("_complete"), parsed.alias("_parsed"),
+                   *[nums.get(c, F.col(c)).alias(c) for c in RAW_COLUMNS])
+    df = df.select("_k", "_complete", "_parsed", F.when(F.col("_parsed"), row_key(RAW_COLUMNS)).alias("_clean"))
+    d = df.groupBy("_k", "_complete", "_parsed", "_clean").agg(F.count(F.lit(1)).alias("_copies"))
+    return d.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("raw_rows"), F.count(F.lit(1)).alias("distinct_rows"),
+                 F.count_if("_complete").alias("complete_rows"), F.count_if("_parsed").alias("parsed_rows"),
+                 F.count_distinct("_clean").alias("clean_rows"))
