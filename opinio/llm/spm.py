@@ -28,7 +28,7 @@ from .pieces import SPACE, PieceModel, _spread
 
 _P = np.uint64(0x100000001B3)
 _BITS = 20
-#: units remembered by a task; beyond it the memory starts anew
+#: units remembered by a Python worker; beyond it the memory starts anew
 MAX_UNITS = 1_000_000
 #: characters of one Viterbi block
 BLOCK = 1 << 21
@@ -195,6 +195,14 @@ class Encoder:
         return ids, np.diff(ends[at])
 
 
+def _encoder(model: PieceModel) -> Encoder:
+    """One encoder per Python worker (the broadcast model is one object there), so that the units of one
+    task are known to the next."""
+    if not hasattr(model, "encoder"):
+        model.encoder = Encoder(model)
+    return model.encoder
+
+
 def decode(ids: np.ndarray, model: PieceModel) -> str:
     raw = b"".join([model.decoded[i] for i in ids.tolist()])
     text = raw.decode("utf-8", "replace")
@@ -209,7 +217,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for b in batches:
             rows = strings(b)
             for k in range(0, len(rows), 1000):

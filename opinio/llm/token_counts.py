@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import narrow, strings
 from .pieces import _NEVER, SPACE, PieceModel
 
-#: units and neighbour pairs remembered by a task; beyond it the memory starts anew
+#: units and neighbour pairs remembered by a Python worker; beyond it the memory starts anew
 MAX_UNITS = 1_000_000
 MAX_PAIRS = 4_000_000
 
@@ -130,6 +130,13 @@ class Counter:
         return n, raw
 
 
+def _counter(model: PieceModel) -> Counter:
+    """One counter per Python worker (the broadcast model is one object there)."""
+    if not hasattr(model, "counter"):
+        model.counter = Counter(model)
+    return model.counter
+
+
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_byte_tokens``, one row per input row."""
     source = narrow(docs, id_col, text_col)
@@ -137,7 +144,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = _counter(shared.value)
         for b in batches:
             rows = [counter.count(t) for t in strings(b)]
             yield pa.RecordBatch.from_arrays(

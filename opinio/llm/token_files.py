@@ -42,7 +42,7 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 3
 RULES_PER_ROUND = 2048
 LEAST_COUNT = 8
-#: units remembered by a task; beyond it the memory starts anew
+#: units remembered by a Python worker; beyond it the memory starts anew
 MAX_UNITS = 1_000_000
 
 # White space as the tokenizer's pattern sees it.
