@@ -1,6 +1,7 @@
 """Profiling (PRF1-PRF5): null counts, row counts, deterministic sample,
-numeric and text summaries.  Every summary is one aggregation pass with
-map-side partial aggregation; the output is long form (one row per column).
+numeric and text summaries.  Summaries are aggregations with map-side partial
+aggregation (exact quantiles need further rounds); the output is long form
+(one row per column).
 """
 
 from __future__ import annotations

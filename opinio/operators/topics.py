@@ -95,8 +95,10 @@ def vectorize(docs: DataFrame, tokens: str = "tokens"):
     return model, vec
 
 
-def fit_lda(vec: DataFrame, k: int = R.LDA_TOPICS, max_iter: int = R.LDA_PASSES, seed: int = 42):
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
+def fit_lda(vec: DataFrame, k: int = R.LDA_TOPICS, max_iter: int = R.LDA_PASSES, seed: int = 42,
+            subsampling: float = 1.0):
+    """Online LDA: ``max_iter`` minibatches, each a ``subsampling`` share of the documents."""
+    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling,
               featuresCol="features", topicDistributionCol="topicDistribution")
     return lda.fit(vec)
 

@@ -561,82 +561,75 @@ def top02(spark, sf):
 
 
 # ---------------------------------------------------------------- LDA (rows-only checks)
-_MODEL_CACHE: dict = {}
-
-
 def _corpus(spark, sf):
-    """The topic corpus (doc, tokens), written once to the shared checkpoint
-    folder: the model fits, coherence and overview read it many times."""
-    key = ("corpus", id(spark), id(spark.sparkContext), sf)
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = cut_lineage(_docs(spark, sf))
-    return _MODEL_CACHE[key]
+    """The topic corpus (doc, tokens), written once per query to the shared checkpoint folder: the model
+    fits, coherence and overview read it many times."""
+    return cut_lineage(_docs(spark, sf))
 
 
-def _lda(spark, sf, k=R.LDA_TOPICS, iters=R.LDA_PASSES, seed=42):
-    key = (id(spark), id(spark.sparkContext), sf, k, iters, seed)
-    if key not in _MODEL_CACHE:
-        docs = _corpus(spark, sf)
-        cv, vec = TP.vectorize(docs)
-        _MODEL_CACHE[key] = (cv, vec, TP.fit_lda(vec, k, iters, seed))
-    return _MODEL_CACHE[key]
+def _lda(docs, k=R.LDA_TOPICS, iters=R.LDA_PASSES, seed=42):
+    """(vectoriser, vectors, fitted model) of a corpus."""
+    cv, vec = TP.vectorize(docs)
+    return cv, vec, TP.fit_lda(vec, k, iters, seed)
 
 
 @register("top05_lda_topic_terms")
 def top05(spark, sf):
-    cv, vec, model = _lda(spark, sf)
+    cv, vec, model = _lda(_corpus(spark, sf))
     return TP.topic_terms(model, cv.vocabulary, 10)
 
 
 @register("top06_doc_topics")
 def top06(spark, sf):
-    cv, vec, model = _lda(spark, sf)
+    cv, vec, model = _lda(_corpus(spark, sf))
     return TP.doc_topics(model, vec, "doc").select("doc", "dominant_topic",
                                                   F.transform("theta", lambda x: F.round(x, 6)).alias("theta"))
 
 
 @register("top07_perplexity")
 def top07(spark, sf):
-    cv, vec, model = _lda(spark, sf)
+    cv, vec, model = _lda(_corpus(spark, sf))
     return TP.perplexity(model, vec)
 
 
-def _coherence_for(spark, sf, k, iters, seed, n=20):
-    docs = _corpus(spark, sf)
-    if k == 1:
-        terms = TP.unigram_topic(docs, "tokens", n).select("topic", "term")
-    else:
-        cv, vec, model = _lda(spark, sf, k, iters, seed)
-        terms = TP.topic_terms(model, cv.vocabulary, n).select("topic", "term")
-    return TP.coherence_cv(docs, "doc", "tokens", terms)
-
-
 @register("top08_coherence_cv")
 def top08(spark, sf):
-    per_topic = _coherence_for(spark, sf, R.LDA_TOPICS, R.LDA_PASSES, 42)
-    return per_topic.select("topic", F.round("coherence", 6).alias("coherence"))
+    docs = _corpus(spark, sf)
+    cv, vec, model = _lda(docs)
+    terms = TP.topic_terms(model, cv.vocabulary, 20).select("topic", "term")
+    return TP.coherence_cv(docs, "doc", "tokens", terms).select("topic", F.round("coherence", 6).alias("coherence"))
 
 
 @register("top09_topic_count_sweep")
 def top09(spark, sf):
+    """One pass over the corpus per topic count: twenty minibatches of a twentieth."""
+    docs = _corpus(spark, sf)
+    cv, vec = TP.vectorize(docs)
     out = None
     for k in R.LDA_SWEEP:
-        c = TP.coherence_summary(_coherence_for(spark, sf, k, 1, R.LDA_SWEEP_SEED)).select(
+        if k == 1:
+            terms = TP.unigram_topic(docs, "tokens", 20)
+        else:
+            terms = TP.topic_terms(TP.fit_lda(vec, k, 20, R.LDA_SWEEP_SEED, subsampling=0.05), cv.vocabulary, 20)
+        c = TP.coherence_summary(TP.coherence_cv(docs, "doc", "tokens", terms.select("topic", "term"))).select(
             F.lit(k).alias("num_topics"), F.round("coherence", 6).alias("coherence"))
         out = c if out is None else out.unionByName(c)
     return out
 
 
-@register("top10_topic_prevalence")
-def top10(spark, sf):
-    cv, vec, model = _lda(spark, sf)
+def _overview(spark, sf):
+    """(prevalence, relevance, distances) of a fitted model."""
+    docs = _corpus(spark, sf)
+    cv, vec, model = _lda(docs)
     theta = TP.doc_topics(model, vec, "doc")
     lens = vec.select("doc", F.size("tokens").alias("n"))
-    phi = _phi(spark, model, cv.vocabulary)
-    tf = TP.bag_of_words(_corpus(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
-        F.sum("count").alias("freq"))
-    prevalence, rel, js = TP.topic_overview(theta, lens, "doc", phi, tf)
-    return prevalence.select("topic", F.round("prevalence", 6).alias("prevalence"))
+    tf = TP.bag_of_words(docs, "doc", "tokens").groupBy(F.col("token").alias("term")).agg(F.sum("count").alias("freq"))
+    return TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
+
+
+@register("top10_topic_prevalence")
+def top10(spark, sf):
+    return _overview(spark, sf)[0].select("topic", F.round("prevalence", 6).alias("prevalence"))
 
 
 def _phi(spark, model, vocabulary):
@@ -655,24 +648,12 @@ def _phi(spark, model, vocabulary):
 
 @register("top10b_topic_relevance_terms")
 def top10b(spark, sf):
-    cv, vec, model = _lda(spark, sf)
-    theta = TP.doc_topics(model, vec, "doc")
-    lens = vec.select("doc", F.size("tokens").alias("n"))
-    tf = TP.bag_of_words(_corpus(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
-        F.sum("count").alias("freq"))
-    prevalence, rel, js = TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
-    return rel.select("topic", "rank", "term", F.round("relevance", 6).alias("relevance"))
+    return _overview(spark, sf)[1].select("topic", "rank", "term", F.round("relevance", 6).alias("relevance"))
 
 
 @register("top10c_topic_distances")
 def top10c(spark, sf):
-    cv, vec, model = _lda(spark, sf)
-    theta = TP.doc_topics(model, vec, "doc")
-    lens = vec.select("doc", F.size("tokens").alias("n"))
-    tf = TP.bag_of_words(_corpus(spark, sf), "doc", "tokens").groupBy(F.col("token").alias("term")).agg(
-        F.sum("count").alias("freq"))
-    prevalence, rel, js = TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
-    return js.select("ta", "tb", F.round("js_divergence", 6).alias("js_divergence"))
+    return _overview(spark, sf)[2].select("ta", "tb", F.round("js_divergence", 6).alias("js_divergence"))
 
 
 # ---------------------------------------------------------------- stored pages
@@ -976,7 +957,7 @@ SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT t) FROM
        true AS perplexity_is_minus_bound""")
 def top04(spark, sf):
     """What must hold of any fit: every document has a distribution, every token is a term."""
-    cv, vec, model = _lda(spark, sf)
+    cv, vec, model = _lda(_corpus(spark, sf))
     theta = TP.doc_topics(model, vec, "doc").select(F.aggregate("theta", F.lit(0.0), lambda s, x: s + x).alias("s"),
                                                     F.size("theta").alias("k"))
     p = TP.perplexity(model, vec).select(((F.col("log_perplexity") + F.col("per_word_bound") == 0)
