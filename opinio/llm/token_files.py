@@ -39,8 +39,8 @@ from .common import narrow, strings
 
 END = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 3
-RULES_PER_ROUND = 2048
+ROUNDS = 2
+RULES_PER_ROUND = 4096
 LEAST_COUNT = 8
 #: units remembered by a Python worker; beyond it the memory starts anew
 MAX_UNITS = 1_000_000
@@ -280,15 +280,16 @@ def read_documents(spark: SparkSession, folder: str, base: int, with_ids: bool =
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row, base)
-                docs = [s.document(k).astype("<u4") for k in range(len(s.counts))]
                 counts = s.counts.astype(np.int64)
-                n = len(docs)
+                tokens, n = s.expand(s.symbols).astype("<u4"), len(counts)
+                docs = np.split(tokens, np.cumsum(counts)[:-1])
                 out = [pa.array([row["part"]] * n, pa.int64()), pa.array([row["shard"]] * n, pa.int64()),
                        pa.array(s.doc_ids, pa.int64(), mask=s.doc_null.astype(bool)),
                        pa.array(np.cumsum(counts) - counts), pa.array(counts),
-                       pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())]
+                       pa.array([zlib.crc32(d) for d in docs], pa.int64())]
                 if with_ids:
-                    out.append(pa.array([d.tolist() for d in docs], pa.list_(pa.int32())))
+                    ends = np.concatenate(([0], np.cumsum(counts)))
+                    out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][:len(out)])
 
     rows = stored.mapInArrow(run, "part long, shard long, doc_id long, at long, n_tokens long, ids_crc32 long"
