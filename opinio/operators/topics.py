@@ -29,6 +29,9 @@ _FOLD_SRC, _FOLD_DST = R.accent_fold_table()
 ALPHA_TOKEN = r"[\p{L}\p{Nl}\p{No}_]+"
 
 
+MAX_WORDS = 20_000
+
+
 def fold_accents(c: Column) -> Column:
     return F.translate(c, _FOLD_SRC, _FOLD_DST)
 
@@ -40,6 +43,22 @@ def topic_tokens(text: Column, stop_words: list[str], min_len: int = R.TOKEN_MIN
     return without_words(toks, [w.lower() for w in stop_words])
 
 
+def read_word_list(spark: SparkSession, path: str) -> list[str]:
+    """Stop words from a text file, one per line, lower-cased, without comments
+    (``#``), blanks and repeats.  The list becomes literals of the plan, so it
+    must be a word list: more than ``MAX_WORDS`` lines are refused."""
+    rows = spark.read.text(path).limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words; use a dictionary join instead")
+    words = (r["value"].strip().lower() for r in rows)
+    return sorted({w for w in words if w and not w.startswith("#")})
+
+
+def read_lemmas(spark: SparkSession, path: str) -> DataFrame:
+    """(form, lemma) from a tab-separated file."""
+    return spark.read.schema("form string, lemma string").option("sep", "\t").option("quote", "\u0000").csv(path)
+
+
 def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
     """Replace each token by its lemma from ``lemmas(form, lemma)``, order
     kept (explode with position, broadcast-checked join, rebuild)."""

@@ -546,6 +546,21 @@ def top01(spark, sf):
     return _docs(spark, sf).select("doc", F.array_join("tokens", " ").alias("tokens"))
 
 
+@register("top01b_lemmatised_tokens", _DOCS_SQL + """,
+lem AS (SELECT DISTINCT t AS form, rtrim(t, 's') AS lemma FROM (SELECT unnest(tokens) AS t FROM docs)
+        WHERE ends_with(t, 's') AND length(rtrim(t, 's')) > 1),
+ex AS (SELECT doc, unnest(tokens) AS t, unnest(range(len(tokens))) AS p FROM docs),
+re AS (SELECT doc, string_agg(coalesce(lemma, t), ' ' ORDER BY p) AS tokens FROM ex LEFT JOIN lem ON t = form GROUP BY doc)
+SELECT docs.doc, coalesce(re.tokens, '') AS tokens FROM docs LEFT JOIN re ON docs.doc = re.doc""")
+def top01b(spark, sf):
+    """The lemma step, with a (form, lemma) table derived from the corpus: final s dropped."""
+    docs = _docs(spark, sf)
+    base = F.rtrim(F.col("form"), F.lit("s"))
+    lemmas = (docs.select(F.explode("tokens").alias("form")).where(F.col("form").endswith("s")).distinct()
+              .select("form", base.alias("lemma")).where(F.length("lemma") > 1))
+    return TP.lemmatize(docs, "doc", "tokens", lemmas).select("doc", F.array_join("tokens", " ").alias("tokens"))
+
+
 @register("top03_bag_of_words", _DOCS_SQL + """
 SELECT doc, token, count(*) AS count FROM (SELECT doc, unnest(tokens) AS token FROM docs) GROUP BY doc, token""")
 def top03(spark, sf):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from functools import lru_cache
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES that must equal the analysed pipeline's values for equal results.
@@ -140,18 +141,26 @@ FIXTURE_NEGATIONS = ["in", "la"]
 # Tables built from a rule.
 # ---------------------------------------------------------------------------
 
+@lru_cache(maxsize=1)
 def accent_fold_table() -> tuple[str, str]:
-    """(accented, plain) strings for ``translate``: every letter of the
-    Latin-1 Supplement and Latin Extended-A/B blocks whose canonical
-    decomposition starts with an ASCII letter maps to that letter."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    """(accented, plain) strings for ``translate``, for every script: a
+    character whose canonical decomposition without combining marks composes
+    to one other character maps to it; combining marks themselves are deleted
+    (they come last and have no counterpart)."""
+    src, dst, marks = [], [], []
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
         ch = chr(cp)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and base.isascii() and base.isalpha():
+        if unicodedata.category(ch) == "Mn":
+            marks.append(ch)
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+        plain = unicodedata.normalize("NFC", bare)
+        if plain != ch and len(plain) == 1:
             src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+            dst.append(plain)
+    return "".join(src + marks), "".join(dst)
 
 
 def all_digit_chars() -> str:

@@ -12,6 +12,17 @@ def test_tokens(spark):
     assert got == ["cafe", "naive_x", "bb", "abc"]
 
 
+def test_accents_of_every_script_and_word_files(spark, tmp_path):
+    df = spark.createDataFrame([("Tiếng Việt e\u0301te\u0301 Ωμέγα йод",)], "t string")
+    assert df.select(TP.topic_tokens(F.col("t"), []).alias("v")).first()["v"] == ["tieng", "viet", "ete", "ωμεγα", "иод"]
+    (tmp_path / "stop.txt").write_text("The\n# comment\n\nthe\nof\n", encoding="utf-8")
+    assert TP.read_word_list(spark, str(tmp_path / "stop.txt")) == ["of", "the"]
+    (tmp_path / "lemmas.tsv").write_text("cats\tcat\nmice\tmouse\n", encoding="utf-8")
+    docs = spark.createDataFrame([("1", ["mice", "eat", "cats"]), ("2", [])], "k string, tokens array<string>")
+    got = {r["k"]: r["tokens"] for r in TP.lemmatize(docs, "k", "tokens", TP.read_lemmas(spark, str(tmp_path / "lemmas.tsv"))).collect()}
+    assert got == {"1": ["mouse", "eat", "cat"], "2": []}
+
+
 def test_dense_index(spark):
     df = spark.createDataFrame([(w,) for w in ["d", "b", "a", "c", "e", "f"]], "w string")
     got = {r["w"]: r["i"] for r in TP.dense_index(df, "w", "i", 3).collect()}
