@@ -39,7 +39,7 @@ from .common import crc_fold, cut_lineage, narrow, row_type, strings
 SEQUENCE = 128
 #: bounds of the fitting sample: documents of at most so many code points, so many of each kind
 MAX_CHARS = 20_000
-MAX_TOXIC, MAX_CLEAN, MAX_CALIBRATION = 1000, 2000, 2000
+MAX_TOXIC, MAX_CLEAN, MAX_CALIBRATION = 800, 1600, 1600
 MAX_WORDS_KEPT = 1_000_000
 _WORD = re.compile(r"\w+")
 
