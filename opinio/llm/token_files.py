@@ -4,7 +4,8 @@ Documents are range-partitioned and sorted by id; each task encodes its texts
 with the byte-level BPE tokenizer, appends an end id to each, and fills shards
 of about ``SHARD_TOKENS`` ids.  A shard is compressed by Re-Pair: in each round
 the most frequent neighbour pairs are replaced by new symbols (nonterminals),
-leftmost first, never across the end of a document.  A shard stores its rules,
+leftmost first, never across the end of a document, until no pair is left that
+occurs ``LEAST_COUNT`` times.  A shard stores its rules,
 their expansion lengths, the symbol sequence and, per document, the id, the
 number of ids and the place of its first symbol, so that any document (or any
 range of ids) is decoded without the rest.
@@ -39,7 +40,6 @@ from .common import narrow, strings
 
 END = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 2
 RULES_PER_ROUND = 4096
 LEAST_COUNT = 8
 #: units remembered by a Python worker; beyond it the memory starts anew
@@ -132,31 +132,40 @@ def _bins(key: np.ndarray, bits: int = 18) -> np.ndarray:
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND,
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_PER_ROUND,
            least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: ``(symbols, ends, rules)``.  ``ends`` marks the last symbol of each
-    document; rule k is symbol ``base + k`` and its two parts are older symbols."""
+    document; rule k is symbol ``base + k`` and its two parts are older symbols.
+
+    Rounds of ``per_round`` pairs go on until no pair occurs ``least`` times.  A pair of
+    older symbols never becomes more frequent, so once it is rarer than that, only
+    places beside a new symbol are counted again (``live``: all places of a pair are, or none)."""
     symbols, ends, rules = ids.astype(np.uint32), ends.copy(), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = ~ends[:-1]
+    live = np.flatnonzero(~ends[:-1])
+    while len(live):
+        key = (symbols[live].astype(np.uint64) << np.uint64(32)) | symbols[live + 1]
         bins = _bins(key)
-        counts = np.bincount(bins[inside], minlength=1 << 18)
+        counts = np.bincount(bins, minlength=1 << 18)
         # candidates by hashed counts (never below the true count), then exact counts
+        some = (counts >= least)[bins]
+        live, key, bins = live[some], key[some], bins[some]
         floor = max(least, int(np.partition(counts, -4 * per_round)[-4 * per_round]))
-        maybe = inside & (counts >= floor)[bins]
+        maybe = (counts >= floor)[bins]
         pairs, n = np.unique(key[maybe], return_counts=True)
-        pairs = pairs[n >= least]
-        n = n[n >= least]
+        if floor > least and not (n >= least).any():         # the fullest bins hold rare pairs only
+            floor, maybe = least, np.ones(len(key), dtype=bool)
+            pairs, n = np.unique(key, return_counts=True)
+        pairs, n = pairs[n >= least], n[n >= least]
         if not len(pairs):
             break
-        pairs = np.sort(pairs[np.argsort(-n, kind="stable")[:per_round]])
-        at = np.flatnonzero(maybe)
-        place = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        hit = pairs[place] == key[at]
-        at, place = at[hit], place[hit]
+        # counted and rare: not looked at again
+        place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        known = pairs[place] == key
+        live, place, known = live[known | ~maybe], place[known | ~maybe], known[known | ~maybe]
+        chosen = np.zeros(len(pairs), dtype=bool)
+        chosen[np.argsort(-n, kind="stable")[:per_round]] = True
+        hit = known & chosen[place]
+        at, place, rest = live[hit], place[hit], live[~hit]
         # of pairs that overlap in a run, every second one is taken, from the left
         new_run = np.concatenate(([True], np.diff(at) > 1))
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
@@ -168,7 +177,14 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, p
         ends[at] = ends[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        symbols, ends = symbols[keep], ends[keep]
+        look = np.zeros(len(symbols), dtype=bool)
+        look[rest] = True
+        look[at] = True
+        symbols, ends, look = symbols[keep], ends[keep], look[keep]
+        new = at - np.arange(len(at))                        # places of the new symbols after the cut
+        look[new[new > 0] - 1] = True
+        look[ends] = False
+        live = np.flatnonzero(look[:-1])
     return symbols, ends, np.array(rules, dtype=np.uint32).reshape(-1, 2)
 
 
@@ -188,13 +204,20 @@ class Shard:
         self.doc_ids, self.doc_null = of("doc_ids", "<i8"), of("doc_null", "u1")
         self.counts, self.places = of("counts", "<u4"), of("places", "<u4").astype(np.int64)
         self.symbols, self.lengths = of("symbols", "<u4"), of("lengths", "<u4").astype(np.int64)
-        rules = of("rules", "<u4").reshape(-1, 2).tolist()
-        flat: list[np.ndarray] = []
-        for a, b in rules:
-            flat.append(np.concatenate([np.array([x], np.uint32) if x < base else flat[x - base] for x in (a, b)]))
-        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), *flat])
+        rules = of("rules", "<u4").reshape(-1, 2)
         self.size = np.concatenate([np.ones(base, dtype=np.int64), self.lengths])
         self.start = np.concatenate([np.arange(base), base + np.cumsum(self.lengths) - self.lengths])
+        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), np.empty(int(self.lengths.sum()), np.uint32)])
+        depth: list[int] = []
+        for a, b in rules.tolist():
+            depth.append(1 + max(0 if a < base else depth[a - base], 0 if b < base else depth[b - base]))
+        level = np.array(depth, dtype=np.int64)
+        for d in range(1, max(depth, default=0) + 1):        # parts are expanded before the rules that use them
+            of_level = np.flatnonzero(level == d)
+            size = self.lengths[of_level]
+            before = np.cumsum(size) - size
+            to = np.arange(int(size.sum())) + np.repeat(self.start[base + of_level] - before, size)
+            self.flat[to] = self.expand(rules[of_level].ravel())
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]

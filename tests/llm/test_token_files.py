@@ -44,6 +44,26 @@ def test_grammar_round_trip_and_random_access():
         assert (shard.tokens(a, b) == tokens[a:b]).all()
 
 
+def test_grammar_replaces_until_no_frequent_pair_is_left():
+    rnd = np.random.default_rng(2)
+    passage = rnd.integers(1, 50_000, 300)
+    docs = [np.concatenate([rnd.integers(1, 50_000, rnd.integers(0, 9)), passage, [0]]).astype(np.uint32) for _ in range(400)]
+    docs += [np.array([7] * 5000 + [0], np.uint32), np.array([0], np.uint32)]
+    tokens = np.concatenate(docs)
+    row = token_files._shard_row(0, 0, list(range(len(docs))), docs, 50_257).to_pylist()[0]
+    shard = token_files.Shard(row, 50_257)
+    assert shard.lengths.max() > 256                          # two rounds end at 4
+    assert len(shard.symbols) * 15 < len(tokens)
+    last = np.zeros(len(shard.symbols), bool)
+    last[np.concatenate((shard.places[1:] - 1, [-1]))] = True
+    pairs = (shard.symbols[:-1].astype(np.uint64) << np.uint64(32)) | shard.symbols[1:]
+    assert np.unique(pairs[~last[:-1]], return_counts=True)[1].max() < token_files.LEAST_COUNT
+    assert (shard.expand(shard.symbols) == tokens).all()
+    for k in (0, 399, 400, 401):
+        assert (shard.document(k) == docs[k]).all()
+    assert (shard.tokens(1000, 90_000) == tokens[1000:90_000]).all()
+
+
 @pytest.mark.parametrize("size", [token_files.SHARD_TOKENS, 50])
 def test_files_round_trip(spark, nasty, library, size):
     folder = shared_folder(spark, "files")
