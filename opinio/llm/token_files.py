@@ -19,7 +19,7 @@ uint32.  Shards are in ascending document order by ``(part, shard)``.
 Defined cases: a null or empty text is the end id alone; repeated rows are
 written each, in the order of their texts' hashes; null ids come first; a document longer than
 a shard has a shard of its own; an empty table gives no shards; other columns
-are ignored.  Special token strings inside a text are ordinary text.
+are ignored.  A special token's string inside a text becomes its id, as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -54,19 +54,36 @@ _UNIT = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?|&$%*#()<>/{_WS}-]|$)|
 
 
 class UnitEncoder:
-    """Ids of texts by the tokenizers library, which sees every distinct unit once."""
+    """Ids of texts by the tokenizers library, which sees every distinct unit once.
 
-    def __init__(self, tokenizer_json: str):
+    With ``added`` the strings of added tokens are cut out first and become their ids (the
+    library's plain call), else they are ordinary text (its ``encode_special_tokens``)."""
+
+    def __init__(self, tokenizer_json: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else ()
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        # the longest of several that start at one place, as in the library
+        strings = sorted((re.escape(t.content) for t in tokens), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(strings)})") if strings else None
         self.line = self._ids("\n")[0] if len(self._ids("\n")) == 1 else -1
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _units(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return _UNIT.findall(text)
+        out = []
+        for k, piece in enumerate(self.added.split(text)):
+            out += [piece] if k % 2 else _UNIT.findall(piece)
+        return out
+
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
@@ -105,7 +122,7 @@ class UnitEncoder:
         if len(self.number) > MAX_UNITS:
             self._forget()
         known = self.number
-        units = [_UNIT.findall(t) for t in rows]
+        units = [self._units(t) for t in rows]
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         code = np.fromiter((known.setdefault(x, len(known)) for u in units for x in u), np.int64, int(sizes.sum()))
         if len(known) > len(self.count):
@@ -124,7 +141,7 @@ def _encoder(tokenizer_json: str) -> UnitEncoder:
     """One encoder per Python worker, so that the units of one task are known to the next."""
     if tokenizer_json not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[tokenizer_json] = UnitEncoder(tokenizer_json)
+        _ENCODERS[tokenizer_json] = UnitEncoder(tokenizer_json, added=True)
     return _ENCODERS[tokenizer_json]
 
 

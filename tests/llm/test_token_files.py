@@ -30,6 +30,17 @@ def test_unit_encoding_equals_the_library(library):
     assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_token_strings_equal_the_plain_library_call():
+    rnd = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "the", "'s", " ", "  ", "\n", "\n\n", "\t", "é", ".", "23", "\u00a0"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(20))) for _ in range(3000)] + ["a <|endoftext|> b"]
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.UnitEncoder(f.read(), added=True)
+    got = [x.tolist() for x in encoder.encode(texts)]
+    assert got[-1] == [64, 220, 50256, 275]
+    assert got == [x.ids for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_grammar_round_trip_and_random_access():
     rnd = np.random.default_rng(1)
     docs = [np.concatenate([rnd.integers(1, 6, rnd.integers(0, 400)), [0]]).astype(np.uint32) for _ in range(50)]
@@ -82,6 +93,16 @@ def test_files_round_trip(spark, nasty, library, size):
     assert sorted(r.ids for r in got) == expected
 
 
+def test_files_hold_the_ids_of_special_tokens(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>\ny", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = shared_folder(spark, "files")
+    base = token_files.write_token_files(docs, folder, PATH)
+    got = [r.ids for r in token_files.read_documents(spark, folder, base).orderBy("start").collect()]
+    plain = Tokenizer.from_file(PATH)
+    assert got == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_empty_table(spark, empty):
     folder = shared_folder(spark, "files")
     base = token_files.write_token_files(empty, folder, PATH)
