@@ -32,7 +32,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: The trees are fitted on at most so many labelled URLs (those with the smallest hash).
+#: The trees are fitted on at most so many distinct labelled URLs (those with the smallest hash), weighted by their rows.
 MAX_TRAIN = 20_000
 FEATURES = ("f_length", "f_host_length", "f_path_length", "f_labels", "f_depth", "f_digits", "f_hyphens",
             "f_params", "f_query_length", "f_fragment", "f_extension", "f_secure", "f_entropy",
@@ -110,14 +110,16 @@ def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=
                            .when(F.col("won.verdict") == "allow", 0.0)).drop("won")
     labelled = rows.where(F.col("label").isNotNull())
     ready = _with_rates(rows, labelled)
-    sample = (ready.where(F.col("label").isNotNull()).select("label", *FEATURES, F.xxhash64("url").alias("h"), "url")
-              .orderBy("h", "url").limit(max_train))
+    # label and features follow from the URL, so any row stands for its copies
+    sample = (ready.where(F.col("label").isNotNull()).groupBy("url")
+              .agg(F.count("*").cast("double").alias("weight"), *[F.first(c).alias(c) for c in ("label", *FEATURES)])
+              .orderBy(F.xxhash64("url"), "url").limit(max_train))
     classes = sorted(r[0] for r in labelled.select("label").distinct().collect())
     if len(classes) < 2:
         block = F.lit(float(classes[0]) if classes else 0.0)
     else:
         fold = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(fold.transform(sample))
+        model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed).fit(fold.transform(sample))
         ready = model.transform(fold.transform(ready))
         block = vector_to_array("probability")[1]
     verdict = F.when(F.coalesce("label", F.col("p")) >= 0.5, "block").otherwise("allow")

@@ -39,6 +39,17 @@ def test_without_labels(spark):
     assert url_filter.judge(df.where("1 = 0")).count() == 0
 
 
+def test_copies_of_one_url_do_not_fill_the_sample(spark):
+    rules = (("a.com", "/x/", "allow"), ("a.com", "/y/", "block"))
+    urls = [f"http://a.com/x/{i}" for i in range(30)] + [f"http://a.com/y/{10 ** 40 + i}" for i in range(30)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    hot = df.selectExpr("url", "xxhash64(url) as h").orderBy("h").first().url
+    rest = spark.createDataFrame([(1000, "http://a.com/z/7"), (1001, f"http://a.com/z/{10 ** 40 + 99}")], df.schema)
+    copies = spark.range(200).selectExpr("id + 2000 as page_id", f"'{hot}' as url")
+    judged = url_filter.judge(df.unionByName(rest).unionByName(copies), rules=rules, max_train=60, trees=5)
+    assert {r.page_id: r.verdict for r in judged.where("rule is null").collect()} == {1000: "allow", 1001: "block"}
+
+
 def test_trees_learn_held_out_rules(spark):
     """Trees fitted on one half of the labelled URLs agree with the rules on the other."""
     pages = table(spark, "/root/testdata/sf0.1", "pages")
