@@ -48,11 +48,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of every group of linked documents the one with the smallest id stays."""
-    found = jaccard.near_duplicates(docs)
+    """Operator 6: of every group of linked documents the one with the smallest id stays.
+    Groups are told apart by their label, since unlike texts may have the same smallest id."""
+    found = jaccard.near_duplicates(docs, with_label=True)
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     stays = (found.where(alone | (F.col("doc_id") == F.col("component_id")))
-             .groupBy(F.when(~alone, F.col("component_id")).alias("group"), F.when(alone, F.col("doc_id")).alias("id"),
+             .groupBy(F.when(~alone, F.col("label")).alias("group"), F.when(alone, F.col("doc_id")).alias("id"),
                       F.when(alone, F.col("text_hash")).alias("hash"), alone.alias("all"))
              .agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
              .select(F.col("one.doc_id").alias("of_doc"), F.col("one.text_hash").alias("of_hash"), "all"))

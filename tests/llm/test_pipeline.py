@@ -58,3 +58,11 @@ def test_edge_cases(spark, nasty, empty):
     assert stays == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, None: 2}
     unchanged = {(r.doc_id, r.text, r.row, r.th) for r in P.drop_common_lines(spark, nasty, SF).collect()}
     assert unchanged == {(r.doc_id, r.text, r.row, r.th) for r in nasty.collect()}
+
+
+def test_unlike_texts_with_one_id_both_stay(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (1, one), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == {(1, one): 1, (1, two): 1, (None, two): 1}
