@@ -19,10 +19,6 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:   #
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_count")) for c in cols])))
 
 
-def row_count(df: DataFrame) -> DataFrame:                                     # PRF2
-    return df.agg(F.count(F.lit(1)).alias("rows"))
-
-
 def sample_rows(df: DataFrame, n: int = 50, seed: int | None = None, key=None) -> DataFrame:   # PRF3
     """Exactly ``n`` rows.  With ``seed`` a random choice (``rand(seed)``);
     otherwise deterministic by the hash ``key`` (default: md5 of the text).

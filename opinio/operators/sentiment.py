@@ -36,13 +36,13 @@ are never shuffled.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import PUNCT_CLASS, split_words
+from opinio.sources.tables import literal_table
 
 UPPER_WORD = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
 NEVER_SO_SCALAR = 1.25
@@ -78,14 +78,11 @@ def word_info(spark: SparkSession, lexicon, boosters, negations) -> DataFrame:
                 rows[tok.lower()][1] = float(delta)
         for tok in negations:
             rows.setdefault(tok.lower(), [None, None, False])[2] = True
-        # one literal array: a local relation, whose exact size the planner knows (a plain list would be
-        # an RDD of unknown size), so that it is broadcast by that size
-        data = pd.DataFrame([(k, v[0], v[1], v[2]) for k, v in sorted(rows.items())],
-                            columns=["token", "valence", "boost", "neg"])
-        return spark.createDataFrame(data, "token string, valence double, boost double, neg boolean")
+        return literal_table(spark, [(k, *v) for k, v in sorted(rows.items())],
+                             "token string, valence double, boost double, neg boolean")
 
     def as_df(x, schema):
-        return x if isinstance(x, DataFrame) else spark.createDataFrame(list(x), schema)
+        return x if isinstance(x, DataFrame) else literal_table(spark, list(x), schema)
     lex = as_df(lexicon, "token string, valence double").select(
         F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"),
         F.lit(None).cast("double").alias("boost"), F.lit(False).alias("neg"))
@@ -134,8 +131,7 @@ def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = Tru
     scoring = (info.where(F.col("valence").isNotNull() & F.col("boost").isNull())
                .select(F.col("token").alias("lw"), "valence"))
     # a second row for "but", should it score itself, only marks its place: rows without valence go below
-    but_row = info.sparkSession.createDataFrame(
-        pd.DataFrame({"lw": ["but"], "valence": [None]}), "lw string, valence double")
+    but_row = literal_table(info.sparkSession, [("but", None)], "lw string, valence double")
     hits_info = scoring.unionByName(but_row)
     t = tokens_df.withColumn("w", _strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
     t = t.join(hits_info, "lw", "inner")

@@ -22,7 +22,6 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast only what is proven small: the library broadcasts fixed
     # word tables explicitly; automatic broadcast stays at Spark's default.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
