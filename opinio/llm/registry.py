@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, jaccard, line_dedup, quality, secrets, spm, token_counts, token_files, toxicity, url_filter
+from . import decontaminate, jaccard, line_dedup, merkle, quality, secrets, spm, token_counts, token_files, toxicity, url_filter
 from .common import crc_fold, shared_folder
 
 
@@ -169,6 +169,60 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proven = merkle.manifest(table(spark, sf_dir, "documents"))
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _op12_sql(levels: int = 6, top_levels: int = 4) -> str:
+    """Unrolled for groups of up to 16 ** levels rows and 16 ** top_levels groups."""
+    def field(c):
+        return f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '-')"
+
+    def leaf(text):
+        return "sha256(concat(" + ", ".join([*(field(c) for c in merkle.FIELDS[:-1]), field(text)]) + "))"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 by its table: DuckDB has no such function
+    table_sql = ("SELECT list(x ORDER BY b) AS t FROM (SELECT b, list_reduce(range(0, 9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c % 2 = 1 "
+                 "THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(b AS BIGINT)) AS x FROM range(256) r(b))")
+    parts = [f"""crc_table AS ({table_sql}),
+ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+sums AS (SELECT doc_id, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT)),
+   lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS crc FROM ids, crc_table),
+d AS (SELECT documents.*, coalesce(crc % 5 = 0, false) AS bad FROM documents LEFT JOIN sums ON documents.doc_id = sums.doc_id),
+lf AS (SELECT coalesce('s' || source, 'n') AS tree, doc_id, {leaf('text')} AS leaf,
+   CASE WHEN bad THEN {leaf(lower)} ELSE {leaf('text')} END AS claimed FROM d),
+n0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+   count(*) OVER (PARTITION BY tree) AS n, leaf AS hash FROM lf),
+c0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+   doc_id, leaf, claimed AS folded, '' AS proof FROM lf)"""]
+
+    def level(k, nodes, climbs, last):
+        return f""",
+r{k} AS (SELECT tree, pos // 16 AS run, n, list(hash ORDER BY pos) AS hs FROM {nodes} GROUP BY tree, pos // 16, n),
+n{k + 1} AS (SELECT tree, run AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS hash FROM r{k}),
+c{k + 1} AS (SELECT c.tree, pos // 16 AS pos, doc_id, leaf{last},
+   CASE WHEN n = 1 THEN folded ELSE sha256(concat(array_to_string(hs[1:pos % 16], ''), folded, array_to_string(hs[pos % 16 + 2:], ''))) END AS folded,
+   CASE WHEN n = 1 THEN proof ELSE concat(proof, array_to_string(hs[1:pos % 16], ''), array_to_string(hs[pos % 16 + 2:], '')) END AS proof
+   FROM {climbs} c JOIN r{k} ON c.tree = r{k}.tree AND c.pos // 16 = run)"""
+
+    for k in range(levels):
+        parts.append(level(k, f"n{k}", f"c{k}", ""))
+    parts.append(f""",
+top AS (SELECT 't' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, hash, tree AS of_tree FROM n{levels}),
+climb_top AS (SELECT top.tree, top.pos, doc_id, leaf, top.hash AS subroot, folded, proof FROM c{levels} c JOIN top ON c.tree = of_tree)""")
+    for k in range(levels, levels + top_levels):
+        parts.append(level(k, "top" if k == levels else f"n{k}", "climb_top" if k == levels else f"c{k}", ", subroot"))
+    end = levels + top_levels
+    return "WITH " + "".join(parts) + f"""
+SELECT doc_id, leaf, subroot, n{end}.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = n{end}.hash AS verified
+FROM c{end}, n{end}"""
+
+
+OP12_SQL = _op12_sql()
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sentencepiece": op2_sentencepiece,
@@ -180,10 +234,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle": op12_merkle,
 }
 SQL = {
     "op3_line_dedup": OP3_SQL,
     "op5_quality": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_decontamination": OP10_SQL,
+    "op12_merkle": OP12_SQL,
 }
