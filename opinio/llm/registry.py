@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import decontaminate, jaccard, line_dedup, merkle, quality, secrets, spm, token_counts, token_files, toxicity, url_filter
+from . import (decontaminate, jaccard, line_dedup, lookup_clusters, merkle, quality, secrets, spm, token_counts, token_files,
+               toxicity, url_filter)
 from .common import crc_fold, shared_folder
 
 
@@ -223,6 +224,35 @@ FROM c{end}, n{end}"""
 OP12_SQL = _op12_sql()
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def _op13_sql(k: int = lookup_clusters.K, rounds: int = lookup_clusters.ROUNDS) -> str:
+    near = """SELECT r, vec_id, v, arg_min(c, (dist, c)) AS cluster, min(dist) AS distance FROM (SELECT r, vec_id, v, c,
+  list_sum(list_transform(v, lambda x, i: (x - cv[i]) * (x - cv[i]))) AS dist FROM kept, @C@) GROUP BY r, vec_id, v"""
+    parts = [f"""WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+kept AS (SELECT r, vec_id, list_transform(x, lambda y: CAST(floor(64 * y) AS BIGINT)) AS v FROM e
+  WHERE len(x) = 64 AND len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), v) - 1 AS c, v AS cv FROM kept WHERE vec_id IS NOT NULL
+  ORDER BY sha256(concat('1:', vec_id)), v LIMIT {k})"""]
+    for i in range(rounds):
+        parts.append(f"""
+a{i} AS MATERIALIZED ({near.replace('@C@', f'c{i}')}),
+m{i} AS (SELECT cluster, d, sum(v[d]) AS s, count(*) AS n FROM (SELECT cluster, v, unnest(range(1, 65)) AS d FROM a{i}) GROUP BY cluster, d),
+w{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS mv FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(mv, cv) AS cv FROM c{i} LEFT JOIN w{i} ON c = cluster)""")
+    return ",".join(parts) + f""",
+f AS MATERIALIZED ({near.replace('@C@', f'c{rounds}')})
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(cv, ',')) AS centroid_sha256 FROM f JOIN c{rounds} ON c = cluster"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sentencepiece": op2_sentencepiece,
@@ -235,6 +265,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
     "op12_merkle": op12_merkle,
+    "op13_centroids": op13_centroids,
 }
 SQL = {
     "op3_line_dedup": OP3_SQL,
@@ -242,4 +273,5 @@ SQL = {
     "op6_jaccard_join": OP6_SQL,
     "op10_decontamination": OP10_SQL,
     "op12_merkle": OP12_SQL,
+    "op13_centroids": OP13_SQL,
 }
