@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinio.sources.tables import table
 
-from . import (decontaminate, jaccard, line_dedup, lookup_clusters, merkle, quality, secrets, spm, token_counts, token_files,
+from . import (cover_tree, decontaminate, jaccard, line_dedup, lookup_clusters, merkle, quality, secrets, spm, token_counts, token_files,
                toxicity, url_filter)
 from .common import crc_fold, shared_folder
 
@@ -170,6 +170,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT *, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM e
+       WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = len(x)),
+u AS MATERIALIZED (SELECT r, vec_id, list_transform(x, lambda y: y / norm) AS x FROM ok WHERE norm > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.x) = len(b.x)
+      AND list_dot_product(a.x, b.x) >= 0.95),
+c(r, other) AS (SELECT r, r FROM e UNION SELECT c.r, l.b FROM c JOIN l ON c.other = l.a),
+m AS (SELECT c.r, min(e.vec_id) AS component_id FROM c JOIN e ON c.other = e.r GROUP BY c.r),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN m ON e.r = m.r LEFT JOIN n ON e.r = n.r
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     proven = merkle.manifest(table(spark, sf_dir, "documents"))
     return proven.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
@@ -264,6 +283,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_cover_tree": op11_cover_tree,
     "op12_merkle": op12_merkle,
     "op13_centroids": op13_centroids,
 }
@@ -272,6 +292,7 @@ SQL = {
     "op5_quality": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_cover_tree": OP11_SQL,
     "op12_merkle": OP12_SQL,
     "op13_centroids": OP13_SQL,
 }
