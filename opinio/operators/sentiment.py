@@ -20,7 +20,9 @@ Rules (published rule set of Hutto & Gilbert, 2014):
 * sum; punctuation emphasis (0.292 per "!" up to 4; for 2-3 "?" 0.18 each,
   more 0.96) added away from zero; compound = s / sqrt(s^2 + 15), clamped
   to [-1, 1] and rounded to 4 places.
-Not kept: multi-word idioms and emoji descriptions.
+* phrases (boosters such as "kind of", idioms): the longest phrase that starts at a word becomes one token before
+  all rules, so it takes part like a word of the lexicon (see ``opinio.operators.phrases``).
+Not kept: emoji descriptions.
 
 Execution plan
 --------------
@@ -42,6 +44,7 @@ from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import PUNCT_CLASS, split_words
+from opinio.operators.phrases import merge_phrases
 from opinio.sources.tables import literal_table
 
 UPPER_WORD = r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$"
@@ -106,7 +109,8 @@ def _scalar(p: Column, p_boost: Column, v: Column, capdiff: Column) -> Column:
     return F.when(p_boost.isNotNull(), base + caps).otherwise(F.lit(0.0))
 
 
-def _strip_edges(w: Column) -> Column:
+def strip_edges(w: Column) -> Column:
+    """Edge punctuation off, unless two or fewer characters would remain."""
     edge = f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$"
     core = F.regexp_replace(w, edge, "")
     return F.when(F.length(core) <= 2, w).otherwise(core)
@@ -133,14 +137,14 @@ def token_valences(tokens_df: DataFrame, info: DataFrame, include_nt: bool = Tru
     # a second row for "but", should it score itself, only marks its place: rows without valence go below
     but_row = literal_table(info.sparkSession, [("but", None)], "lw string, valence double")
     hits_info = scoring.unionByName(but_row)
-    t = tokens_df.withColumn("w", _strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
+    t = tokens_df.withColumn("w", strip_edges(F.col("w"))).withColumn("lw", F.lower("w"))
     t = t.join(hits_info, "lw", "inner")
     # per review over its few hit rows only; rows are already partitioned by key
     t = t.withColumn("but_pos", F.coalesce(
         F.min(F.when(F.col("lw") == "but", F.col("i") + 1)).over(Window.partitionBy("key")), F.lit(0)))
     t = t.where(F.col("valence").isNotNull())
     for k in ("p1", "p2", "p3", "n1"):
-        t = t.withColumn(k, _strip_edges(F.col(k))).withColumn(f"l{k}", F.lower(k))
+        t = t.withColumn(k, strip_edges(F.col(k))).withColumn(f"l{k}", F.lower(k))
     # "kind of" carries no valence
     t = t.where(~((F.col("lw") == "kind") & F.coalesce(F.col("ln1") == "of", F.lit(False))))
     for k in ("p1", "p2", "p3", "n1"):
@@ -205,10 +209,19 @@ def caps_differential(text: Column) -> Column:
     return F.coalesce(text.rlike(_UPPER_TOKEN) & text.rlike(_NON_UPPER_TOKEN), F.lit(False))
 
 
-def explode_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Narrow raw token rows with neighbours: key, capdiff, i, w, p1, p2, p3, n1."""
+def phrases_of(info: DataFrame) -> DataFrame:
+    """The entries of a word table that have several words."""
+    return info.where(F.col("token").rlike(r"\S\s+\S")).select(F.col("token").alias("phrase"))
+
+
+def explode_tokens(df: DataFrame, key: str, text: str, phrases: DataFrame | None = None) -> DataFrame:
+    """Narrow raw token rows with neighbours: key, capdiff, i, w, p1, p2, p3, n1.  With ``phrases(phrase)`` the tokens
+    are stripped first, and the longest phrases are one token each."""
     narrow = df.select(F.col(key).alias("key"), split_words(F.col(text)).alias("_t"),
                        caps_differential(F.col(text)).alias("capdiff"))
+    if phrases is not None:
+        narrow = narrow.withColumn("_t", F.transform("_t", strip_edges))
+        narrow = merge_phrases(narrow, "key", "_t", F.transform("_t", F.lower), phrases)
     arr = F.transform("_t", lambda w, i: F.struct(
         i.alias("i"), w.alias("w"),
         F.get(F.col("_t"), i - 1).alias("p1"), F.get(F.col("_t"), i - 2).alias("p2"),
@@ -232,13 +245,14 @@ def compound(sum_s: Column, emphasis: Column) -> Column:
 
 def score_sentiment(df: DataFrame, info: DataFrame, key: str = "review_key", text: str = "text_en",
                     score_col: str = "Sentiment_Score", label_col: str = "Polarity",
-                    include_nt: bool = True) -> DataFrame:
+                    include_nt: bool = True, phrases: DataFrame | None = None) -> DataFrame:
     """Add ``Sentiment_Score`` and ``Polarity``; ``key`` must be unique per row.
 
     The planner broadcasts the word table if its size in bytes (exact for
     literal lists, the file size for a lexicon file) is under Spark's
-    broadcast threshold; otherwise the token joins are shuffle joins."""
-    sums = (token_valences(explode_tokens(df, key, text), info, include_nt)
+    broadcast threshold; otherwise the token joins are shuffle joins.  Entries of several words
+    only match if ``phrases`` names them (``phrases_of(info)``): it costs a second pass over the words."""
+    sums = (token_valences(explode_tokens(df, key, text, phrases), info, include_nt)
             .groupBy("key").agg(F.sum("v").alias("_sum_s")))
     out = df.join(sums.withColumnRenamed("key", key), key, "left")
     out = out.withColumn(score_col, compound(F.col("_sum_s"), punctuation_emphasis(F.col(text)))).drop("_sum_s")
@@ -249,10 +263,19 @@ def fixture_word_info(spark: SparkSession) -> DataFrame:
     return word_info(spark, R.FIXTURE_LEXICON, R.FIXTURE_BOOSTERS, R.FIXTURE_NEGATIONS)
 
 
-def default_word_info(spark: SparkSession, lexicon) -> DataFrame:
-    """Published booster and negation lists with a caller-given lexicon
+def fixture_phrase_info(spark: SparkSession) -> DataFrame:
+    return word_info(spark, R.FIXTURE_LEXICON + R.FIXTURE_IDIOMS, R.FIXTURE_BOOSTERS + R.FIXTURE_PHRASE_BOOSTERS, R.FIXTURE_NEGATIONS)
+
+
+def default_word_info(spark: SparkSession, lexicon, idioms=tuple(R.IDIOMS.items())) -> DataFrame:
+    """Published booster, negation and idiom lists with a caller-given lexicon
     (a DataFrame read from the lexicon file, or pairs)."""
     boosters = [(w, R.BOOST_INCR) for w in R.BOOSTERS_UP] + [(w, R.BOOST_DECR) for w in R.BOOSTERS_DOWN]
+    if isinstance(lexicon, DataFrame):
+        own = literal_table(spark, list(idioms), "token string, valence double")
+        lexicon = own.unionByName(lexicon.join(own.select("token"), "token", "left_anti"))
+    else:
+        lexicon = [*idioms, *lexicon]                         # the first of equal tokens counts
     return word_info(spark, lexicon, boosters, R.NEGATIONS)
 
 

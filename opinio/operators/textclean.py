@@ -54,19 +54,29 @@ def _deletions(w: Column, k: int) -> Column:
     return arr
 
 
+def dictionary_with_frequency(df: DataFrame, text: str = "text") -> DataFrame:
+    """``word, freq``: the lower-case letter runs of a text column and how often they occur."""
+    words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
 def best_suggestions(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
     """TXT6b (option): for each distinct unknown word the closest dictionary
     word by edit distance <= ``max_distance`` (ties: more frequent, then
     smaller).  Exact candidate generation by deletion neighbourhoods: two
     words within distance k share a string reachable by <= k deletions
     from each, so an equi-join on those strings finds every candidate
-    without an all-pairs product; ``levenshtein`` then verifies.
-    ``words(word)``; ``dictionary(word[, freq])``."""
-    d = dictionary.select(F.lower("word").alias("cand"),
-                          (F.col("freq") if "freq" in dictionary.columns else F.lit(0)).alias("freq")).distinct()
+    without an all-pairs product; ``levenshtein`` then verifies.  A word more than
+    ``max_distance`` longer than the longest dictionary word has no candidate, so long junk
+    is never expanded.  ``words(word)``; ``dictionary(word[, freq])``."""
+    d = (dictionary.select(F.lower("word").alias("cand"),
+                           (F.col("freq") if "freq" in dictionary.columns else F.lit(0)).alias("freq"))
+         .groupBy("cand").agg(F.max("freq").alias("freq")))
     u = (words.select(F.lower("word").alias("word")).distinct()
          .join(d.select(F.col("cand").alias("word")), "word", "left_anti"))
-    uv = u.select("word", F.explode(_deletions(F.col("word"), max_distance)).alias("v"))
+    longest = d.agg(F.max(F.length("cand"))).scalar()
+    uv = (u.where(F.length("word") <= longest + max_distance)
+          .select("word", F.explode(_deletions(F.col("word"), max_distance)).alias("v")))
     dv = d.select("cand", "freq", F.explode(_deletions(F.col("cand"), max_distance)).alias("v"))
     pairs = (uv.join(dv, "v").select("word", "cand", "freq").distinct()
              .withColumn("dist", F.levenshtein("word", "cand", max_distance))
@@ -75,11 +85,33 @@ def best_suggestions(words: DataFrame, dictionary: DataFrame, max_distance: int
     return u.join(best, "word", "left")                       # no candidate: a null suggestion
 
 
+def correct_words(df: DataFrame, key: str, text: str, dictionary: DataFrame, max_distance: int = 2,
+                  out: str | None = None, pattern: str | None = None) -> DataFrame:
+    """TXT6b in a text: every word that the dictionary does not know becomes its best suggestion, in place; known
+    words, words without a suggestion and words that do not match ``pattern`` (if given) stay as they are.
+
+    Only distinct unknown words are looked up; the corrections meet the words by an equi-join."""
+    words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
+    asked = words.select(F.lower("w").alias("word"))
+    if pattern:
+        asked = asked.where(F.col("word").rlike(pattern))
+    into = best_suggestions(asked, dictionary, max_distance).where(F.col("suggestion").isNotNull())
+    fixed = (words.join(into, F.lower("w") == F.col("word"), "left")
+             .select("_k", "pos", F.coalesce("suggestion", "w").alias("w")))
+    rebuilt = (fixed.groupBy("_k")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]), " ")
+                    .alias("_rebuilt")))
+    res = df.join(rebuilt, df[key] == rebuilt["_k"], "left")
+    return res.withColumn(out or text, F.coalesce("_rebuilt", F.lit(""))).drop("_k", "_rebuilt")
+
+
 def clean_chain(df: DataFrame, key: str, text: str, stop_words: list[str], dictionary: DataFrame | None = None,
-                order: str = "reference", out: str = "text_topic") -> DataFrame:
+                order: str = "reference", out: str = "text_topic", spelling: str = "drop", pattern: str | None = None) -> DataFrame:
     """TXT8 in the reference order: punctuation, mentions, URLs, numbers,
-    stop words, dictionary words, whitespace."""
+    stop words, dictionary words, whitespace.  ``spelling``: ``drop`` deletes words that the
+    dictionary does not know (TXT6), ``correct`` replaces them (TXT6b)."""
     df = df.withColumn(out, TX.clean_steps(F.col(text), stop_words, order))
     if dictionary is not None:
-        df = keep_dictionary_words(df, key, out, dictionary)
+        df = (correct_words(df, key, out, dictionary, pattern=pattern) if spelling == "correct"
+              else keep_dictionary_words(df, key, out, dictionary))
     return df.withColumn(out, TX.collapse_spaces(F.col(out)))

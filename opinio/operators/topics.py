@@ -4,9 +4,8 @@
   length 2..15, not starting with '_', stop words out, optional lemma table.
 * TOP2/TOP3 table forms: bag of words (doc, token, count) and the
   dictionary (token, doc_freq, coll_freq, token_id) -- plain group-bys.
-* TOP4-7: Spark ML ``CountVectorizer`` (vocabulary = every token, no cap)
-  + online ``LDA``; the vectorised corpus is checkpointed to the shared
-  folder before the iterative fit (each iteration re-reads it).
+* TOP4-7: sparse count vectors over dense term ids (every token, no cap), made by joins,
+  + online ``LDA``; the vectors are written to the shared folder before the iterative fit.
 * TOP8 coherence c_v and TOP10 overview tables: DataFrame jobs over the
   topic-word table (K x N rows, broadcast).
 """
@@ -16,10 +15,11 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import without_words
@@ -104,14 +104,27 @@ def dictionary_table(bow: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- LDA
-def vectorize(docs: DataFrame, tokens: str = "tokens"):
-    """CountVectorizer over every token (vocabulary size = distinct tokens,
-    so nothing is cut); returns (model, vectorised docs checkpointed)."""
-    vocab = docs.select(F.explode(tokens).alias("t")).distinct().count()
-    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=max(vocab, 1), minDF=1.0)
-    model = cv.fit(docs)
-    vec = cut_lineage(model.transform(docs))                  # documents without tokens stay (empty vector)
-    return model, vec
+def vectorize(docs: DataFrame, tokens: str = "tokens", key: str = "doc"):
+    """(terms, vectorised docs): every token has a dense id (``terms``: token, doc_freq, coll_freq, token_id), and a document's
+    counts are a sparse vector over these ids, made by a join and an aggregation.  No vocabulary is on the driver or
+    broadcast; one number, its size, is read.
+
+    The vectors are written in the parts a sparse vector has (kind, size, indices, values) and read as vectors; the fit reads
+    them many times."""
+    from opinio.sources.sinks import written
+    bow = cut_lineage(bag_of_words(docs, key, tokens))
+    terms = cut_lineage(dictionary_table(bow))
+    size = max(terms.agg(F.count(F.lit(1))).first()[0], 1)
+    held = (bow.join(terms.select("token", "token_id"), "token")
+            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int").alias("i"),
+                                                                    F.col("count").cast("double").alias("x")))).alias("counts")))
+    none = F.array().cast("array<struct<i:int,x:double>>")                # documents without tokens stay (empty vector)
+    parts = docs.select(key, tokens).join(held, key, "left").withColumn("counts", F.coalesce("counts", none))
+    vectors = parts.select(key, tokens, F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform("counts", lambda c: c["i"]).alias("indices"),
+        F.transform("counts", lambda c: c["x"]).alias("values")).alias("features"))
+    schema = T.StructType([*docs.select(key, tokens).schema.fields, T.StructField("features", VectorUDT())])
+    return terms, written(vectors, "topic-vectors", schema)
 
 
 def fit_lda(vec: DataFrame, k: int = R.LDA_TOPICS, max_iter: int = R.LDA_PASSES, seed: int = 42,
@@ -119,17 +132,24 @@ def fit_lda(vec: DataFrame, k: int = R.LDA_TOPICS, max_iter: int = R.LDA_PASSES,
     """Online LDA: ``max_iter`` minibatches, each a ``subsampling`` share of the documents."""
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling,
               featuresCol="features", topicDistributionCol="topicDistribution")
-    return lda.fit(vec)
+    held = vec.select("features").persist()                   # each minibatch is a pass; what is lost is read again
+    try:
+        return lda.fit(held)
+    finally:
+        held.unpersist()
 
 
-def topic_terms(model, vocabulary: list[str], n: int = 10) -> DataFrame:         # TOP5
-    """(topic, rank, term, weight); only K x n indices are looked up."""
-    spark = SparkSession.getActiveSession()
-    rows = []
-    for r in model.describeTopics(n).collect():
-        for rank, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"])):
-            rows.append((int(r["topic"]), rank, vocabulary[i], float(w)))
-    return spark.createDataFrame(rows, "topic int, rank int, term string, weight double")
+def topic_terms(model, terms: DataFrame, n: int = 10) -> DataFrame:              # TOP5
+    """(topic, rank, term, weight) of the n heaviest terms of each topic."""
+    top = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    return (top.join(terms, F.col("t.termIndices") == F.col("token_id"))
+            .select("topic", "rank", F.col("token").alias("term"), F.col("t.termWeights").alias("weight")))
+
+
+def topic_weights(model, terms: DataFrame) -> DataFrame:
+    """(topic, term, weight) of all terms, weights of a topic adding up to one: the model's description of its topics,
+    taken apart on the executors and joined to the term table."""
+    return topic_terms(model, terms, model.vocabSize()).select("topic", "term", "weight")
 
 
 def doc_topics(model, vec: DataFrame, key: str) -> DataFrame:                     # TOP6
@@ -172,7 +192,6 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
     <= K N^2 pairs joined by equality, not all pairs of a document).
     Documents without any topic word add no windows.
     """
-    spark = docs.sparkSession
     words = topics.select("term").distinct()
     tw = F.broadcast(words.withColumnRenamed("term", "w"))
     d = docs.select(F.col(key).alias("doc"), F.col(tokens).alias("t")).withColumn("L", F.size("t"))
@@ -191,8 +210,8 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
     per_word = runs.groupBy("doc", "w").agg(F.collect_list(F.struct("lo", "hi")).alias("iv"),
                                             F.sum(F.col("hi") - F.col("lo") + 1).alias("n_win"))
     # number of windows of the documents that hold a topic word (one number)
-    n_windows = float(d.join(pos.select("doc").distinct(), "doc", "left_semi")
-                      .agg(F.sum(F.greatest(F.col("L") - window + 1, F.lit(1)))).first()[0] or 0)
+    n_windows = F.coalesce(d.join(pos.select("doc").distinct(), "doc", "left_semi")
+                           .agg(F.sum(F.greatest(F.col("L") - window + 1, F.lit(1))).cast("double")).scalar(), F.lit(0.0))
     single = per_word.groupBy("w").agg(F.sum("n_win").alias("cnt"))
     a = per_word.select("doc", F.col("w").alias("wi"), F.col("iv").alias("ivi"))
     b = per_word.select("doc", F.col("w").alias("wj"), F.col("iv").alias("ivj"))
@@ -215,7 +234,7 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
           .join(single.select(F.col("w").alias("wj"), F.col("cnt").alias("cj")), "wj", "left")
           .join(pair.select(F.col("wi").alias("_a"), F.col("wj").alias("_b"), "co"),
                 (F.least("wi", "wj") == F.col("_a")) & (F.greatest("wi", "wj") == F.col("_b")), "left")
-          .withColumn("N", F.lit(n_windows)))
+          .withColumn("N", n_windows))
     ci, cj = F.coalesce("ci", F.lit(0)), F.coalesce("cj", F.lit(0))
     co = F.when(F.col("wi") == F.col("wj"), ci).otherwise(F.coalesce("co", F.lit(0)))
     # a word that no document holds has no windows: its scores are defined as 0
@@ -250,8 +269,8 @@ def topic_overview(theta: DataFrame, doc_len: DataFrame, key: str, phi: DataFram
     t = theta.join(doc_len, key).select(F.posexplode("theta").alias("topic", "p"), "n")
     prevalence = (t.groupBy("topic").agg(F.sum(F.col("p") * F.col("n")).alias("mass"))
                   .withColumn("prevalence", F.col("mass") / F.sum("mass").over(Window.partitionBy())))
-    total = float(term_freq.agg(F.sum("freq")).first()[0] or 1)
-    pw = term_freq.select("term", (F.col("freq") / F.lit(total)).alias("pw"))
+    total = term_freq.agg(F.sum("freq").cast("double")).scalar()
+    pw = term_freq.select("term", (F.col("freq") / total).alias("pw"))
     rel = (phi.join(pw, "term")
            .withColumn("relevance", lam * F.log("weight") + (1 - lam) * F.log(F.col("weight") / F.col("pw"))))
     rel = rel.withColumn("rank", F.row_number().over(

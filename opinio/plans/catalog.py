@@ -20,6 +20,7 @@ from opinio.operators import aggregates as A
 from opinio.operators import ngrams as N
 from opinio.operators import profile as P
 from opinio.operators.clean import stage_counts
+from opinio.operators.sentiment import fixture_phrase_info, phrases_of, score_sentiment
 from opinio.plans import oracle as O
 from opinio.plans.enrich import add_features, cleaned, enriched
 from opinio.schemas import FEATURE_COLUMNS, NUMERIC_RAW_COLUMNS, RAW_COLUMNS
@@ -162,6 +163,15 @@ def sen01(spark, sf):
     return _e(spark, sf).select("Model", "Reviewer_name", "Review_Rating", "Sentiment_Score", "Polarity")
 
 
+@register("sen03_phrase_sentiment", O.with_ctes(O.ADAPTER, O.CLEAN, O.FEATURES, O.sentiment("features", "scored", phrases=True)) + """
+SELECT Model, Reviewer_name, Review_Rating, Sentiment_Score, Polarity FROM scored""")
+def sen03(spark, sf):
+    """SEN1 with phrases: boosters and idioms of several words, the longest match first."""
+    info = fixture_phrase_info(spark)
+    df = score_sentiment(cleaned(spark, sf), info, phrases=phrases_of(info))
+    return df.select("Model", "Reviewer_name", "Review_Rating", "Sentiment_Score", "Polarity")
+
+
 # ---------------------------------------------------------------- classifier
 @register("cls01_keyword_classification", ENR_NOSENT + f"""
 SELECT Model, Reviewer_name, {O.keyword_hits('text_lower', R.FIXTURE_PRODUCT_KEYWORDS, True)} AS product_hits,
@@ -420,6 +430,7 @@ SQL["ngr08_word_frequencies_by_polarity"] = SQL["ngr08_word_frequencies_by_polar
 from opinio.functions import text as TX  # noqa: E402
 from opinio.operators import textclean as TC  # noqa: E402
 from opinio.operators import topics as TP  # noqa: E402
+from opinio.sources import markup as MK  # noqa: E402
 from opinio.sources import pages as PG  # noqa: E402
 from opinio.sources.tables import table  # noqa: E402
 
@@ -583,50 +594,50 @@ def _corpus(spark, sf):
 
 
 def _lda(docs, k=R.LDA_TOPICS, iters=R.LDA_PASSES, seed=42):
-    """(vectoriser, vectors, fitted model) of a corpus."""
-    cv, vec = TP.vectorize(docs)
-    return cv, vec, TP.fit_lda(vec, k, iters, seed)
+    """(term table, vectors, fitted model) of a corpus."""
+    terms, vec = TP.vectorize(docs)
+    return terms, vec, TP.fit_lda(vec, k, iters, seed)
 
 
 @register("top05_lda_topic_terms")
 def top05(spark, sf):
-    cv, vec, model = _lda(_corpus(spark, sf))
-    return TP.topic_terms(model, cv.vocabulary, 10)
+    terms, vec, model = _lda(_corpus(spark, sf))
+    return TP.topic_terms(model, terms, 10)
 
 
 @register("top06_doc_topics")
 def top06(spark, sf):
-    cv, vec, model = _lda(_corpus(spark, sf))
+    terms, vec, model = _lda(_corpus(spark, sf))
     return TP.doc_topics(model, vec, "doc").select("doc", "dominant_topic",
                                                   F.transform("theta", lambda x: F.round(x, 6)).alias("theta"))
 
 
 @register("top07_perplexity")
 def top07(spark, sf):
-    cv, vec, model = _lda(_corpus(spark, sf))
+    terms, vec, model = _lda(_corpus(spark, sf))
     return TP.perplexity(model, vec)
 
 
 @register("top08_coherence_cv")
 def top08(spark, sf):
     docs = _corpus(spark, sf)
-    cv, vec, model = _lda(docs)
-    terms = TP.topic_terms(model, cv.vocabulary, 20).select("topic", "term")
-    return TP.coherence_cv(docs, "doc", "tokens", terms).select("topic", F.round("coherence", 6).alias("coherence"))
+    terms, vec, model = _lda(docs)
+    top = TP.topic_terms(model, terms, 20).select("topic", "term")
+    return TP.coherence_cv(docs, "doc", "tokens", top).select("topic", F.round("coherence", 6).alias("coherence"))
 
 
 @register("top09_topic_count_sweep")
 def top09(spark, sf):
     """One pass over the corpus per topic count: twenty minibatches of a twentieth."""
     docs = _corpus(spark, sf)
-    cv, vec = TP.vectorize(docs)
+    terms, vec = TP.vectorize(docs)
     out = None
     for k in R.LDA_SWEEP:
         if k == 1:
-            terms = TP.unigram_topic(docs, "tokens", 20)
+            top = TP.unigram_topic(docs, "tokens", 20)
         else:
-            terms = TP.topic_terms(TP.fit_lda(vec, k, 20, R.LDA_SWEEP_SEED, subsampling=0.05), cv.vocabulary, 20)
-        c = TP.coherence_summary(TP.coherence_cv(docs, "doc", "tokens", terms.select("topic", "term"))).select(
+            top = TP.topic_terms(TP.fit_lda(vec, k, 20, R.LDA_SWEEP_SEED, subsampling=0.05), terms, 20)
+        c = TP.coherence_summary(TP.coherence_cv(docs, "doc", "tokens", top.select("topic", "term"))).select(
             F.lit(k).alias("num_topics"), F.round("coherence", 6).alias("coherence"))
         out = c if out is None else out.unionByName(c)
     return out
@@ -635,11 +646,11 @@ def top09(spark, sf):
 def _overview(spark, sf):
     """(prevalence, relevance, distances) of a fitted model."""
     docs = _corpus(spark, sf)
-    cv, vec, model = _lda(docs)
+    terms, vec, model = _lda(docs)
     theta = TP.doc_topics(model, vec, "doc")
-    lens = vec.select("doc", F.size("tokens").alias("n"))
-    tf = TP.bag_of_words(docs, "doc", "tokens").groupBy(F.col("token").alias("term")).agg(F.sum("count").alias("freq"))
-    return TP.topic_overview(theta, lens, "doc", _phi(spark, model, cv.vocabulary), tf)
+    lens = docs.select("doc", F.size("tokens").alias("n"))
+    tf = terms.select(F.col("token").alias("term"), F.col("coll_freq").alias("freq"))
+    return TP.topic_overview(theta, lens, "doc", TP.topic_weights(model, terms), tf)
 
 
 @register("top10_topic_prevalence")
@@ -647,20 +658,6 @@ def top10(spark, sf):
     return _overview(spark, sf)[0].select("topic", F.round("prevalence", 6).alias("prevalence"))
 
 
-def _phi(spark, model, vocabulary):
-    """Normalised topic-term weights (topic, term, weight) from the fitted
-    model's topic matrix (model state: vocabulary x topics)."""
-    import numpy as np
-    import pandas as pd
-    arr = model.topicsMatrix().toArray()          # V x K
-    arr = arr / arr.sum(axis=0, keepdims=True)
-    v, k = arr.shape
-    pdf = pd.DataFrame({"topic": np.tile(np.arange(k, dtype=np.int32), v),
-                        "term": np.repeat(np.asarray(vocabulary, dtype=object), k),
-                        "weight": arr.reshape(-1)})
-    return spark.createDataFrame(pdf, "topic int, term string, weight double")
-
-
 @register("top10b_topic_relevance_terms")
 def top10b(spark, sf):
     return _overview(spark, sf)[1].select("topic", "rank", "term", F.round("relevance", 6).alias("relevance"))
@@ -704,6 +701,44 @@ def src03(spark, sf):
     return PG.review_blocks(_pages(spark, sf))
 
 
+@register("src04_markup_blocks", f"""
+WITH pf AS (SELECT page_id, string_split(string_split(html, '<h1>')[2], '</h1>')[1] AS m,
+   string_split(string_split(html, '<title>')[2], '</title>')[1] AS t, {_PARAS} AS paras FROM pages),
+b AS (SELECT page_id, m, t, unnest(paras) AS block, unnest(generate_series(0, len(paras) - 1)) AS block_no FROM pf)
+SELECT page_id, CAST(block_no AS INT) AS block_no, {_text_sql('m')} AS Model, {_text_sql('t')} AS page_title, {_text_sql('block')} AS Review FROM b""")
+def src04(spark, sf):
+    """SRC3-5 by the element stack: the paragraphs of stored articles, page fields repeated."""
+    out = MK.extract(_pages(spark, sf), {"article": MK.ARTICLE}, ["Model", "page_title", "Review"])
+    return out.select("page_id", "block_no", "Model", "page_title", "Review")
+
+
+_SHOWN = ["Overall_product_rating", "Overall_product_rating_count", "Review_title", "Reviewer_name", "Review_Rating", "Review", "Review_helpful_rating"]
+_SHOWN_SQL = ("shown AS (SELECT Model, Company, " + ", ".join(f"trim({c}, ' ' || chr(9) || chr(10) || chr(13)) AS {c}" for c in _SHOWN) + " FROM raw)")
+
+
+def _review_pages(spark, sf):
+    """Review pages in both layouts, written from the raw reviews: ten documents or so of one product a page."""
+    from opinio.sources.review_pages import review_pages
+    raw = reviews_raw(spark, sf, keep_doc_id=True)
+    return review_pages(raw.withColumn("ten", F.floor(F.col("doc_id") / 200)), ["ten"])
+
+
+@register("src05_review_page_fields", O.with_ctes(O.ADAPTER, _SHOWN_SQL) + "\nSELECT " + ", ".join(RAW_COLUMNS) + " FROM shown")
+def src05(spark, sf):
+    """SRC3-6: every field of every review, read back from review pages in two layouts."""
+    return MK.raw_reviews(_review_pages(spark, sf), RAW_COLUMNS).select(*RAW_COLUMNS)
+
+
+@register("src05b_cleaned_from_pages", O.with_ctes(O.ADAPTER, _SHOWN_SQL, O.CLEAN.replace("FROM raw)", "FROM shown)")) + """
+SELECT Model, Company, Overall_product_rating, Overall_product_rating_count, Review_title, Reviewer_name,
+       Review_Rating, Review, Review_helpful_rating, Title_and_Reviews FROM keyed""")
+def src05b(spark, sf):
+    """Pages to cleaned reviews."""
+    from opinio.operators.clean import clean_reviews
+    raw = MK.raw_reviews(_review_pages(spark, sf), RAW_COLUMNS).select(*RAW_COLUMNS)
+    return clean_reviews(raw).select(*RAW_COLUMNS, "Title_and_Reviews")
+
+
 # Nothing of an article is lost: its characters outside tags, less the headline, are the blocks' characters.
 @register("src03b_article_characters", """
 SELECT CAST(sum(length(regexp_replace(string_split(string_split(html, '</h1>')[2], '</article>')[1], '<[^>]*>|[ \\t\\r\\n]+|&[a-z]+;', '', 'g')))
@@ -812,6 +847,29 @@ def txt06b(spark, sf):
     return TC.best_suggestions(words, _benchmark_dictionary(spark, sf), 2)
 
 
+# Words of ASCII letters only, whose distance both engines count alike.
+_ASCII_WORD = "^[a-z]+$"
+
+
+@register("txt06c_corrected_text", ENR_NOSENT + f""",
+fd AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark)
+       WHERE regexp_matches(word, '{_ASCII_WORD}') GROUP BY word),
+ch AS (SELECT review_key, {_chain_sql('text_lower', CHAIN_STOP)} AS t0 FROM enriched),
+cw AS (SELECT review_key, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT review_key,
+       list_filter(string_split_regex(t0, '\\s+'), lambda w: w <> '') AS ws FROM ch)),
+un AS (SELECT DISTINCT lower(w) AS u FROM cw WHERE regexp_matches(lower(w), '{_ASCII_WORD}') AND lower(w) NOT IN (SELECT word FROM fd)),
+sg AS (SELECT u, arg_min(word, (levenshtein(u, word), -freq, word)) AS best FROM un JOIN fd
+       ON abs(length(u) - length(word)) <= 2 AND levenshtein(u, word) <= 2 GROUP BY u),
+cf AS (SELECT review_key, string_agg(coalesce(best, w), ' ' ORDER BY pos) AS text_topic FROM cw LEFT JOIN sg ON lower(w) = u GROUP BY review_key)
+SELECT Model, Reviewer_name, coalesce(text_topic, '') AS text_topic FROM enriched LEFT JOIN cf ON enriched.review_key = cf.review_key""")
+def txt06c(spark, sf):
+    """TXT6b in the chain: words of ASCII letters that the dictionary does not know become its best suggestion."""
+    dictionary = TC.dictionary_with_frequency(table(spark, sf, "benchmark").select("text")).where(F.col("word").rlike(_ASCII_WORD))
+    df = TC.clean_chain(_e(spark, sf, sentiment=False), "review_key", "text_lower", CHAIN_STOP, dictionary,
+                        spelling="correct", pattern=_ASCII_WORD)
+    return df.select("Model", "Reviewer_name", "text_topic")
+
+
 # c_v coherence for topics fixed by the data (top 40 tokens, topic = rank mod 4),
 # so both engines score the same topics.
 _FIXED_TOPIC_WORDS = 40
@@ -918,6 +976,43 @@ def cln12(spark, sf):
                      (F.col("text_en") != F.col("text_raw")).alias("translated"), F.md5("text_en").alias("text_en_md5"))
 
 
+# Lexicon: the words and word pairs of the benchmark items that occur in at least two items; into the same reversed.
+_LEXICON_WORDS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
+_LEXICON_SQL = O.with_ctes(O.ADAPTER, O.CLEAN) + f""",
+bt AS (SELECT item_id, list_transform({_LEXICON_WORDS}, lambda w: {O.stripped('w')}) AS t FROM benchmark),
+bp AS (SELECT item_id, unnest(t) AS phrase FROM bt UNION ALL
+       SELECT item_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM bt),
+lex AS (SELECT phrase, reverse(phrase) AS into_ FROM bp WHERE NOT contains(phrase, '  ') AND trim(phrase) = phrase AND phrase <> ''
+        GROUP BY phrase HAVING count(DISTINCT item_id) >= 2),
+src AS (SELECT review_key AS key, list_filter(string_split_regex(text_raw, '\\s+'), lambda w: w <> '') AS t FROM keyed),
+tok AS (SELECT key, unnest(t) AS raw, unnest(range(1, len(t) + 1)) AS i FROM src),
+low AS (SELECT key, i, {O.stripped('raw')} AS w FROM tok),""" + O.merged_tokens("low", "(SELECT phrase FROM lex)") + """
+old AS (SELECT key, i, raw, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM tok),
+span AS (SELECT key, i, hit, sum(CASE WHEN hit IS NULL THEN 1 ELSE len(string_split(hit, ' ')) END)
+         OVER (PARTITION BY key ORDER BY i) AS last FROM s_merged),
+fin AS (SELECT span.key, string_agg(CASE WHEN hit IS NULL THEN raw ELSE into_ END, ' ' ORDER BY span.i) AS translated
+        FROM span JOIN old ON span.key = old.key AND last = old.k LEFT JOIN lex ON hit = lex.phrase GROUP BY span.key)
+SELECT Model, Reviewer_name, Review_Rating, md5(coalesce(translated, '')) AS translated_md5
+FROM keyed LEFT JOIN fin ON keyed.review_key = fin.key"""
+
+
+@register("cln11_lexicon_translation", _LEXICON_SQL)
+def cln11(spark, sf):
+    """CLN11, lexicon form: words and phrases replaced from left to right, the longest first; the lexicon is derived from `benchmark`."""
+    from opinio.operators.phrases import translate_with_lexicon
+    from opinio.operators.sentiment import strip_edges
+    words = F.transform(TX.split_words(F.lower("text")), strip_edges)
+    items = table(spark, sf, "benchmark").select("item_id", words.alias("t"))
+    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(
+        " ", F.element_at("t", i), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
+    lexicon = (items.select("item_id", F.explode(F.concat("t", pairs)).alias("phrase"))
+               .where(~F.col("phrase").contains("  ") & (F.trim("phrase") == F.col("phrase")) & (F.col("phrase") != ""))
+               .groupBy("phrase").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") >= 2)
+               .select("phrase", F.reverse("phrase").alias("into")))
+    df = translate_with_lexicon(cleaned(spark, sf), "review_key", "text_raw", lexicon)
+    return df.select("Model", "Reviewer_name", "Review_Rating", F.md5("translated").alias("translated_md5"))
+
+
 # ---------------------------------------------------------------- topic tables given fixed topics, and invariants
 _OVERVIEW_SQL = _DOCS_SQL + f""",
 tf AS (SELECT term, count(*) AS freq FROM (SELECT unnest(tokens) AS term FROM docs) GROUP BY term),
@@ -972,11 +1067,11 @@ SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT t) FROM
        true AS perplexity_is_minus_bound""")
 def top04(spark, sf):
     """What must hold of any fit: every document has a distribution, every token is a term."""
-    cv, vec, model = _lda(_corpus(spark, sf))
+    terms, vec, model = _lda(_corpus(spark, sf))
     theta = TP.doc_topics(model, vec, "doc").select(F.aggregate("theta", F.lit(0.0), lambda s, x: s + x).alias("s"),
                                                     F.size("theta").alias("k"))
     p = TP.perplexity(model, vec).select(((F.col("log_perplexity") + F.col("per_word_bound") == 0)
                                           & (F.col("log_perplexity") > 0)).alias("perplexity_is_minus_bound"))
-    out = theta.agg(F.count(F.lit(1)).alias("documents"), F.lit(len(cv.vocabulary)).cast("long").alias("terms"),
-                    F.max("k").cast("long").alias("topics"), F.round(F.sum("s"), 6).alias("theta_total"))
-    return out.withColumn("perplexity_is_minus_bound", p.scalar())
+    out = theta.agg(F.count(F.lit(1)).alias("documents"), F.max("k").cast("long").alias("topics"),
+                    F.round(F.sum("s"), 6).alias("theta_total"))
+    return out.withColumn("terms", terms.agg(F.count(F.lit(1))).scalar()).withColumn("perplexity_is_minus_bound", p.scalar())

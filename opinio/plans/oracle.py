@@ -101,23 +101,47 @@ def _values_table(rows) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(vals) + ") AS v(token, valence, boost, neg)"
 
 
-def fixture_info_rows():
+def fixture_info_rows(phrases: bool = False):
     rows = {}
-    for tok, val in R.FIXTURE_LEXICON:
+    for tok, val in R.FIXTURE_LEXICON + (R.FIXTURE_IDIOMS if phrases else []):
         rows.setdefault(tok.lower(), [None, None, False])[0] = float(val)
-    for tok, b in R.FIXTURE_BOOSTERS:
+    for tok, b in R.FIXTURE_BOOSTERS + (R.FIXTURE_PHRASE_BOOSTERS if phrases else []):
         rows.setdefault(tok.lower(), [None, None, False])[1] = float(b)
     for tok in R.FIXTURE_NEGATIONS:
         rows.setdefault(tok.lower(), [None, None, False])[2] = True
     return [(k, *v) for k, v in sorted(rows.items())]
 
 
-def sentiment(src: str = "features", out: str = "scored") -> str:
+def stripped(w: str) -> str:
+    """A lower-cased word without punctuation at its edges (unless too little would remain)."""
+    edge = lit(f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$")
+    return (f"lower(CASE WHEN length(regexp_replace({w}, {edge}, '', 'g')) <= 2 THEN {w} "
+            f"ELSE regexp_replace({w}, {edge}, '', 'g') END)")
+
+
+def merged_tokens(src: str, phrases: str) -> str:
+    """CTEs from ``src(key, i, w)`` (1-based places) and ``phrases(phrase)`` to ``s_merged(key, i, w, hit)``: the longest phrase
+    that starts at a word, from left to right, is one row; ``hit`` is the phrase that matched, else null."""
+    return f"""
+ph AS (SELECT phrase, string_split(phrase, ' ')[1] AS w1, len(string_split(phrase, ' ')) AS n FROM {phrases}),
+ph_tok AS (SELECT key, list(w ORDER BY i) AS t, list(lower(w) ORDER BY i) AS lt FROM {src} GROUP BY key),
+ph_hit AS (SELECT q.key, q.i AS p, x.n, x.phrase FROM {src} q JOIN ph x ON lower(q.w) = x.w1 JOIN ph_tok t ON q.key = t.key
+  WHERE array_to_string(t.lt[q.i:q.i + x.n - 1], ' ') = x.phrase AND q.i + x.n - 1 <= len(t.lt)),
+ph_list AS (SELECT key, list(struct_pack(s := p, e := p + n, m := [struct_pack(p := p, n := n, phrase := phrase)]) ORDER BY p, n DESC) AS h
+  FROM ph_hit GROUP BY key),
+ph_match AS (SELECT key, unnest(list_reduce(h, lambda a, x: CASE WHEN x.s >= a.e
+  THEN struct_pack(s := a.s, e := x.e, m := list_concat(a.m, x.m)) ELSE a END).m) AS m FROM ph_list),
+ph_rows AS (SELECT k.key, k.i, k.w, m.m AS m FROM {src} k LEFT JOIN ph_match m ON k.key = m.key AND k.i >= m.m.p AND k.i < m.m.p + m.m.n),
+s_merged AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY min(i)) AS i, string_agg(w, ' ' ORDER BY i) AS w, any_value(m.phrase) AS hit
+  FROM ph_rows GROUP BY key, coalesce(m.p, i)),"""
+
+
+def sentiment(src: str = "features", out: str = "scored", phrases: bool = False) -> str:
     """Lexicon sentiment by SQL: tokens unnested with their neighbours,
     joined to the word table, rules applied step by step, summed per review."""
     edge = lit(f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$")
     up = lit(UPPER_WORD)
-    info = _values_table(fixture_info_rows())
+    info = _values_table(fixture_info_rows(phrases))
     n = R.NEGATION_SCALAR
     c = R.CAPS_INCR
 
@@ -137,10 +161,10 @@ def sentiment(src: str = "features", out: str = "scored") -> str:
 s_info AS ({info}),
 s_split AS (SELECT review_key AS key, list_filter(string_split_regex(text_en, '\\s+'), lambda w: w <> '') AS t0 FROM {src}),
 s_w0 AS (SELECT key, unnest(t0) AS w0, unnest(generate_series(1, len(t0))) AS i FROM s_split),
-s_w AS (SELECT key, i, CASE WHEN length(regexp_replace(w0, {edge}, '', 'g')) <= 2 THEN w0
-   ELSE regexp_replace(w0, {edge}, '', 'g') END AS w FROM s_w0),
-s_flag AS (SELECT key, sum(CASE WHEN {isup('w')} THEN 1 ELSE 0 END) AS n_up, count(*) AS n_tok,
-   coalesce(min(CASE WHEN lower(w) = 'but' THEN i END), 0) AS but_pos FROM s_w GROUP BY key),
+@W@
+s_up AS (SELECT key, sum(CASE WHEN {isup('w')} THEN 1 ELSE 0 END) AS n_up, count(*) AS n_tok FROM s_caps GROUP BY key),
+s_but AS (SELECT key, coalesce(min(CASE WHEN lower(w) = 'but' THEN i END), 0) AS but_pos FROM s_w GROUP BY key),
+s_flag AS (SELECT s_up.*, but_pos FROM s_up JOIN s_but ON s_up.key = s_but.key),
 s_rows AS (SELECT s_w.key, (n_up > 0 AND n_up < n_tok) AS capdiff, but_pos, i, w,
    lag(w, 1) OVER win AS p1, lag(w, 2) OVER win AS p2, lag(w, 3) OVER win AS p3, lead(w, 1) OVER win AS n1
    FROM s_w JOIN s_flag ON s_w.key = s_flag.key
@@ -159,6 +183,16 @@ s_v0 AS (SELECT *, CASE WHEN coalesce(lp1 = 'no', false) OR coalesce(lp2 = 'no',
    WHEN lw = 'no' AND n1_val IS NOT NULL THEN 0.0 ELSE valence END AS v0 FROM s_j),
 s_v1 AS MATERIALIZED (SELECT *, CASE WHEN {isup('w')} AND capdiff THEN (CASE WHEN v0 > 0 THEN v0 + {c} ELSE v0 - {c} END)
    ELSE v0 END AS v1 FROM s_v0),""")
+    stripped = (f"(SELECT key, i, CASE WHEN length(regexp_replace(w0, {edge}, '', 'g')) <= 2 THEN w0 "
+                f"ELSE regexp_replace(w0, {edge}, '', 'g') END AS w FROM s_w0),")
+    if phrases:
+        words = (f"s_w00 AS {stripped} s_phrases AS (SELECT token AS phrase FROM s_info WHERE contains(token, ' ')),"
+                 + merged_tokens("s_w00", "s_phrases") + "\ns_w AS (SELECT key, i, w FROM s_merged),"
+                 # capitals are judged on the words of the text, not on the merged tokens
+                 "\ns_caps AS (SELECT * FROM s_w00),")
+    else:
+        words = f"s_w AS {stripped}\ns_caps AS (SELECT * FROM s_w),"
+    steps[0] = steps[0].replace("@W@", words)
     # three preceding positions
     prev = "v1"
     for idx, (k, damp) in enumerate(zip(("p1", "p2", "p3"), R.PRECEDING_DAMPING)):

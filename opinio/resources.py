@@ -122,6 +122,12 @@ BOOSTERS_DOWN = [
     "sort-of",
 ]
 
+# Idioms of the published sentiment rule set and their valence.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
+
 # ---------------------------------------------------------------------------
 # FIXTURE VALUES: word lists for the invented-syllable test corpus
 # (FIXTURES.md section 3).  The registered queries use these, because the
@@ -135,6 +141,9 @@ FIXTURE_LEXICON = [("was", -1.5), ("with", 1.2), ("that", 0.8), ("is", 0.5), ("o
                    ("le", 1.0), ("que", -0.9), ("der", 0.7), ("los", -0.7)]
 FIXTURE_BOOSTERS = [("of", 0.293), ("to", -0.293)]
 FIXTURE_NEGATIONS = ["in", "la"]
+# Phrases that occur in the corpus, some of them overlapping; a phrase takes its words away from the lists above.
+FIXTURE_IDIOMS = [("the and", 2.0), ("and the", -1.4), ("the the the", -2.2), ("the the", 0.4), ("de la", 1.1)]
+FIXTURE_PHRASE_BOOSTERS = [("of the", 0.293), ("to the", -0.293)]
 
 
 # ---------------------------------------------------------------------------

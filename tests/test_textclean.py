@@ -60,3 +60,25 @@ def test_suggestions_exact_against_brute_force(spark):
     for w in unknown:
         cands = sorted((_lev(w, d), d) for d in dict_words if _lev(w, d) <= 2)
         assert got.get(w) == (cands[0][1] if cands else None), w
+
+
+def test_corrected_text_against_brute_force(spark):
+    freq = {"the": 9, "then": 3, "than": 5, "hello": 2, "help": 2, "world": 1, "ab": 1}
+    texts = ["teh  world helo", "", "thn " + "x" * 5000 + " ab", "The HELO wrld xyzzy zz9", None, "tha"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, t string")
+    d = spark.createDataFrame(list(freq.items()), "word string, freq long")
+
+    def fix(w):
+        if w.lower() in freq or not w.isalpha():
+            return w
+        best = min(((_lev(w.lower(), c), -n, c) for c, n in freq.items()), default=None)
+        return best[2] if best[0] <= 2 else w
+    got = {r["k"]: r["t"] for r in TC.correct_words(df, "k", "t", d, pattern="^[a-z]+$").collect()}
+    assert got == {str(i): " ".join(fix(w) for w in (t or "").split()) for i, t in enumerate(texts)}
+    assert got["5"] == "the"                                  # tha: the, than and then are near; the closest and most frequent
+
+
+def test_long_junk_is_not_expanded(spark):
+    words = spark.createDataFrame([("y" * 3000,), ("helo",)], "word string")
+    out = TC.best_suggestions(words, spark.createDataFrame([("hello",)], "word string"), 2)
+    assert {r.word[:4]: r.suggestion for r in out.collect()} == {"yyyy": None, "helo": "hello"}

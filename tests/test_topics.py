@@ -73,10 +73,17 @@ def test_lda_two_topics(spark):
     docs = spark.createDataFrame(
         [(str(i), (["apple", "banana", "cherry"] if i % 2 else ["engine", "wheel", "brake"]) * 5) for i in range(20)],
         "doc string, tokens array<string>")
-    cv, vec = TP.vectorize(docs)
+    terms, vec = TP.vectorize(docs)
     model = TP.fit_lda(vec, 2, 20, 1)
-    terms = TP.topic_terms(model, cv.vocabulary, 3).collect()
-    assert len(terms) == 6
+    top = TP.topic_terms(model, terms, 3).collect()
+    assert sorted((r.topic, r["rank"]) for r in top) == [(k, n) for k in (0, 1) for n in range(3)]
+    # all weights equal the model's topic matrix, term by term
+    weights = {(r.topic, r.term): r.weight for r in TP.topic_weights(model, terms).collect()}
+    matrix = model.topicsMatrix().toArray()
+    matrix = matrix / matrix.sum(axis=0)
+    ids = {r.token: r.token_id for r in terms.collect()}
+    assert len(weights) == 12 and all(abs(w - matrix[ids[t], k]) < 1e-12 for (k, t), w in weights.items())
+    assert all(abs(r.weight - weights[r.topic, r.term]) < 1e-12 for r in top)
     assert TP.perplexity(model, vec).collect()[0]["log_perplexity"] > 0
     uni = TP.unigram_topic(docs, "tokens", 2).collect()
     assert len(uni) == 2 and all(r["topic"] == 0 for r in uni)
@@ -125,6 +132,39 @@ def test_coherence_of_a_word_that_no_document_holds(spark):
 
 def test_documents_without_tokens_have_even_topics(spark):
     docs = spark.createDataFrame([("1", ["a", "b"]), ("2", []), ("3", ["a", "c"])], "doc string, tokens array<string>")
-    cv, vec = TP.vectorize(docs)
+    _, vec = TP.vectorize(docs)
     got = {r["doc"]: r["theta"] for r in TP.doc_topics(TP.fit_lda(vec, 2, 2), vec, "doc").collect()}
     assert len(got) == 3 and got["2"] == [0.5, 0.5] and all(abs(sum(t) - 1) < 1e-6 for t in got.values())
+
+
+def test_vectors_are_the_counts(spark):
+    texts = {"1": ["b", "a", "b"], "2": [], "3": ["c", "a"], "4": ["é"] * 4}
+    docs = spark.createDataFrame(list(texts.items()), "doc string, tokens array<string>")
+    terms, vec = TP.vectorize(docs)
+    ids = {r.token: (r.token_id, r.doc_freq, r.coll_freq) for r in terms.collect()}
+    assert ids == {"a": (0, 2, 2), "b": (1, 1, 2), "c": (2, 1, 1), "é": (3, 1, 4)}
+    got = {r.doc: r.features for r in vec.collect()}
+    for doc, tokens in texts.items():
+        assert got[doc].size == 4
+        assert dict(zip(got[doc].indices.tolist(), got[doc].values.tolist())) == {ids[t][0]: tokens.count(t) for t in tokens}
+    empty, none = TP.vectorize(docs.where("1 = 0"))
+    assert empty.count() == 0 and none.count() == 0
+
+
+def test_no_vocabulary_on_the_driver_or_broadcast(spark, monkeypatch):
+    """The vocabulary is joined by a shuffle once it is not small, and only its size is ever fetched."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    fetched = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: fetched.append(out := collect(self)) or out)
+    docs = spark.createDataFrame([(str(i), [f"w{i}", f"w{i + 1}", "x"]) for i in range(500)], "doc string, tokens array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms, vec = TP.vectorize(docs)
+        model = TP.fit_lda(vec, 2, 2, 1)
+        plan = TP.topic_weights(model, terms)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        assert terms.count() == 502
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+    assert all(len(rows) <= 1 for rows in fetched)
