@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinio.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "narrow", "row_type", "texts", "strings", "sha256_hex", "shared_folder", "crc_fold"]
+__all__ = ["cut_lineage", "narrow", "row_type", "slices", "texts", "strings", "sha256_hex", "shared_folder", "written", "crc_fold"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
+def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool | list[str] = False,
            **more: str) -> DataFrame:
     """``(doc_id, text, ...)`` and nothing else: a null text becomes empty, other
     columns of the input never reach an operator.  With ``carry`` the whole
-    input row goes along as the struct ``row``, where no name can clash."""
+    input row, or the columns that it lists, goes along as the struct ``row``, where no name can clash.
+    (A text that is carried, too, is held twice: large tables carry what they need beside it.)"""
+    along = docs.columns if carry is True else carry or []
     return docs.select(F.col(id_col).alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *[F.col(c).alias(n) for n, c in more.items()],
-                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+                       *([F.struct(*[F.col(f"`{c}`") for c in along]).alias("row")] if carry else []))
 
 
 def row_type(source: DataFrame) -> str:
@@ -39,6 +43,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and about ``size`` bytes of text: what Python objects a part needs does
+    not depend on how the rows were batched.  (A longer text is a part by itself.)"""
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > start and (k - start >= rows or held + n > size):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def strings(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
@@ -52,6 +70,13 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: the planner knows their size."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_fold(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 5 (a null id falls in fold 1)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(1))

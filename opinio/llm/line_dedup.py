@@ -24,6 +24,8 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +44,25 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(_STRIP)), UPPER, UPPER.lower())
 
 
+#: Lets the reader of a bucketed table rely on the order of its files, if there is one file per bucket.
+_FILE_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def files_in_order(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FILE_ORDER, None)
+    spark.conf.set(_FILE_ORDER, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FILE_ORDER)
+        else:
+            spark.conf.set(_FILE_ORDER, before)
+
+
 class Run(NamedTuple):
-    rows: DataFrame                                          # bucketed and sorted
+    rows: DataFrame                                          # bucketed and sorted, one file per bucket
     path: str
 
 
@@ -56,11 +75,12 @@ class LineRuns:
         self.updates: list[list[Run]] = [[]]                 # further documents of known keys
 
     def _run(self, rows: DataFrame) -> Run:
-        """Write a sorted run; the table entry only carries the bucketing to the reader."""
+        """Write a sorted run of rows that are dealt by key; the table entry only carries the bucketing to the reader."""
         name = f"line_run_{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}"
-        (rows.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
-         .option("path", path).format("parquet").saveAsTable(name))
+        with files_in_order(self.spark):
+            (rows.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
+             .option("path", path).format("parquet").saveAsTable(name))
         run = self.spark.table(name)
         run.schema                                           # resolve before the entry goes; files stay
         self.spark.sql(f"DROP TABLE {name}")
@@ -74,18 +94,27 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """Add a batch: ``h1, h2, doc_id`` rows of documents that no earlier batch held."""
         one_each = keys.select(*_KEY, "doc_id").distinct()     # spreads a hot line over its documents
-        batch = self._run(one_each.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")))
+        counted = one_each.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
+        batch = self._run(self._by_bucket(counted))
         known = [r for level in self.levels for r in level]
         fresh = batch
         if known:
-            unseen = batch.rows
-            for run in known:
-                unseen = unseen.join(run.rows.select(*_KEY), _KEY, "left_anti")
-            fresh = self._run(unseen)
-            self.updates[0].append(self._run(batch.rows.join(fresh.rows.select(*_KEY), _KEY, "left_anti")))
+            fresh = self._run(self.unseen(batch, known))
+            self.updates[0].append(self._run(self.unseen(batch, [fresh])))
         self.levels[0].append(fresh)
         self._compact()
 
+    def _by_bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, *_KEY)
+
+    @staticmethod
+    def unseen(batch: Run, known: list[Run]) -> DataFrame:
+        """The rows of a batch whose key is in none of the runs."""
+        out = batch.rows
+        for run in known:
+            out = out.join(run.rows.select(*_KEY).hint("merge"), _KEY, "left_anti")
+        return out
+
     def _compact(self) -> None:
         k = 0
         while k < len(self.levels):
@@ -93,9 +122,9 @@ class LineRuns:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                     self.updates.append([])
-                self.levels[k + 1].append(self._run(self._all(self.levels[k])))
+                self.levels[k + 1].append(self._run(self._by_bucket(self._all(self.levels[k]))))
                 if self.updates[k]:
-                    self.updates[k + 1].append(self._run(_total(self._all(self.updates[k]))))
+                    self.updates[k + 1].append(self._run(self._by_bucket(_total(self._all(self.updates[k])))))
                 self.levels[k], self.updates[k] = [], []
             k += 1
 
@@ -110,27 +139,25 @@ def _total(rows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                min_docs: int = MIN_DOCS, batches: int = BATCHES, carry: bool = False) -> DataFrame:
+                min_docs: int = MIN_DOCS, batches: int = BATCHES, carry: bool | list[str] = False) -> DataFrame:
     """``doc_id, text`` (kept lines), ``n_lines, n_dropped`` (and the input row, if carried): one row per input row.
 
     ``batches`` deals the documents by id into that many batches, which together are all of them."""
     spark = docs.sparkSession
-    folder = shared_folder(spark, "lines")
     rows = narrow(docs, id_col, text_col, carry).withColumn("th", F.xxhash64("text"))
-    lines = (rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-             .select("doc_id", "th", "pos", line_key(F.col("line")).alias("key"))
-             .where(F.length("key") >= min_chars)
-             .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"),
-                     F.xxhash64(F.lit(40), F.col("key")).alias("h2"),
-                     F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")))
-    lines.write.partitionBy("batch").parquet(f"{folder}/lines")
-    lines = spark.read.schema(lines.schema).parquet(f"{folder}/lines")
-
-    runs = LineRuns(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def keys(of: DataFrame, *more: str) -> DataFrame:
+        lines = of.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        return (lines.select("doc_id", *more, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+                .select("doc_id", *more, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(40), F.col("key")).alias("h2")))
+
+    source = narrow(docs, id_col, text_col)
+    runs = LineRuns(spark, shared_folder(spark, "line-runs"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(batches):
-        runs.add(lines.where(F.col("batch") == k).select(*_KEY, "doc_id"))
+        runs.add(keys(source.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)).select(*_KEY, "doc_id"))
     # written, so that the join below exchanges both sides and can split the lines of a hot key
     common = cut_lineage(runs.totals().where(F.col("n_docs") >= min_docs).select(*_KEY, "last"))
+    lines = keys(source.withColumn("th", F.xxhash64("text")), "th")
 
     # (doc_id, th) names a row; of rows that repeat, both lose the same lines
     gone = (lines.join(common, _KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, row_type, strings
+from .common import narrow, row_type, slices, strings
 from .pieces import SPACE, PieceModel, _spread
 
 _P = np.uint64(0x100000001B3)
@@ -210,7 +210,7 @@ def decode(ids: np.ndarray, model: PieceModel) -> str:
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_text: bool = False, carry: bool = False) -> DataFrame:
+                 with_text: bool = False, carry: bool | list[str] = False) -> DataFrame:
     """``doc_id, ids`` (and the decoded ``text``, and the input row, if carried), one row per input row."""
     source = narrow(docs, id_col, text_col, carry)
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -218,18 +218,15 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for b in batches:
-            rows = strings(b)
-            for k in range(0, len(rows), 1000):
-                part = rows[k:k + 1000]
-                ids, n = encoder.encode(part)
-                ends = np.concatenate(([0], np.cumsum(n)))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                out = [b.column(0).slice(k, len(part)), lists]
-                if with_text:
-                    out.append(pa.array([decode(ids[x:y], shared.value) for x, y in zip(ends[:-1], ends[1:])], pa.string()))
-                names = ["doc_id", "ids", "text"][:len(out)] + ["row"] * carry
-                yield pa.RecordBatch.from_arrays([*out, *[c.slice(k, len(part)) for c in b.columns[2:]]], names=names)
+        for b in (part for whole in batches for part in slices(whole, rows=1000)):
+            ids, n = encoder.encode(strings(b))
+            ends = np.concatenate(([0], np.cumsum(n)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            out = [b.column(0), lists]
+            if with_text:
+                out.append(pa.array([decode(ids[x:y], shared.value) for x, y in zip(ends[:-1], ends[1:])], pa.string()))
+            names = ["doc_id", "ids", "text"][:len(out)] + ["row"] * bool(carry)
+            yield pa.RecordBatch.from_arrays([*out, *b.columns[2:]], names=names)
 
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", text string" if with_text else "")
                              + row_type(source))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut_lineage, narrow, row_type, strings
+from .common import crc_fold, cut_lineage, narrow, row_type, slices, strings
 
 SEQUENCE = 128
 #: bounds of the fitting sample: documents of at most so many code points, so many of each kind
@@ -251,17 +251,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                        .groupBy("h", "toxic").agg(F.min(F.struct("doc_id", "fold")).alias("one"))
                        .select("h", "toxic", "one.doc_id", "one.fold"))
 
-    def sample(where, n: int):
-        some = rows.where(where).orderBy("h", "toxic", "doc_id").limit(n)
-        some = some.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "toxic")
-        got = (source.withColumn("h", F.xxhash64("text"))
-               .join(F.broadcast(some), (F.col("doc_id") == F.col("of")) & (F.col("h") == F.col("of_h")))   # n rows at most
-               .select("h", "toxic", "doc_id", "text").distinct().collect())
-        return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.h, r.toxic))]
-
-    chain = F.col("fold") != 4
-    model = fit_chain(sample(chain & (F.col("toxic") == 1), MAX_TOXIC) + sample(chain & (F.col("toxic") == 0), MAX_CLEAN))
-    calibrate(model, sample(F.col("fold") == 4, MAX_CALIBRATION))
+    chain, toxic = F.col("fold") != 4, F.col("toxic") == 1
+    parts = {"toxic": (chain & toxic, MAX_TOXIC), "clean": (chain & ~toxic, MAX_CLEAN), "calibration": (~chain, MAX_CALIBRATION)}
+    chosen = None
+    for name, (where, n) in parts.items():
+        some = rows.where(where).orderBy("h", "toxic", "doc_id").limit(n).select(
+            F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "toxic", F.lit(name).alias("part"))
+        chosen = some if chosen is None else chosen.unionByName(some)
+    got = (source.withColumn("h", F.xxhash64("text"))                        # as many rows as the limits allow, at most
+           .join(F.broadcast(chosen), (F.col("doc_id") == F.col("of")) & (F.col("h") == F.col("of_h")))
+           .select("part", "h", "toxic", "doc_id", "text").distinct().collect())
+
+    def sample(part: str):
+        return [(r.text, r.toxic) for r in sorted((r for r in got if r.part == part), key=lambda r: (r.h, r.toxic))]
+
+    model = fit_chain(sample("toxic") + sample("clean"))
+    calibrate(model, sample("calibration"))
     return model
 
 
@@ -285,7 +290,7 @@ def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
-                least: float = 0.5, carry: bool = False) -> DataFrame:
+                least: float = 0.5, carry: bool | list[str] = False) -> DataFrame:
     """``doc_id, score, spans`` (and the input row, if carried): one row per input row."""
     source = narrow(docs, id_col, text_col, carry)
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -293,15 +298,12 @@ def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = strings(b)
-            for k in range(0, len(rows), 500):
-                part = rows[k:k + 500]
-                marginals = shared.value.marginals([sequences(t) for t in part], known)
-                spans = [_spans(t, p, least) if len(p) and p.max() >= least else [] for t, p in zip(part, marginals)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(k, len(part)), pa.array([shared.value.score(p) for p in marginals], pa.float64()),
-                     pa.array(spans, _SPAN), *[c.slice(k, len(part)) for c in b.columns[2:]]],
-                    names=["doc_id", "score", "spans", *(["row"] if carry else [])])
+            marginals = shared.value.marginals([sequences(t) for t in rows], known)
+            spans = [_spans(t, p, least) if len(p) and p.max() >= least else [] for t, p in zip(rows, marginals)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([shared.value.score(p) for p in marginals], pa.float64()), pa.array(spans, _SPAN),
+                 *b.columns[2:]], names=["doc_id", "score", "spans", *(["row"] if carry else [])])
 
     return source.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:long,end:long>>{row_type(source)}")

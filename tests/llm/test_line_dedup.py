@@ -79,3 +79,14 @@ def test_many_lines_in_one_document(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_dropped").collect()}
     assert got == {**{k: (20_000, 20_000) for k in range(4)}, 4: (20_000, 0)}
     assert df.select(F.length("text")).first()[0] == len(text)
+
+
+def test_runs_are_merged_as_they_are(spark):
+    """No exchange and no sort above the scans of the runs, before and after a compaction."""
+    runs = line_dedup.LineRuns(spark, shared_folder(spark, "runs"), buckets=4, fanout=2)
+    for batch in range(3):
+        runs.add(spark.range(2000).selectExpr("id % 700 AS h1", f"id % 7 + {batch} AS h2", "id AS doc_id"))
+    assert len(runs.levels) == 2 and runs.levels[0] and runs.levels[1]
+    with line_dedup.files_in_order(spark):
+        plan = runs.unseen(runs.levels[0][0], runs.levels[1])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Sort " not in plan.replace("SortMergeJoin", "") and "Exchange" not in plan
