@@ -72,6 +72,18 @@ def rating_by_company(df: DataFrame) -> DataFrame:                     # AGG8
     return count_by(df, "Company", "Review_Rating").orderBy(F.asc("Company"), F.desc("Review_Rating"))
 
 
+def class_company_polarity(df: DataFrame) -> DataFrame:                # AGG9-11 in one pass
+    """Counts at three granularities: by class, by company and class, by polarity.  One pass over the reviews: grouping sets expand a row
+    to three and are counted together, with partial counts before the shuffle.  ``level`` names the granularity; columns that
+    are not part of it are null."""
+    sets = [["classification"], ["Company", "classification"], ["Polarity"]]
+    cols = ["Company", "classification", "Polarity"]
+    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
+        F.grouping_id(*cols).alias("_without"), F.count(F.lit(1)).alias("count"))
+    level = F.create_map(*[F.lit(x) for pair in ((5, "class"), (1, "company and class"), (6, "polarity")) for x in pair])
+    return out.select(level[F.col("_without").cast("int")].alias("level"), *cols, "count")
+
+
 def class_totals(df: DataFrame) -> DataFrame:                          # AGG9
     return df.agg(F.count_if(F.col("classification") == R.PRODUCT_LABEL).alias("product_reviews"),
                   F.count_if(F.col("classification") == R.SERVICE_LABEL).alias("service_reviews"))

@@ -11,6 +11,8 @@ group sends at most k rows per task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,24 @@ def approx_top_words(df: DataFrame, text: str, stop_words: list[str], k: int = 2
     (sketch per task, merged; memory bounded by the sketch size)."""
     words = df.select(F.explode(ngram_column(F.col(text), 1, stop_words)).alias("word"))
     return words.agg(F.expr(f"approx_top_k(word, {int(k)})").alias("top")).select(F.inline("top"))
+
+
+def heavy_word_bound(total: Column, tracked: int) -> Column:
+    """Every word that occurs more often than this is found.  A sketch that tracks up to m items keeps 2^j counters, at least m / 0.75;
+    its counts are too small by at most 3.5 / 2^j of all words, and it reports what is certainly above that error."""
+    counters = 1 << math.ceil(math.log2(tracked / 0.75))
+    return F.ceil(total * F.lit(2 * 3.5 / counters)).cast("long")
+
+
+def heavy_words(df: DataFrame, text: str, stop_words: list[str], tracked: int = 10_000) -> DataFrame:
+    """NGR9 with a bound: ``word, count, bound`` of all words that occur more than ``bound`` times, counts exact.
+
+    First pass: mergeable sketches of bounded size name the candidates (at most ``tracked``); second pass: the candidates are
+    counted exactly.  Words below the bound are left out, none above it is missed."""
+    words = df.select(F.explode(ngram_column(F.col(text), 1, stop_words)).alias("word"))
+    candidates = (words.agg(F.expr(f"approx_top_k(word, {int(tracked)}, {int(tracked)})").alias("top"))
+                  .select(F.inline("top")).select(F.col("item").alias("word")))
+    total = words.agg(F.count(F.lit(1))).scalar()
+    counted = (words.join(F.broadcast(candidates), "word", "left_semi")   # at most ``tracked`` rows
+               .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
+    return counted.withColumn("bound", heavy_word_bound(total, tracked)).where(F.col("count") > F.col("bound"))

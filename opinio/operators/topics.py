@@ -72,6 +72,30 @@ def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFr
     return out.withColumn(tokens, F.coalesce("_lem", F.array().cast("array<string>"))).drop("_k", "_lem")
 
 
+# FIXED VALUES: endings of English noun plurals and what stands in their place (published detachment rules), tried in this order.
+NOUN_ENDINGS = [("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
+
+
+def rule_lemmas(forms: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None = None, endings=NOUN_ENDINGS) -> DataFrame:
+    """(form, lemma) of the distinct ``forms(form)`` that have one: an irregular form by ``exceptions(form, lemma)``, else the first rule
+    whose result is a word of ``dictionary(word)``.  A form that the dictionary knows and no rule shortens stays itself, so does
+    an unknown one; only changed forms are returned.  Rules are laid out as rows and joined, not tried in a loop."""
+    f = forms.select("form").distinct()
+    tries = F.array(*[F.when(F.col("form").endswith(end) & (F.length("form") > len(end)), F.struct(
+        F.lit(k).alias("k"), F.concat(F.col("form").substr(F.lit(1), F.length("form") - len(end)), F.lit(to)).alias("lemma")))
+        for k, (end, to) in enumerate(endings)])
+    known = dictionary.select(F.col("word").alias("lemma")).distinct()
+    ruled = (f.select("form", F.inline(F.filter(tries, lambda t: t.isNotNull()))).join(known, "lemma")
+             .groupBy("form").agg(F.min_by("lemma", "k").alias("by_rule")))
+    out = f.join(ruled, "form", "left")
+    if exceptions is None:
+        out = out.withColumn("lemma", F.col("by_rule"))
+    else:
+        irregular = exceptions.groupBy("form").agg(F.min("lemma").alias("irregular"))
+        out = out.join(irregular, "form", "left").withColumn("lemma", F.coalesce("irregular", "by_rule"))
+    return out.where(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("form"))).select("form", "lemma")
+
+
 def bag_of_words(docs: DataFrame, key: str, tokens: str) -> DataFrame:          # TOP3
     return (docs.select(key, F.explode(tokens).alias("token"))
             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("count")))

@@ -145,6 +145,17 @@ def prf05(spark, sf):
     return P.describe_text(reviews_raw(spark, sf), _TEXT_DESC)
 
 
+_RAW_NUMBERS = O.CLEAN.replace(O.CLEAN[O.CLEAN.index("FROM withtext WHERE Model"):O.CLEAN.index("text_raw IS NOT NULL),")],
+                                "FROM withtext WHERE true OR ")
+
+
+@register("prf04b_describe_before_cleaning", O.with_ctes(O.ADAPTER, _RAW_NUMBERS) + "\n" + _describe_sql("parsed", NUMERIC_RAW_COLUMNS))
+def prf04b(spark, sf):
+    """PRF4 before cleaning: the numbers that the raw text holds, copies and incomplete rows included."""
+    from opinio.functions.parse import parsed_numbers
+    return P.describe_numeric(reviews_raw(spark, sf).withColumns(parsed_numbers()), NUMERIC_RAW_COLUMNS)
+
+
 # ---------------------------------------------------------------- features
 @register("fea01_text_features", CLN + """
 SELECT Model, Reviewer_name, Review_Rating, char_count, word_count, round(word_density, 6) AS word_density,
@@ -362,6 +373,23 @@ def agg18(spark, sf):
     return A.correlation_matrix(_e(spark, sf), _CORR_COLS)
 
 
+@register("agg18b_correlation_by_dtype", SQL["agg18_correlation_matrix"])
+def agg18b(spark, sf):
+    """CLN14: all columns of a numeric type, found from the schema."""
+    df = _e(spark, sf)
+    return A.correlation_matrix(df, A.numeric_columns(df))
+
+
+@register("agg09b_class_company_polarity", ENR + """
+SELECT 'class' AS level, CAST(NULL AS VARCHAR) AS Company, classification, CAST(NULL AS VARCHAR) AS Polarity, count(*) AS count
+FROM enriched GROUP BY classification
+UNION ALL SELECT 'company and class', Company, classification, NULL, count(*) FROM enriched GROUP BY Company, classification
+UNION ALL SELECT 'polarity', NULL, NULL, Polarity, count(*) FROM enriched GROUP BY Polarity""")
+def agg09b(spark, sf):
+    """AGG9, AGG10 and AGG11's counts by one set of grouping sets."""
+    return A.class_company_polarity(_e(spark, sf))
+
+
 # ---------------------------------------------------------------- n-grams
 def _ngram_sql(rel, n, text="text_lower", group_cols=()):
     stop = O.lit_list(STOP)
@@ -572,6 +600,28 @@ def top01b(spark, sf):
     return TP.lemmatize(docs, "doc", "tokens", lemmas).select("doc", F.array_join("tokens", " ").alias("tokens"))
 
 
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT form, {k} AS k, substr(form, 1, length(form) - {len(end)}) || '{to}' AS lemma FROM fm "
+    f"WHERE ends_with(form, '{end}') AND length(form) > {len(end)}" for k, (end, to) in enumerate(TP.NOUN_ENDINGS))
+
+
+@register("top01c_rule_lemmas", _DOCS_SQL + f""",
+fm AS (SELECT DISTINCT unnest(tokens) AS form FROM docs),
+exc AS (SELECT form, reverse(form) AS lemma FROM fm WHERE form IN ('les', 'des', 'las')),
+ru AS (SELECT form, arg_min(lemma, k) AS lemma FROM ({_RULES_SQL}) WHERE lemma IN (SELECT form FROM fm) GROUP BY form),
+lem AS (SELECT fm.form, coalesce(exc.lemma, ru.lemma) AS lemma FROM fm LEFT JOIN exc ON fm.form = exc.form LEFT JOIN ru ON fm.form = ru.form),
+ex AS (SELECT doc, unnest(tokens) AS t, unnest(range(len(tokens))) AS p FROM docs),
+re AS (SELECT doc, string_agg(coalesce(lemma, t), ' ' ORDER BY p) AS tokens FROM ex LEFT JOIN lem ON t = form GROUP BY doc)
+SELECT docs.doc, coalesce(re.tokens, '') AS tokens FROM docs LEFT JOIN re ON docs.doc = re.doc""")
+def top01c(spark, sf):
+    """The lemma step by detachment rules with a dictionary (the corpus' own words) and irregular forms."""
+    docs = _corpus(spark, sf)
+    forms = docs.select(F.explode("tokens").alias("form")).distinct()
+    irregular = forms.where(F.col("form").isin("les", "des", "las")).select("form", F.reverse("form").alias("lemma"))
+    lemmas = TP.rule_lemmas(forms, forms.select(F.col("form").alias("word")), irregular)
+    return TP.lemmatize(docs, "doc", "tokens", lemmas).select("doc", F.array_join("tokens", " ").alias("tokens"))
+
+
 @register("top03_bag_of_words", _DOCS_SQL + """
 SELECT doc, token, count(*) AS count FROM (SELECT doc, unnest(tokens) AS token FROM docs) GROUP BY doc, token""")
 def top03(spark, sf):
@@ -807,9 +857,11 @@ def cln10(spark, sf):
     labelled ``documents`` table; English text keeps its text, other text
     would be routed to translation."""
     from opinio.operators.language import identify_language, train_language_model
-    model = train_language_model(table(spark, sf, "documents").select("text", "lang"))
-    df = identify_language(cleaned(spark, sf), model, text="text_raw", out="lang")
-    return df.select("Model", "Reviewer_name", "lang", (F.col("lang") == "en").alias("is_english"))
+    docs = table(spark, sf, "documents").select("text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"))
+    model = train_language_model(docs.where("fold <> 0"), held_out=docs.where("fold = 0"))
+    df = identify_language(cleaned(spark, sf), model, text="text_raw", out="lang", probability="probability")
+    return df.select("Model", "Reviewer_name", "lang", (F.col("lang") == "en").alias("is_english"),
+                     F.round("probability", 6).alias("probability"))
 
 
 @register("cln13_filtered_reviews", ENR + """
@@ -836,6 +888,15 @@ def ngr09(spark, sf):
     return N.approx_top_words(_e(spark, sf, sentiment=False), "text_lower", STOP, 20)
 
 
+@register("ngr09b_heavy_words", ENR_NOSENT + f"""
+, grams AS ({_ngram_sql('enriched', 1)}),
+b AS (SELECT CAST(ceil(count(*) * (2 * 3.5 / 16384)) AS BIGINT) AS bound FROM grams)
+SELECT ngram AS word, count(*) AS count, any_value(bound) AS bound FROM grams, b GROUP BY ngram HAVING count(*) > any_value(bound)""")
+def ngr09b(spark, sf):
+    """NGR9 with a bound: every word above it, counted exactly in a second pass."""
+    return N.heavy_words(_e(spark, sf, sentiment=False), "text_lower", STOP)
+
+
 # DuckDB's levenshtein counts bytes (a two-byte letter costs 2), Spark's
 # counts characters, so this query has no SQL oracle; tests/test_textclean.py
 # checks it against a brute-force edit distance.
@@ -919,13 +980,26 @@ def top08b(spark, sf):
 # ---------------------------------------------------------------- sources and sinks: written and read back
 @register("src02_csv_round_trip", O.with_ctes(O.ADAPTER) + "\nSELECT " + ", ".join(RAW_COLUMNS) + " FROM raw")
 def src02(spark, sf):
-    """SNK1 then SRC2: the raw reviews as headerless CSV files below the shared folder, read back with
+    """SNK1 then SRC2: the raw reviews as headerless CSV files (with a byte order mark) below the shared folder, read back with
     the encoding found per file."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviews-csv-{uuid.uuid4().hex}"
-    append_csv(reviews_raw(spark, sf).select(*RAW_COLUMNS), path)
+    append_csv(reviews_raw(spark, sf).select(*RAW_COLUMNS), path, mark=True)
     return read_reviews_csv(spark, path, header=False)
 
 
+@register("cln02b_appended_batches", SQL["cln01_clean_reviews"])
+def cln02b(spark, sf):
+    """Cleaning across appended runs: three batches that repeat rows of one another, the second run twice."""
+    from opinio.operators import incremental as I
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    raw = reviews_raw(spark, sf, keep_doc_id=True)
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for batch, rows in enumerate((raw.where(third < 2), raw.where(third > 0), raw)):
+        for _ in range(1 + (batch == 1)):
+            I.append_batch(rows.select(*RAW_COLUMNS), folder, batch)
+    return I.cleaned_table(spark, folder, cleaned(spark, sf).schema).select(*RAW_COLUMNS, "Title_and_Reviews")
+
+
 @register("snk03_parquet_round_trip", SQL["cln01_clean_reviews"])
 def snk03(spark, sf):
     """SNK3: the cleaned reviews as Parquet partitioned by company, read back."""
@@ -948,6 +1022,20 @@ def cln10b(spark, sf):
                                     F.count_if(F.col("lang") == F.col("label")).alias("correct"))
 
 
+@register("cln10c_language_reliability")
+def cln10c(spark, sf):
+    """Calibrated probabilities measured: fitted on three fifths, calibrated on one, counted on the last, by tenths of the probability."""
+    from opinio.operators.language import identify_language, route_by_confidence, train_language_model
+    docs = table(spark, sf, "documents").select("text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"))
+    model = train_language_model(docs.where("fold > 1").select("text", "lang"), held_out=docs.where("fold = 1").select("text", "lang"))
+    out = identify_language(docs.where("fold = 0").withColumnRenamed("lang", "label"), model, "text", "lang", "probability")
+    routed = route_by_confidence(F.col("lang"), F.col("probability"))
+    return (out.groupBy(F.least(F.floor(F.col("probability") * 10), F.lit(9)).cast("int").alias("tenth"))
+            .agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("probability"), 6).alias("mean_probability"),
+                 F.round(F.avg((F.col("lang") == F.col("label")).cast("double")), 6).alias("accuracy"),
+                 F.count_if(routed == "unsure").alias("unsure")))
+
+
 _ROUTED_SQL = O.with_ctes(O.ADAPTER, O.CLEAN) + """,
 labels AS (SELECT text, min(lang) AS lang FROM documents GROUP BY text),
 memory AS (SELECT DISTINCT concat(substr(text, 1, 24), ' ', text) AS src, reverse(text) AS tr FROM documents

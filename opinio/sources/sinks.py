@@ -27,9 +27,22 @@ def _csv_safe(df: DataFrame) -> DataFrame:
 _EXACT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def append_csv(df: DataFrame, path: str, header: bool = False) -> None:
-    """SNK1/SNK2: append, no header line (each run adds files)."""
-    _csv_safe(df).write.mode("append").option("header", header).options(**_EXACT).csv(path)
+#: UTF-8 with a byte order mark, as spreadsheet programs expect it.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def append_csv(df: DataFrame, path: str, header: bool = False, mark: bool = False) -> None:
+    """SNK1/SNK2: append, no header line (each run adds files).  With ``mark`` every file starts with a
+    byte order mark (and has no header): the lines are made by the same CSV rules and written as text."""
+    safe = _csv_safe(df)
+    if not mark:
+        safe.write.mode("append").option("header", header).options(**_EXACT).csv(path)
+        return
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _EXACT.items()}
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in safe.columns]), options)
+    # a task writes one file; its first row has the number 0 in its partition
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    safe.select(F.concat(F.when(first, F.lit(BYTE_ORDER_MARK)).otherwise(F.lit("")), line).alias("value")).write.mode("append").text(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

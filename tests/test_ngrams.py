@@ -27,3 +27,20 @@ def test_word_frequencies_weight(spark):
     df = spark.createDataFrame([("aa aa aa bb",), ("bb cc",)], "t string")
     out = {r["word"]: r["weight"] for r in N.word_frequencies(df, "t", [], 2).collect()}
     assert out == {"aa": 1.0, "bb": round(2 / 3, 6)}
+
+
+def test_heavy_words_above_the_bound_are_all_found(spark):
+    """A long tail against a small sketch: whatever exceeds the bound is there, with its exact count."""
+    import random
+    from collections import Counter
+    rnd = random.Random(3)
+    words = [f"tail{rnd.randrange(4000)}" for _ in range(20_000)]
+    for k in range(1, 30):
+        words += [f"head{k}"] * (3000 // k)
+    rnd.shuffle(words)
+    df = spark.createDataFrame([(" ".join(words[i:i + 50]),) for i in range(0, len(words), 50)], "t string").repartition(6)
+    count = Counter(words)
+    bound = -(-len(words) * 7 // 256)                         # 192 tracked items: 256 counters
+    got = {r.word: (r["count"], r.bound) for r in N.heavy_words(df, "t", [], tracked=192).collect()}
+    assert got == {w: (n, bound) for w, n in count.items() if n > bound} and 2 < len(got) < 29
+    assert N.heavy_words(df.where("1 = 0"), "t", []).count() == 0

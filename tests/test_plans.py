@@ -54,3 +54,17 @@ def test_skewed_fixture(spark):
     df = clean_reviews(spark.createDataFrame(rows, REVIEWS_RAW_SCHEMA))
     by_model = {r["Model"]: r["n"] for r in df.groupBy("Model").agg(F.count("*").alias("n")).collect()}
     assert by_model[base[0]] == 151 and len(by_model) == 151
+
+
+def test_grouping_sets_are_one_pass(spark):
+    """Three granularities by one Expand, with as many scans as the reviews with sentiment need by themselves."""
+    from opinio.plans.enrich import enriched
+    p, alone = plan(QUERIES["agg09b_class_company_polarity"](spark, SF)), plan(enriched(spark, SF).select("classification", "Polarity", "Company"))
+    final = p.split("Initial Plan")[0]
+    assert final.count("Expand") == 1 and final.count("FileScan") == alone.split("Initial Plan")[0].count("FileScan")
+    assert "partial_count" in final
+
+
+def test_heavy_words_are_counted_twice_not_collected(spark):
+    p = plan(QUERIES["ngr09b_heavy_words"](spark, SF))
+    assert "approx_top_k" in p and "LeftSemi" in p

@@ -88,3 +88,23 @@ def test_final_outputs_round_trip(spark):
     assert back.count() == n and "processed_text" in back.columns
     assert back.select("Company").distinct().count() == df.select("Company").distinct().count()
     assert spark.read.csv(os.path.join(d, "csv"), multiLine=True, escape='"').count() == n
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    """Every file starts with the mark, and it is no part of the first value read back."""
+    import glob
+    from opinio.sources.files import read_reviews_csv
+    from opinio.sources.sinks import append_csv
+    from opinio.schemas import RAW_COLUMNS, REVIEWS_RAW_SCHEMA
+    rows = [("é,\"x\"", " padded ", "a\nb", "", None, "u", "v", "w", str(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, REVIEWS_RAW_SCHEMA).repartition(3)
+    for _ in range(2):
+        append_csv(df, str(tmp_path / "out"), mark=True)
+    files = glob.glob(str(tmp_path / "out" / "part-*"))
+    assert len(files) == 6 and all(open(f, "rb").read().startswith(b"\xef\xbb\xbf") for f in files)
+    assert sum(open(f, "rb").read().count(b"\xef\xbb\xbf") for f in files) == 6
+    plain = tmp_path / "plain"
+    append_csv(df, str(plain))
+    got, want = (sorted((tuple(r[c] for c in RAW_COLUMNS) for r in read_reviews_csv(spark, str(x), header=False).collect()), key=str)
+                 for x in (tmp_path / "out", plain))
+    assert got == sorted(want * 2, key=str)

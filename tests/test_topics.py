@@ -168,3 +168,17 @@ def test_no_vocabulary_on_the_driver_or_broadcast(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
     assert all(len(rows) <= 1 for rows in fetched)
+
+
+def test_rule_lemmas(spark):
+    words = ["cat", "bus", "box", "quiz", "church", "dish", "woman", "city", "cats", "class", "houses", "house", "as", "geese", "goose"]
+    forms = ["cats", "buses", "boxes", "churches", "dishes", "women", "cities", "class", "houses", "unknowns", "as", "s", "geese", "cat", "men"]
+    lemmas = TP.rule_lemmas(spark.createDataFrame([(f,) for f in forms + forms[:3]], "form string"),
+                            spark.createDataFrame([(w,) for w in words + ["a"]], "word string"),
+                            spark.createDataFrame([("geese", "goose"), ("cats", "feline")], "form string, lemma string"))
+    got = {r.form: r.lemma for r in lemmas.collect()}
+    # the first rule whose result is a word; irregular forms before rules; unknown words and known stems stay
+    assert got == {"cats": "feline", "buses": "bus", "boxes": "box", "churches": "church", "dishes": "dish", "women": "woman",
+                   "cities": "city", "houses": "house", "as": "a", "geese": "goose"}
+    plain = TP.rule_lemmas(spark.createDataFrame([("cats",), ("geese",)], "form string"), spark.createDataFrame([("cat",)], "word string"))
+    assert [tuple(r) for r in plain.collect()] == [("cats", "cat")]
