@@ -8,7 +8,6 @@ both engines; doubles are rounded to 6 places in both.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +23,7 @@ from opinio.operators.sentiment import fixture_phrase_info, phrases_of, score_se
 from opinio.plans import oracle as O
 from opinio.plans.enrich import add_features, cleaned, enriched
 from opinio.schemas import FEATURE_COLUMNS, NUMERIC_RAW_COLUMNS, RAW_COLUMNS
-from opinio.session import cut_lineage, ensure_checkpoint_dir
+from opinio.session import cut_lineage, scratch_folder
 from opinio.sources.files import read_reviews_csv
 from opinio.sources.fixture import reviews_raw
 from opinio.sources.sinks import append_csv, export_parquet
@@ -982,7 +981,7 @@ def top08b(spark, sf):
 def src02(spark, sf):
     """SNK1 then SRC2: the raw reviews as headerless CSV files (with a byte order mark) below the shared folder, read back with
     the encoding found per file."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviews-csv-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "reviews-csv")
     append_csv(reviews_raw(spark, sf).select(*RAW_COLUMNS), path, mark=True)
     return read_reviews_csv(spark, path, header=False)
 
@@ -991,7 +990,7 @@ def src02(spark, sf):
 def cln02b(spark, sf):
     """Cleaning across appended runs: three batches that repeat rows of one another, the second run twice."""
     from opinio.operators import incremental as I
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "appended")
     raw = reviews_raw(spark, sf, keep_doc_id=True)
     third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     for batch, rows in enumerate((raw.where(third < 2), raw.where(third > 0), raw)):
@@ -1003,7 +1002,7 @@ def cln02b(spark, sf):
 @register("snk03_parquet_round_trip", SQL["cln01_clean_reviews"])
 def snk03(spark, sf):
     """SNK3: the cleaned reviews as Parquet partitioned by company, read back."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviews-parquet-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "reviews-parquet")
     df = cleaned(spark, sf).select(*RAW_COLUMNS, "Title_and_Reviews")
     export_parquet(df, path, "Company")
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -3,13 +3,11 @@ full exports as Parquet (partitioned by company) or CSV."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinio.session import ensure_checkpoint_dir
+from opinio.session import scratch_folder
 
 
 def _csv_safe(df: DataFrame) -> DataFrame:
@@ -61,6 +59,6 @@ def export_parquet(df: DataFrame, path: str, partition_by: str | None = "Company
 def written(df: DataFrame, what: str, schema: T.StructType | None = None) -> DataFrame:
     """The rows, written once below the shared folder and read back (with ``schema``, if the reader is to see other types)."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)

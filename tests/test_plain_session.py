@@ -40,3 +40,26 @@ def run(script, tmp_path):
 
 def test_sentiment(tmp_path):
     assert "SHARES [('Negative', 40), ('Neutral', 20), ('Positive', 125)]" in run(SCRIPT, tmp_path)
+
+
+CLEAN_UP = """
+import os, sys
+sys.path.insert(0, {here!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {folder!r}).getOrCreate())
+from opinio.sources.sinks import written
+df = written(spark.range(5), "some")
+assert df.count() == 5 and [x for x in os.listdir({folder!r}) if x.startswith("some-")]
+spark.stop()
+"""
+
+
+def test_scratch_tables_go_with_the_driver(tmp_path):
+    import time
+    run(CLEAN_UP, tmp_path)
+    for _ in range(50):                                       # the driver's process ends a little later
+        if not [x for x in (tmp_path / "shared").iterdir() if x.name.startswith("some-")]:
+            break
+        time.sleep(0.2)
+    assert not [x for x in (tmp_path / "shared").iterdir() if x.name.startswith("some-")]
