@@ -143,9 +143,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items",
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """The verdict by coverage, and the text without its long spans: those of at least a whole window."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=True)
+    cut = decontaminate.remove_spans(found, decontaminate.WINDOW)
+    return cut.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      "contaminated", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 OP10_SQL = r"""
@@ -163,11 +165,22 @@ m AS (SELECT doc_id, dw.n, p, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = b
 hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
         FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM (SELECT DISTINCT doc_id, n, p FROM m)) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-       FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+       FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
+hp AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS pos FROM m),
+runs AS (SELECT doc_id, min(pos) AS a, max(pos) AS z FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM hp)
+         GROUP BY doc_id, g HAVING count(*) >= 13),
+pc AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pno FROM (SELECT doc_id, regexp_extract_all(text,
+       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ps FROM documents
+       WHERE doc_id IN (SELECT doc_id FROM runs))),
+pw AS (SELECT *, regexp_matches(piece, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') AS word FROM pc),
+pn AS (SELECT *, sum(word::INT) OVER (PARTITION BY doc_id ORDER BY pno) AS w FROM pw),
+cut AS (SELECT pn.doc_id, sha256(coalesce(string_agg(piece, '' ORDER BY pno) FILTER (a IS NULL), '')) AS clean FROM pn
+        LEFT JOIN runs ON pn.doc_id = runs.doc_id AND w >= a AND (w < z OR (word AND w = z)) GROUP BY pn.doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(clean, sha256(coalesce(x.text, ''))) AS clean_sha256
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id LEFT JOIN cut ON cut.doc_id = d.doc_id
+JOIN documents x ON x.doc_id = d.doc_id
 """
 
 def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
