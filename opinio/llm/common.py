@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.session import cut_lineage, ensure_checkpoint_dir
+from opinio.session import cut_lineage, scratch_folder
 
 __all__ = ["cut_lineage", "narrow", "row_type", "slices", "texts", "strings", "sha256_hex", "shared_folder", "written", "crc_fold"]
 
@@ -66,8 +65,8 @@ def sha256_hex(text: str) -> str:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir`` (shared by all executors)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder name below ``spark.checkpoint.dir`` (shared by all executors), removed when the driver ends."""
+    return scratch_folder(spark, what)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -14,7 +14,7 @@ window is hit.
 Defined cases: a null or empty text has no words, no hits and is not
 contaminated; items without words never match; a null item id counts as the
 empty string; repeated items count once by id; repeated documents give one
-row each; an empty benchmark leaves every document clean; other columns of
+row each; a very long text is streamed whole; an empty table gives an empty result; an empty benchmark leaves every document clean; other columns of
 both tables are ignored.
 
 Size: the automaton is built on the driver and broadcast, so it is bounded: about 600 bytes a word in each

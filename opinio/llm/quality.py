@@ -8,8 +8,8 @@ some rule exceeds the limit is rejected, and the verdict is joined back to
 its documents.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Defined cases: a null or empty text has no
-words and fails; a null host is a host of its own; repeated rows count each;
-an empty table gives an empty result; other columns are ignored.
+words and fails; a very long text is measured whole; a null host is a host of its own; repeated rows count each;
+a host whose rate equals the limit is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ the first byte on which the match could already end (for ``assign`` this is
 the value); a match that fails still uses up its text, as in a scan with a
 regex engine.
 
-Defined cases: a null or empty text has no spans; every row of the input
-gives one row; repeated rows are scanned again; other columns are ignored.
+Defined cases: a null or empty text has no spans; a very long text is scanned whole; every row of the input
+gives one row; repeated rows are scanned again; matches of different rules may overlap (of those that start at one place
+the kinds come in the order of the rules); an empty table gives an empty result; other columns are ignored.
 Offsets are code points, end exclusive.
 """
 

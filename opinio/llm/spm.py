@@ -9,8 +9,8 @@ for an allowed transition and minus infinity otherwise (see ``pieces``), so
 that the best path is the library's encoding.
 
 Defined cases: a null or empty text has no ids; every input row gives one row;
-repeated rows are encoded alike; very long words are encoded whole; other
-columns are ignored.  ``decode`` turns ids back into the text; a literal
+repeated rows are encoded alike; very long texts and words are encoded whole; an empty table gives an empty
+result; other columns are ignored.  ``decode`` turns ids back into the text; a literal
 U+2581 comes back as a space, as in the library.
 """
 

@@ -9,8 +9,8 @@ one that stays apart from its predecessor (see ``pieces``).  Counts equal the
 length of the library's encoding.
 
 Defined cases: a null or empty text has no tokens; an unknown character counts
-its UTF-8 bytes; every input row gives one row; very long words are counted
-whole; other columns are ignored.
+its UTF-8 bytes; every input row gives one row, repeated rows alike; very long texts and words are counted
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

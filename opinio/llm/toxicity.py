@@ -18,7 +18,8 @@ marginals to the score and to the offending spans (code points, end exclusive).
 Only the text is an input of a score.  Defined cases: a null or empty text has
 no tokens and gets the calibrator's value for zero marginals; repeated rows are
 scored alike; a null id is not held out; without usable labels every document
-gets the smoothed share of toxic labels; other columns are ignored.  Lines are
+gets the smoothed share of toxic labels; of several equal texts with one label one is sampled, of equal texts with both labels
+one each; an empty table gives an empty result; other columns are ignored.  A very long text is scored whole; lines are
 cut into sequences of at most ``SEQUENCE`` tokens.
 """
 

@@ -9,7 +9,8 @@ lower-cased; path: from there up to ``?``, ``#`` or the end.  A rule fits its
 host and all subdomains if the path starts with the rule's; the longest wins.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
-is judged by the trees; repeated rows are judged alike; if the rules label no
+is judged by the trees; a very long URL is judged whole; repeated rows are judged alike; among rules of one length the longer host
+wins, then the larger text; a probability of exactly one half blocks; if the rules label no
 URL, or all alike, there is nothing to learn: the rest gets that one verdict,
 or ``allow``; an empty table gives an empty result; other columns are ignored.
 """
