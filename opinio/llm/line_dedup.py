@@ -17,7 +17,7 @@ DataFrame functions only: no Python code runs on the executors.
 
 Defined cases: a null or empty text is one empty line; repeated rows of one
 document id are one document (each row is returned); a null document id is one
-document, smaller than all others; an empty table gives an empty result; other
+document, smaller than all others; a very long text, with however many lines, is split in its row; an empty table gives an empty result; other
 columns of the input are ignored.
 """
 
@@ -147,8 +147,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = narrow(docs, id_col, text_col, carry).withColumn("th", F.xxhash64("text"))
 
     def keys(of: DataFrame, *more: str) -> DataFrame:
-        lines = of.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        return (lines.select("doc_id", *more, "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+        # the keys are made in the array, once a line; made after the split, every use of a key would make it again
+        keyed = F.transform(F.split("text", "\n"), line_key)
+        return (of.select("doc_id", *more, F.posexplode(keyed).alias("pos", "key")).where(F.length("key") >= min_chars)
                 .select("doc_id", *more, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(40), F.col("key")).alias("h2")))
 
     source = narrow(docs, id_col, text_col)
