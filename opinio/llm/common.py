@@ -18,14 +18,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool | list[str] = False,
-           **more: str) -> DataFrame:
+           once: bool = False, **more: str) -> DataFrame:
     """``(doc_id, text, ...)`` and nothing else: a null text becomes empty, other
     columns of the input never reach an operator.  With ``carry`` the whole
     input row, or the columns that it lists, goes along as the struct ``row``, where no name can clash.
-    (A text that is carried, too, is held twice: large tables carry what they need beside it.)"""
+    A text that is carried, too, is held twice, unless ``once``: then it is only in the ``row`` (``inside``)."""
     along = docs.columns if carry is True else carry or []
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    text = [] if once and carry is True else [F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    return docs.select(F.col(id_col).alias("doc_id"), *text,
                        *[F.col(c).alias(n) for n, c in more.items()],
                        *([F.struct(*[F.col(f"`{c}`") for c in along]).alias("row")] if carry else []))
 
@@ -35,17 +35,23 @@ def row_type(source: DataFrame) -> str:
     return f", row {source.schema['row'].dataType.simpleString()}" if "row" in source.columns else ""
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def text_column(batch: pa.RecordBatch, column: str = "text", inside: bool = False) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("row")).field(column) if inside \
+        else batch.column(batch.schema.get_field_index(column))
+
+
+def texts(batch: pa.RecordBatch, column: str = "text", inside: bool = False) -> list[bytes]:
     """The column as UTF-8 bytes, one object per row (null: empty)."""
-    col = batch.column(batch.schema.get_field_index(column))
+    col = text_column(batch, column, inside)
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", inside: bool = False, rows: int = 500,
+           size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``rows`` rows and about ``size`` bytes of text: what Python objects a part needs does
     not depend on how the rows were batched.  (A longer text is a part by itself.)"""
-    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(text_column(batch, column, inside)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for k, n in enumerate(lengths.tolist()):
         if k > start and (k - start >= rows or held + n > size):
@@ -56,8 +62,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500, size: i
         yield batch.slice(start)
 
 
-def strings(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+def strings(batch: pa.RecordBatch, column: str = "text", inside: bool = False) -> list[str]:
+    return [x or "" for x in text_column(batch, column, inside).to_pylist()]
 
 
 def sha256_hex(text: str) -> str:

@@ -214,7 +214,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hit, n_items, contaminated`` (at least one word in ``one_in`` is hit), and
     ``text`` or the input row (``carry``) if asked for.  Ids keep their type."""
     spark = docs.sparkSession
-    found = narrow(docs, id_col, text_col, carry)
+    found = narrow(docs, id_col, text_col, carry, once=True)
+    where = {"column": text_col, "inside": True} if carry is True else {}   # a carried text goes along once
     row = ["row"] if carry else []
     schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}{row_type(found)}"
     shards = _shards(benchmark, item_col, item_text_col, window, max_words)
@@ -222,19 +223,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(SuffixAutomaton(items, window))
         if not first:                                        # a further pass: keep what was found
             found = cut_lineage(found)
-        found = found.mapInArrow(_pass(shared, first, with_text or not last), schema)
+        found = found.mapInArrow(_pass(shared, first, with_text or not last, where), schema)
     n_hit = F.coalesce(F.aggregate("word_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]), F.lit(0))
-    found = found.select("doc_id", *(["text"] if with_text else []), "n_words", "word_spans", "char_spans", "items",
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text") if where else F.col("text")
+    found = found.select("doc_id", *([text] if with_text else []), "n_words", "word_spans", "char_spans", "items",
                          n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), *row)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) &
                             (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
-def _pass(shared, first: bool, keep_text: bool):
+def _pass(shared, first: bool, keep_text: bool, where: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        for b in (part for whole in batches for part in slices(whole)):
-            rows = texts(b)
+        for b in (part for whole in batches for part in slices(whole, **where)):
+            rows = texts(b, **where)
             of = lambda name: b.column(b.schema.get_field_index(name))
             row = [of("row")] if "row" in b.schema.names else []
             n_words, spans, chars, items = [], [], [], []
@@ -248,8 +250,7 @@ def _pass(shared, first: bool, keep_text: bool):
                 spans.append([{"start": x, "end": y} for x, y in s])
                 chars.append([{"start": x, "end": y} for x, y in _char_spans(t, s)] if s else [])
                 items.append(sorted(it))
-            text = (of("text").cast(pa.string()) if keep_text
-                    else pa.nulls(b.num_rows, pa.string()))
+            text = of("text").cast(pa.string()) if keep_text and not where else pa.nulls(b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, _SPAN), pa.array(chars, _SPAN),
                  pa.array(items, pa.list_(pa.string())), *row],

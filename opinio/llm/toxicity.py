@@ -293,18 +293,20 @@ def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:
 def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
                 least: float = 0.5, carry: bool | list[str] = False) -> DataFrame:
     """``doc_id, score, spans`` (and the input row, if carried): one row per input row."""
-    source = narrow(docs, id_col, text_col, carry)
+    source = narrow(docs, id_col, text_col, carry, once=True)
     kind = source.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    where = {"column": text_col, "inside": True} if carry is True else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for b in (part for whole in batches for part in slices(whole)):
-            rows = strings(b)
+        for b in (part for whole in batches for part in slices(whole, **where)):
+            rows = strings(b, **where)
             marginals = shared.value.marginals([sequences(t) for t in rows], known)
             spans = [_spans(t, p, least) if len(p) and p.max() >= least else [] for t, p in zip(rows, marginals)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([shared.value.score(p) for p in marginals], pa.float64()), pa.array(spans, _SPAN),
-                 *b.columns[2:]], names=["doc_id", "score", "spans", *(["row"] if carry else [])])
+                 *([b.column(b.schema.get_field_index("row"))] if carry else [])],
+                names=["doc_id", "score", "spans", *(["row"] if carry else [])])
 
     return source.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:long,end:long>>{row_type(source)}")
