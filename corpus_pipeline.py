@@ -3,8 +3,8 @@ removal, benchmark decontamination, tokenisation.
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
 DataFrame, which is written as Parquet and read again as the next stage's ``docs``.  All stages but
-the last return the columns of their input.  A stage that judges documents sends their texts through Python once, without
-the rest of the row, and writes the keys (id, text hash) of the rows that go; those are anti-joined.
+the last return the columns of their input.  A stage that judges documents by themselves sends each row through Python
+once, the text inside the row; near-duplicate removal writes the keys (id, text hash) of the rows that go and anti-joins them.
 
 Defined cases, for every stage: an empty input gives an empty result; a null text counts as empty
 and stays null if the stage keeps the row unchanged; extra columns, whatever their names, are
@@ -26,8 +26,9 @@ from opinio.sources.tables import table
 ORACLE_SQL = None
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", _hash().alias("text_hash"))
+def _row(docs: DataFrame):
+    """The carried row's columns."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
 
 
 def _hash():
@@ -39,16 +40,10 @@ def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return docs.join(keys, docs["doc_id"].eqNullSafe(keys["of_doc"]) & (_hash() == keys["of_hash"]), how)
 
 
-def _without(docs: DataFrame, judged: DataFrame, goes) -> DataFrame:
-    """``docs`` without the rows that were judged to go."""
-    keys = judged.where(goes).select(F.col("doc_id").alias("of_doc"), F.col("row.text_hash").alias("of_hash")).distinct()
-    return _matched(docs, written(keys, "judged"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents with a toxicity score of at least one half go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score_texts(_texts(docs), model, carry=["text_hash"]), F.col("score") >= 0.5)
+    return toxicity.score_texts(docs, model, carry=True).where(F.col("score") < 0.5).select(*_row(docs))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,8 +79,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents with at least one word in twenty inside a benchmark window go."""
-    found = decontaminate.contamination(_texts(docs), table(spark, sf_dir, "benchmark"), carry=["text_hash"])
-    return _without(docs, found, "contaminated")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.where(~F.col("contaminated")).select(*_row(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
