@@ -52,13 +52,18 @@ def _rx_all(c: Column, pattern: str, idx: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), idx)
 
 
-def element_text(html: Column) -> Column:
-    """The text of an element: line breaks for ``<br>``, no tags, decoded entities, trimmed."""
-    x = F.regexp_replace(html, r"(?i)<br\s*/?>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return F.trim(x, F.lit(" \t\r\n"))
+def element_texts(html: Column) -> Column:
+    """The texts of an array of elements: line breaks for ``<br>``, no tags, decoded entities, trimmed.  The steps are
+    transforms of the array, so that each text is made once and texts without tags or entities skip them."""
+    def plain(x: Column) -> Column:
+        return F.when(x.contains("<"), F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", "\n"), r"<[^>]*>", "")).otherwise(x)
+
+    def decoded(x: Column) -> Column:
+        y = x
+        for name, char in ENTITIES:
+            y = F.replace(y, F.lit(name), F.lit(char))
+        return F.trim(F.when(x.contains("&"), y).otherwise(x), F.lit(" \t\r\n"))
+    return F.transform(F.transform(html, plain), decoded)
 
 
 def articles(html: Column) -> Column:
@@ -109,8 +114,7 @@ def review_blocks(pages: DataFrame) -> DataFrame:
 
 def blocks_of(pf: DataFrame) -> DataFrame:
     blocks = pf.select("page_id", "product_key", "page_no", "Company", "Model",
-                       F.posexplode(paragraphs(F.col("articles"))).alias("block_no", "block"))
-    blocks = blocks.withColumn("block", element_text(F.col("block")))
+                       F.posexplode(element_texts(paragraphs(F.col("articles")))).alias("block_no", "block"))
     return blocks.select(
         "page_id", "product_key", "page_no", "Company", "Model", "block_no",
         F.col("block").alias("Review"),
