@@ -455,13 +455,18 @@ def _class_links(vectors: DataFrame, cosine: float, strip: int, least_strips: in
     # how many classes a cell holds (to within a few percent) decides its strips, how far it reaches its partners
     held = (vectors.select("vector").mapInArrow(_located(cells), "dims int, cell int, d1 long, far double")
             .groupBy("dims", "cell").agg(F.approx_count_distinct("d1", 0.05).alias("n"), F.max("far").alias("far")).collect())
+    # pivots without rows go (one of two in the same direction), so that no later rounding finds an empty cell
+    used = {d: sorted(r.cell for r in held if r.dims == d) for d in cells.pivots}
+    place = {(d, c): k for d, some in used.items() for k, c in enumerate(some)}
+    cells = Cells({d: cells.pivots[d][some] for d, some in used.items() if some})
     strips, kinds, members, at = {}, {}, [], 0
     for r in sorted(held):
         parts = max(1, math.ceil(1.2 * r.n / strip))
-        strips[r.dims, r.cell] = (at, parts)
+        cell = place.get((r.dims, r.cell), 0)
+        strips[r.dims, cell] = (at, parts)
         for k in range(parts):
             kinds[at + k] = (r.dims, kind)
-            members.append((at + k, r.dims, r.cell, r.far))
+            members.append((at + k, r.dims, cell, r.far))
         at += parts
     partners: dict[int, list[int]] = {}
     t = math.sqrt(max(0.0, 2 - 2 * cosine))

@@ -123,6 +123,15 @@ def test_edge_cases(spark):
     assert C.near_duplicates(words).schema["component_id"].dataType.simpleString() == "string"
 
 
+def test_vectors_of_one_direction(spark):
+    """Scaled copies are unlike vectors at distance nought, also as pivots."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 5))
+    rows = [(k, [float(z) * (1 + k % 7) for z in base[k % 3]]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert got(C.near_duplicates(df, strip=4, least_strips=9)) == brute(rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
