@@ -25,5 +25,6 @@ assert lines.count() == 200 and lines.where("n_dropped > 0").count() > 0
 
 def test_operators(tmp_path):
     code = SCRIPT.format(here=HERE, folder=str(tmp_path / "shared"))
-    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900, cwd=tmp_path)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900, cwd=tmp_path,
+                          env=os.environ | {"PYTHONPATH": HERE})                # the workers import the library, too
     assert done.returncode == 0, done.stderr[-3000:]
