@@ -3,8 +3,8 @@ whole chain (TXT8).
 
 TXT6 keeps a word only if the spelling dictionary knows it; unknown words
 become empty strings (so ``a xx b`` -> ``a  b`` until spaces are
-collapsed).  The dictionary can be large, so it is a join, not a literal:
-words are exploded with their position on a narrow (key, pos, word)
+collapsed).  A dictionary of bounded size is looked up in the row
+(``operators.lookup``); a larger one is a join, not a literal: words are exploded with their position on a narrow (key, pos, word)
 projection, left-joined to the dictionary (broadcast only when its size is
 checked), and rebuilt in order per document.  When the input is
 hash-partitioned by the key (the cleaned reviews are), the regrouping and
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as TX
+from opinio.operators.lookup import word_lookup
 
 
 def dictionary_from_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -29,8 +30,13 @@ def keep_dictionary_words(df: DataFrame, key: str, text: str, dictionary: DataFr
                           out: str | None = None, case_sensitive: bool = False) -> DataFrame:
     """TXT6: every whitespace word not in ``dictionary(word)`` becomes ''."""
     out = out or text
-    words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
     d = dictionary.select((F.col("word") if case_sensitive else F.lower("word")).alias("_dw")).distinct()
+    known = word_lookup(d, "_dw", "_dw")
+    if known is not None:
+        kept = F.transform(TX.split_words(F.col(text)), lambda w: F.when(
+            known(w if case_sensitive else F.lower(w)).isNotNull(), w).otherwise(F.lit("")))
+        return df.withColumn(out, F.coalesce(F.array_join(kept, " "), F.lit("")))
+    words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
     d = d.withColumn("_ok", F.lit(True))                      # AQE broadcasts it if its measured size allows
     probe = F.col("w") if case_sensitive else F.lower("w")
     kept = (words.join(d, probe == F.col("_dw"), "left")
@@ -91,11 +97,15 @@ def correct_words(df: DataFrame, key: str, text: str, dictionary: DataFrame, max
     words, words without a suggestion and words that do not match ``pattern`` (if given) stay as they are.
 
     Only distinct unknown words are looked up; the corrections meet the words by an equi-join."""
-    words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
-    asked = words.select(F.lower("w").alias("word"))
+    asked = df.select(F.explode(TX.split_words(F.col(text))).alias("w")).select(F.lower("w").alias("word"))
     if pattern:
         asked = asked.where(F.col("word").rlike(pattern))
     into = best_suggestions(asked, dictionary, max_distance).where(F.col("suggestion").isNotNull())
+    better = word_lookup(into, "word", "suggestion")
+    if better is not None:
+        fixed = F.transform(TX.split_words(F.col(text)), lambda w: F.coalesce(better(F.lower(w)), w))
+        return df.withColumn(out or text, F.coalesce(F.array_join(fixed, " "), F.lit("")))
+    words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
     fixed = (words.join(into, F.lower("w") == F.col("word"), "left")
              .select("_k", "pos", F.coalesce("suggestion", "w").alias("w")))
     rebuilt = (fixed.groupBy("_k")

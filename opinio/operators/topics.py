@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import without_words
+from opinio.operators.lookup import word_lookup
 from opinio.session import cut_lineage
 
 _FOLD_SRC, _FOLD_DST = R.accent_fold_table()
@@ -61,9 +62,13 @@ def read_lemmas(spark: SparkSession, path: str) -> DataFrame:
 
 def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
     """Replace each token by its lemma from ``lemmas(form, lemma)``, order
-    kept (explode with position, broadcast-checked join, rebuild)."""
-    ex = df.select(F.col(key).alias("_k"), F.posexplode(tokens).alias("pos", "form"))
+    kept: in the row if the table is small, else explode with position, broadcast-checked join, rebuild."""
     lem = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    lemma = word_lookup(lem, "form", "lemma")
+    if lemma is not None:
+        replaced = F.transform(tokens, lambda t: F.coalesce(lemma(t), t))
+        return df.withColumn(tokens, F.coalesce(replaced, F.array().cast("array<string>")))
+    ex = df.select(F.col(key).alias("_k"), F.posexplode(tokens).alias("pos", "form"))
     rebuilt = (ex.join(lem, "form", "left")
                .select("_k", "pos", F.coalesce("lemma", "form").alias("t"))
                .groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))),
