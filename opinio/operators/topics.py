@@ -191,8 +191,9 @@ def doc_topics(model, vec: DataFrame, key: str) -> DataFrame:
 
 def perplexity(model, vec: DataFrame) -> DataFrame:                              # TOP7
     spark = vec.sparkSession
-    lp = float(model.logPerplexity(vec))
-    ll = float(model.logLikelihood(vec))
+    ll = float(model.logLikelihood(vec))                      # one pass of inference gives all three
+    words = vec.select(F.sum(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x))).first()[0]
+    lp = -ll / words if words else float("nan")
     return spark.createDataFrame([(lp, -lp, ll)], "log_perplexity double, per_word_bound double, log_likelihood double")
 
 
