@@ -31,6 +31,8 @@ ALPHA_TOKEN = r"[\p{L}\p{Nl}\p{No}_]+"
 
 
 MAX_WORDS = 20_000
+#: tasks per core in a pass of the fit
+FIT_ROUNDS = 2
 
 
 def fold_accents(c: Column) -> Column:
@@ -142,7 +144,7 @@ def vectorize(docs: DataFrame, tokens: str = "tokens", key: str = "doc"):
     them many times."""
     from opinio.sources.sinks import written
     bow = cut_lineage(bag_of_words(docs, key, tokens))
-    terms = cut_lineage(dictionary_table(bow))
+    terms = written(dictionary_table(bow), "topic-terms")     # of known size: a small table is not shuffled against the bag
     size = max(terms.agg(F.count(F.lit(1))).first()[0], 1)
     held = (bow.join(terms.select("token", "token_id"), "token")
             .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int").alias("i"),
@@ -161,7 +163,9 @@ def fit_lda(vec: DataFrame, k: int = R.LDA_TOPICS, max_iter: int = R.LDA_PASSES,
     """Online LDA: ``max_iter`` minibatches, each a ``subsampling`` share of the documents."""
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling,
               featuresCol="features", topicDistributionCol="topicDistribution")
-    held = vec.select("features").persist()                   # each minibatch is a pass; what is lost is read again
+    # each minibatch is a pass over all documents, whose cost is computing, not bytes: they are dealt evenly into rounds of
+    # all cores (files packed by bytes make one task more than cores, and so a second round); what is lost is read again
+    held = vec.select("features").repartition(FIT_ROUNDS * vec.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         return lda.fit(held)
     finally:
