@@ -24,27 +24,14 @@ def test_merkle_levels_do_not_add_up_partitions(many_partitions):
     assert links.rdd.getNumPartitions() < 5 * 32
 
 
-def test_lda_passes_are_dealt_over_all_cores(spark, monkeypatch):
-    """top05 and all that fit: vectors in few files are dealt into whole rounds of the cores; the term table is written."""
+def test_lda_terms_are_not_shuffled_against_the_bag(spark):
+    """top04 to top10c: the term table is written, so the planner knows that a small one need not be shuffled."""
     from opinio.operators import topics as TP
     docs = spark.createDataFrame([(f"d{i}", ["wort", f"w{i % 7}", "wort"]) for i in range(60)], "doc string, tokens array<string>")
-    terms, vec = TP.vectorize(docs.coalesce(1))
-    assert terms.inputFiles()                                 # a table of known size, not a checkpoint
-    seen = []
-
-    class Fit:
-        def __init__(self, **_):
-            pass
-
-        def fit(self, held):
-            seen.append((held.rdd.getNumPartitions(), held.count()))
-
-    monkeypatch.setattr(TP, "LDA", Fit)
-    TP.fit_lda(vec.coalesce(1), 2, 1)
-    cores = spark.sparkContext.defaultParallelism
-    assert seen == [(TP.FIT_ROUNDS * cores, 60)]
-    parts = vec.select("features").repartition(TP.FIT_ROUNDS * cores).rdd.glom().map(len).collect()
-    assert max(parts) <= 2 * -(-60 // len(parts))
+    terms, vec = TP.vectorize(docs)
+    assert terms.inputFiles() and terms.count() == 8
+    assert "BroadcastHashJoin" in terms.join(docs.select(TP.F.explode("tokens").alias("token")), "token")._jdf.queryExecution().executedPlan().toString()
+    assert {r.features.numNonzeros() for r in vec.collect()} == {2}
 
 
 def test_shingle_buckets_grow_with_the_shingles(spark):
