@@ -28,7 +28,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,14 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _UNIT = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?|&$%*#()<>/{_WS}-]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+class _Numbers(dict):
+    """Numbers in the order in which units are first asked for; a known one is looked up without Python code."""
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
 class UnitEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct unit once.
 
@@ -85,7 +93,7 @@ class UnitEncoder:
         return out
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.ids = np.empty(0, np.uint32)
         self.start = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
@@ -124,7 +132,7 @@ class UnitEncoder:
         known = self.number
         units = [self._units(t) for t in rows]
         sizes = np.array([len(u) for u in units], dtype=np.int64)
-        code = np.fromiter((known.setdefault(x, len(known)) for u in units for x in u), np.int64, int(sizes.sum()))
+        code = np.fromiter(map(known.__getitem__, chain.from_iterable(units)), np.int64, int(sizes.sum()))
         if len(known) > len(self.count):
             self._encode_new(list(islice(known, len(self.count), None)))
         count = self.count[code]
@@ -149,6 +157,19 @@ def _bins(key: np.ndarray, bits: int = 18) -> np.ndarray:
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _places(pairs: np.ndarray, key: np.ndarray, bins: np.ndarray, bits: int = 18) -> np.ndarray:
+    """Where each key stands in the sorted ``pairs``; of a key that is not there, some place.  A bin that one pair
+    has to itself gives the place at once, only keys of shared bins are searched for."""
+    own = _bins(pairs, bits)
+    table = np.zeros(1 << bits, dtype=np.int32)
+    table[own] = np.arange(len(pairs), dtype=np.int32)
+    shared = np.bincount(own, minlength=1 << bits) > 1
+    place = table[bins]
+    search = np.flatnonzero(shared[bins])
+    place[search] = np.minimum(np.searchsorted(pairs, key[search]), len(pairs) - 1)
+    return place
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_PER_ROUND,
            least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: ``(symbols, ends, rules)``.  ``ends`` marks the last symbol of each
@@ -157,7 +178,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
     Rounds of ``per_round`` pairs go on until no pair occurs ``least`` times.  A pair of
     older symbols never becomes more frequent, so once it is rarer than that, only
     places beside a new symbol are counted again (``live``: all places of a pair are, or none)."""
-    symbols, ends, rules = ids.astype(np.uint32), ends.copy(), []
+    symbols, ends, rules, n_rules = ids.astype(np.uint32), ends.copy(), [np.empty(0, np.uint64)], 0
     live = np.flatnonzero(~ends[:-1])
     while len(live):
         key = (symbols[live].astype(np.uint64) << np.uint64(32)) | symbols[live + 1]
@@ -166,7 +187,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
         # candidates by hashed counts (never below the true count), then exact counts
         some = (counts >= least)[bins]
         live, key, bins = live[some], key[some], bins[some]
-        floor = max(least, int(np.partition(counts, -4 * per_round)[-4 * per_round]))
+        full = counts[counts >= least]                       # only these can raise the floor
+        floor = least if len(full) < 4 * per_round else int(np.partition(full, -4 * per_round)[-4 * per_round])
         maybe = (counts >= floor)[bins]
         pairs, n = np.unique(key[maybe], return_counts=True)
         if floor > least and not (n >= least).any():         # the fullest bins hold rare pairs only
@@ -176,7 +198,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
         if not len(pairs):
             break
         # counted and rare: not looked at again
-        place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        place = _places(pairs, key, bins)
         known = pairs[place] == key
         live, place, known = live[known | ~maybe], place[known | ~maybe], known[known | ~maybe]
         chosen = np.zeros(len(pairs), dtype=bool)
@@ -188,9 +210,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, place = at[take], place[take]
-        used, place = np.unique(place, return_inverse=True)
-        symbols[at] = (base + len(rules) + place).astype(np.uint32)
-        rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[used]]
+        used = np.bincount(place, minlength=len(pairs)) > 0
+        symbols[at] = (base + n_rules + np.cumsum(used) - 1).astype(np.uint32)[place]
+        rules.append(pairs[used])
+        n_rules += len(rules[-1])
         ends[at] = ends[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
@@ -202,7 +225,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = RULES_
         look[new[new > 0] - 1] = True
         look[ends] = False
         live = np.flatnonzero(look[:-1])
-    return symbols, ends, np.array(rules, dtype=np.uint32).reshape(-1, 2)
+    made = np.concatenate(rules)
+    return symbols, ends, np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:

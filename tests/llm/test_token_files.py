@@ -107,3 +107,14 @@ def test_empty_table(spark, empty):
     folder = shared_folder(spark, "files")
     base = token_files.write_token_files(empty, folder, PATH)
     assert token_files.read_documents(spark, folder, base).count() == 0
+
+
+def test_places_of_pairs_that_share_a_bin():
+    """Pairs are found by their bins; only keys of bins that several pairs share are searched for."""
+    rnd = np.random.default_rng(6)
+    pairs = np.unique(rnd.integers(0, 1 << 60, 300).astype(np.uint64))
+    key = rnd.permutation(np.concatenate([np.repeat(pairs, 3), rnd.integers(0, 1 << 60, 500).astype(np.uint64)]))
+    for bits in (18, 4):                                      # hardly any and almost only shared bins
+        place = token_files._places(pairs, key, token_files._bins(key, bits), bits)
+        there = np.isin(key, pairs)
+        assert (pairs[place[there]] == key[there]).all() and (pairs[place[~there]] != key[~there]).all()
