@@ -34,7 +34,9 @@ def test_a_filter_on_label_and_score_makes_the_text_once(spark):
     assert condition.count("replace(") <= 8               # four for each side of the label
 
 
-def test_filtered_reviews_are_scored_after_the_class_is_known(spark):
-    plan = plan_of(QUERIES["cln13_filtered_reviews"](spark, "/root/testdata/sf0.001"))
+def test_filtered_reviews_are_scored_after_the_class_is_known(spark, tmp_path):
+    docs = [(k, "delivery was late on monday" if k % 2 else "the ram is fast", "web1", 101 + k) for k in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = plan_of(QUERIES["cln13_filtered_reviews"](spark, str(tmp_path)))
     tokens = plan[plan.index("Generate posexplode"):]
     assert f"= {R.SERVICE_LABEL}" in tokens
