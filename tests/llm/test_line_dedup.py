@@ -90,3 +90,20 @@ def test_runs_are_merged_as_they_are(spark):
     with line_dedup.files_in_order(spark):
         plan = runs.unseen(runs.levels[0][0], runs.levels[1])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Sort " not in plan.replace("SortMergeJoin", "") and "Exchange" not in plan
+
+
+def test_a_batch_is_written_once(spark):
+    """Four batches and three merges are seven runs, fresh and known keys together, and the totals are exact."""
+    folder = shared_folder(spark, "runs")
+    runs, expected = line_dedup.LineRuns(spark, folder, buckets=3, fanout=2), defaultdict(list)
+    for batch in range(4):
+        rows = [((7 * k + batch) % (30 + batch), k % 2, 100 * batch + k % 9) for k in range(90)]
+        for a, b, d in rows:
+            expected[a, b].append(d)
+        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, doc_id long"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    assert len(names) == 7 and [len(level) for level in runs.levels] == [0, 0, 1]
+    assert {(r.h1, r.h2): (r.n_docs, r["last"]) for r in runs.totals().collect()} == {
+        k: (len(set(d)), max(d)) for k, d in expected.items()}
+    assert runs.levels[2][0].rows.count() == len(expected)
