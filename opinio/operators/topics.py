@@ -7,7 +7,7 @@
 * TOP4-7: sparse count vectors over dense term ids (every token, no cap), made by joins,
   + online ``LDA``; the vectors are written to the shared folder before the iterative fit.
 * TOP8 coherence c_v and TOP10 overview tables: DataFrame jobs over the
-  topic-word table (K x N rows, broadcast).
+  topic-word table (K x N rows).
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from opinio import resources as R
 from opinio.functions.text import without_words
 from opinio.operators.lookup import word_lookup
+from opinio.operators.windows import window_counts
 from opinio.session import cut_lineage
 
 _FOLD_SRC, _FOLD_DST = R.accent_fold_table()
@@ -213,49 +214,18 @@ def coherence_cv(docs: DataFrame, key: str, tokens: str, topics: DataFrame, wind
     """c_v coherence (boolean sliding window of ``window`` tokens, NPMI
     context vectors, cosine against the topic's summed vector, mean).
 
-    ``topics(topic, term)`` holds the top words of each topic (K x N rows,
-    broadcast).  Per document only the positions of topic words are kept;
-    for each (document, word) the windows that contain it form a union of
-    intervals of window starts, so counts need no per-window rows:
-    |U_w| for single counts and |U_i n U_j| (pairwise interval overlap)
-    for pair counts, only for the same-topic word pairs (a fixed list of
-    <= K N^2 pairs joined by equality, not all pairs of a document).
-    Documents without any topic word add no windows.
+    ``topics(topic, term)`` holds the top words of each topic (K x N rows, read on the driver).  How many windows hold a
+    word, and both words of a same-topic pair, is counted by ``windows.window_counts``: only the places of topic words
+    are shuffled.  Documents without any topic word add no windows.
     """
-    words = topics.select("term").distinct()
-    tw = F.broadcast(words.withColumnRenamed("term", "w"))
-    d = docs.select(F.col(key).alias("doc"), F.col(tokens).alias("t")).withColumn("L", F.size("t"))
-    pos = d.select("doc", "L", F.posexplode("t").alias("p", "w")).join(tw, "w")
-    max_s = F.greatest(F.col("L") - window, F.lit(0))
-    iv = pos.select("doc", "w", "L", "p",
-                    F.when(F.col("L") < window, F.lit(0)).otherwise(F.greatest(F.col("p") - window + 1, F.lit(0))).alias("lo"),
-                    F.when(F.col("L") < window, F.lit(0)).otherwise(F.least(F.col("p"), max_s)).alias("hi"))
-    # merge overlapping intervals per (doc, word): consecutive positions give
-    # nested/overlapping ranges; a new run starts where lo > running max(hi)+1
-    w_dw = Window.partitionBy("doc", "w").orderBy("lo", "hi", "p")
-    iv = iv.withColumn("_prev_hi", F.max("hi").over(w_dw.rowsBetween(Window.unboundedPreceding, -1)))
-    iv = iv.withColumn("_new", F.when(F.col("_prev_hi").isNull() | (F.col("lo") > F.col("_prev_hi") + 1), 1).otherwise(0))
-    iv = iv.withColumn("_run", F.sum("_new").over(w_dw.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = iv.groupBy("doc", "w", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    per_word = runs.groupBy("doc", "w").agg(F.collect_list(F.struct("lo", "hi")).alias("iv"),
-                                            F.sum(F.col("hi") - F.col("lo") + 1).alias("n_win"))
-    # number of windows of the documents that hold a topic word (one number)
-    n_windows = F.coalesce(d.join(pos.select("doc").distinct(), "doc", "left_semi")
-                           .agg(F.sum(F.greatest(F.col("L") - window + 1, F.lit(1))).cast("double")).scalar(), F.lit(0.0))
-    single = per_word.groupBy("w").agg(F.sum("n_win").alias("cnt"))
-    a = per_word.select("doc", F.col("w").alias("wi"), F.col("iv").alias("ivi"))
-    b = per_word.select("doc", F.col("w").alias("wj"), F.col("iv").alias("ivj"))
-    overlap = F.aggregate(
-        F.flatten(F.transform("ivi", lambda x: F.transform("ivj", lambda y: F.greatest(
-            F.least(x["hi"], y["hi"]) - F.greatest(x["lo"], y["lo"]) + 1, F.lit(0))))),
-        F.lit(0).cast("long"), lambda acc, v: acc + v)
-    # only same-topic word pairs are scored: a fixed list of <= K N^2 pairs
-    # (broadcast); each (document, word) row meets its partners by equi-join
-    needed = (topics.select("topic", F.col("term").alias("wi"))
-              .join(topics.select("topic", F.col("term").alias("wj")), "topic")
-              .where(F.col("wi") < F.col("wj")).select("wi", "wj").distinct())
-    pair = (a.join(F.broadcast(needed), "wi").join(b, ["doc", "wj"])
-            .select("wi", "wj", overlap.alias("co")).groupBy("wi", "wj").agg(F.sum("co").alias("co")))
+    topics = cut_lineage(topics)
+    words: dict = {}
+    for r in topics.select("topic", "term").collect():
+        words.setdefault(r["topic"], []).extend([] if r["term"] is None else [r["term"]])
+    counts = cut_lineage(window_counts(docs, key, tokens, list(words.values()), window))
+    n_windows = F.coalesce(counts.where("wi IS NULL").agg(F.sum("n").cast("double")).scalar(), F.lit(0.0))
+    single = counts.where("wi IS NOT NULL AND wj IS NULL").select(F.col("wi").alias("w"), F.col("n").alias("cnt"))
+    pair = counts.where("wj IS NOT NULL").select("wi", "wj", F.col("n").alias("co"))
     eps = 1e-12
     # NPMI for every ordered pair of topic words of the same topic
     tp = topics.select("topic", F.col("term").alias("wi")).join(
