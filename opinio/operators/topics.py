@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from opinio import resources as R
 from opinio.functions.text import without_words
+from opinio.operators import online_lda
 from opinio.operators.lookup import word_lookup
 from opinio.operators.windows import window_counts
 from opinio.session import cut_lineage
@@ -162,6 +163,8 @@ def fit_lda(vec: DataFrame, k: int = R.LDA_TOPICS, max_iter: int = R.LDA_PASSES,
     """Online LDA: ``max_iter`` minibatches, each a ``subsampling`` share of the documents."""
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling,
               featuresCol="features", topicDistributionCol="topicDistribution")
+    if subsampling == 1.0:
+        return online_lda.fit(vec, lda)
     held = vec.select("features").persist()                   # each minibatch is a pass; what is lost is read again
     try:
         return lda.fit(held)

@@ -2,8 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
+from opinio.operators import online_lda as OL
 from opinio.operators import topics as TP
 from opinio.operators import windows as W
 
@@ -15,6 +18,47 @@ def _docs(spark, n=60, seed=3):
     return spark.createDataFrame(rows, "doc string, tokens array<string>")
 
 
+@pytest.mark.parametrize("k, passes", [(2, 1), (3, 12)])
+def test_fit_is_spark_mls(spark, k, passes):
+    """The fit does not run through Spark ML's optimiser any more, and gives its model."""
+    terms, vec = TP.vectorize(_docs(spark))
+    lda = LDA(k=k, maxIter=passes, seed=42, optimizer="online", subsamplingRate=1.0)
+    want, got = lda.fit(vec.select("features")), TP.fit_lda(vec, k, passes, 42)
+    assert np.allclose(got.topicsMatrix().toArray(), want.topicsMatrix().toArray(), rtol=1e-5)
+    assert np.allclose(got.estimatedDocConcentration().toArray(), want.estimatedDocConcentration().toArray(), rtol=1e-6)
+    assert got.vocabSize() == want.vocabSize() and abs(got.logLikelihood(vec) / want.logLikelihood(vec) - 1) < 1e-6
+    theta = [[r.theta for r in TP.doc_topics(m, vec, "doc").orderBy("doc").collect()] for m in (got, want)]
+    assert np.allclose(*theta, atol=1e-5)
+
+
+def test_fit_does_not_use_the_rows_of_spark_ml(spark, monkeypatch):
+    _, vec = TP.vectorize(_docs(spark, 10))
+    monkeypatch.setattr(LDA, "fit", lambda *a: pytest.fail("one document after the other"))
+    assert TP.fit_lda(vec, 2, 1, 1).vocabSize() > 0
+
+
+def test_documents_side_by_side_are_inferred_as_alone():
+    rng = np.random.default_rng(4)
+    length = rng.integers(1, 30, 50)
+    begin = np.cumsum(length) - length
+    terms = np.concatenate([rng.choice(100, n, replace=False) for n in length]).astype(np.int32)
+    counts = rng.integers(1, 5, len(terms)).astype(float)
+    beta, alpha, start = rng.random((3, 100)), np.array([.2, .5, .3]), OL.gamma_draws(1 << 40, 3)
+    blocks, OL.BLOCK = OL.BLOCK, 400                          # several blocks, whose rests meet
+    try:
+        gamma, theta = OL.infer(terms, counts, begin, length, beta, alpha, start)
+    finally:
+        OL.BLOCK = blocks
+    for d in range(len(length)):
+        own = slice(begin[d], begin[d] + length[d])
+        g, b = start.copy(), beta[:, terms[own]]
+        t, change = np.exp(OL.expectation(g[:, None])[:, 0]), 1.0
+        while change > 1e-3:
+            new = t * (b @ (counts[own] / (t @ b + 1e-100))) + alpha
+            change, g, t = np.abs(new - g).sum() / 3, new, np.exp(OL.expectation(new[:, None])[:, 0])
+        assert np.allclose(gamma[:, d], g) and np.allclose(theta[:, d], t)
+
+
 def _brute(docs, words, window):
     """Windows per word, per pair and in all; rows of one key lie over each other."""
     single, pair, total = {w: 0 for w in words}, {}, 0
