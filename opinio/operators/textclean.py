@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as TX
-from opinio.operators.lookup import word_lookup
+from opinio.operators.lookup import word_lookup, word_replacer
+from opinio.sources.sinks import written
 
 
 def dictionary_from_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -75,6 +76,12 @@ def best_suggestions(words: DataFrame, dictionary: DataFrame, max_distance: int
     without an all-pairs product; ``levenshtein`` then verifies.  A word more than
     ``max_distance`` longer than the longest dictionary word has no candidate, so long junk
     is never expanded.  ``words(word)``; ``dictionary(word[, freq])``."""
+    u, best = _unknown_and_best(words, dictionary, max_distance)
+    return u.join(best, "word", "left")                       # no candidate: a null suggestion
+
+
+def _unknown_and_best(words: DataFrame, dictionary: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """``word``: the distinct unknown words; ``word, suggestion``: those that have one."""
     d = (dictionary.select(F.lower("word").alias("cand"),
                            (F.col("freq") if "freq" in dictionary.columns else F.lit(0)).alias("freq"))
          .groupBy("cand").agg(F.max("freq").alias("freq")))
@@ -87,8 +94,7 @@ def best_suggestions(words: DataFrame, dictionary: DataFrame, max_distance: int
     pairs = (uv.join(dv, "v").select("word", "cand", "freq").distinct()
              .withColumn("dist", F.levenshtein("word", "cand", max_distance))
              .where(F.col("dist") >= 0))
-    best = pairs.groupBy("word").agg(F.min_by("cand", F.struct("dist", -F.col("freq"), "cand")).alias("suggestion"))
-    return u.join(best, "word", "left")                       # no candidate: a null suggestion
+    return u, pairs.groupBy("word").agg(F.min_by("cand", F.struct("dist", -F.col("freq"), "cand")).alias("suggestion"))
 
 
 def correct_words(df: DataFrame, key: str, text: str, dictionary: DataFrame, max_distance: int = 2,
@@ -96,14 +102,18 @@ def correct_words(df: DataFrame, key: str, text: str, dictionary: DataFrame, max
     """TXT6b in a text: every word that the dictionary does not know becomes its best suggestion, in place; known
     words, words without a suggestion and words that do not match ``pattern`` (if given) stay as they are.
 
-    Only distinct unknown words are looked up; the corrections meet the words by an equi-join."""
+    Only distinct unknown words are looked up, once: the corrections are written.  They meet the words in the row, or by an
+    equi-join if they are too many for that."""
     asked = df.select(F.explode(TX.split_words(F.col(text))).alias("w")).select(F.lower("w").alias("word"))
     if pattern:
         asked = asked.where(F.col("word").rlike(pattern))
-    into = best_suggestions(asked, dictionary, max_distance).where(F.col("suggestion").isNotNull())
+    into = written(_unknown_and_best(asked, dictionary, max_distance)[1].where(F.col("suggestion").isNotNull()), "corrections")
     better = word_lookup(into, "word", "suggestion")
-    if better is not None:
-        fixed = F.transform(TX.split_words(F.col(text)), lambda w: F.coalesce(better(F.lower(w)), w))
+    replace = word_replacer(into, "word", "suggestion") if better is None else None
+    if better is not None or replace is not None:
+        split = TX.split_words(F.col(text))
+        fixed = (replace(split, F.transform(split, lambda w: F.lower(w))) if better is None
+                 else F.transform(split, lambda w: F.coalesce(better(F.lower(w)), w)))
         return df.withColumn(out or text, F.coalesce(F.array_join(fixed, " "), F.lit("")))
     words = df.select(F.col(key).alias("_k"), F.posexplode(TX.split_words(F.col(text))).alias("pos", "w"))
     fixed = (words.join(into, F.lower("w") == F.col("word"), "left")

@@ -6,7 +6,9 @@ import pytest
 from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
+from opinio.operators import lookup as L
 from opinio.operators import online_lda as OL
+from opinio.operators import textclean as TC
 from opinio.operators import topics as TP
 from opinio.operators import windows as W
 
@@ -114,3 +116,32 @@ def test_coherence_shuffles_places_only(spark):
     assert "Window" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(key") == 1
     got = TP.coherence_cv(docs, "doc", "tokens", topics, window=5)
     assert got.count() == 2 and got.where(F.col("coherence").isNull()).count() == 0
+
+
+def test_words_are_corrected_in_the_row_by_a_sent_table(spark, monkeypatch):
+    """Corrections beyond a literal do not take the texts apart; row, sent table and join give the same."""
+    df = spark.createDataFrame([("a", "helo Wrld  fine helo"), ("b", None), ("c", "qqqqqqqq"), ("d", "")], "k string, t string")
+    words = spark.createDataFrame([("hello", 3), ("world", 1), ("fine", 2)], "word string, freq long")
+
+    def rows():
+        out = TC.correct_words(df, "k", "t", words)
+        return sorted(map(tuple, out.collect()), key=str), out._jdf.queryExecution().executedPlan().toString()
+    literal, _ = rows()
+    monkeypatch.setattr(TC, "word_lookup", lambda *a, **k: None)
+    sent, plan = rows()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "Generate" not in plan
+    monkeypatch.setattr(TC, "word_replacer", lambda *a, **k: None)
+    joined, _ = rows()
+    assert literal == sent == joined and ("a", "hello world fine hello") in sent
+
+
+def test_lists_are_replaced_in_parts(spark, monkeypatch):
+    rows = [["a", "b", None], None, [], ["c", "a"], ["b"] * 5]
+    tokens = pa.array(rows, pa.list_(pa.string()))
+    for n in (1, 3, 100):
+        monkeypatch.setattr(L, "WORDS_AT_ONCE", n)
+        got = L.replaced(tokens, tokens, pa.array(["a", "c"]), pa.array(["A", "x"]))
+        assert got.to_pylist() == [["A", "b", None], None, [], ["x", "A"], ["b"] * 5]
+        assert L.replaced(tokens.slice(3), tokens.slice(3), pa.array(["a"]), pa.array(["A"])).to_pylist() == [["c", "A"], ["b"] * 5]
+    table = spark.createDataFrame([("a", "A"), ("c", "x")], "k string, v string")
+    assert L.word_replacer(table, "k", "v", most=1) is None and L.word_replacer(table, "k", "v", most=2) is not None
