@@ -23,9 +23,9 @@ from opinio.sources.tables import MAX_LITERAL_ROWS
 MAX_SENT_ROWS, WORDS_AT_ONCE = 1 << 20, 1 << 20
 
 
-def word_lookup(table: DataFrame, word: str, value: str, most: int | None = None) -> Callable[[Column], Column] | None:
+def word_lookup(table: DataFrame, word: str, value: str, most: int | None = None, known: bool = False) -> Callable[[Column], Column] | None:
     """Word -> its ``value`` (a string; null if the table does not have the word), or None if the table, one row per word, has
-    more than ``most`` rows.  At most ``most`` + 1 rows are read."""
+    more than ``most`` rows.  At most ``most`` + 1 rows are read.  With ``known`` the function tells if the table has the word."""
     most = MAX_LITERAL_ROWS if most is None else most
     size = 1 << max(most, 1).bit_length()                     # fixed before the table is known: its rows are read once
 
@@ -40,6 +40,8 @@ def word_lookup(table: DataFrame, word: str, value: str, most: int | None = None
     for r in rows:
         slots[r["s"]].append({"k": r["k"], "v": r["v"]})
     held = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<k:string,v:string>>>")
+    if known:                                                 # stops at the word, and makes no array
+        return lambda w: F.exists(F.get(held, slot(w)), lambda e: e["k"] == w)
     return lambda w: F.get(F.filter(F.get(held, slot(w)), lambda e: e["k"] == w), F.lit(0))["v"]
 
 

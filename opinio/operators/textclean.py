@@ -130,6 +130,11 @@ def clean_chain(df: DataFrame, key: str, text: str, stop_words: list[str], dicti
     """TXT8 in the reference order: punctuation, mentions, URLs, numbers,
     stop words, dictionary words, whitespace.  ``spelling``: ``drop`` deletes words that the
     dictionary does not know (TXT6), ``correct`` replaces them (TXT6b)."""
+    if dictionary is not None and spelling != "correct":
+        known = word_lookup(dictionary.select(F.lower("word").alias("_dw")).distinct(), "_dw", "_dw", known=True)
+        if known is not None:                                 # the words of the steps are filtered, not joined and split again
+            kept = F.filter(TX.clean_words(F.col(text), stop_words, order), lambda w: known(F.lower(w)))
+            return df.withColumn(out, F.coalesce(F.array_join(kept, " "), F.lit("")))
     df = df.withColumn(out, TX.clean_steps(F.col(text), stop_words, order))
     if dictionary is not None:
         df = (correct_words(df, key, out, dictionary, pattern=pattern) if spelling == "correct"

@@ -145,3 +145,23 @@ def test_lists_are_replaced_in_parts(spark, monkeypatch):
         assert L.replaced(tokens.slice(3), tokens.slice(3), pa.array(["a"]), pa.array(["A"])).to_pylist() == [["c", "A"], ["b"] * 5]
     table = spark.createDataFrame([("a", "A"), ("c", "x")], "k string, v string")
     assert L.word_replacer(table, "k", "v", most=1) is None and L.word_replacer(table, "k", "v", most=2) is not None
+
+
+def test_chain_filters_the_words_it_has(spark, monkeypatch):
+    texts = ["The CAT, sat\ton zz the  mat!", "", None, "zz yy 12", "the", " @x http://a.b Mat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    words = spark.createDataFrame([("Cat",), ("mat",), ("on",), (None,), ("cat",)], "word string")
+
+    def rows():
+        return sorted(map(tuple, TC.clean_chain(df, "k", "t", ["the"], words, order=order).collect()))
+    for order in ("reference", "urls_first"):
+        with monkeypatch.context() as m:
+            fused = rows()
+            plan = TC.clean_chain(df, "k", "t", ["the"], words, order=order)._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("split(") == 1 and "Generate" not in plan
+            lookup = TC.word_lookup
+            m.setattr(TC, "word_lookup", lambda *a, known=False, **k: None if known else lookup(*a, **k))
+            in_row = rows()
+            m.setattr(TC, "word_lookup", lambda *a, **k: None)
+            assert fused == in_row == rows()
+        assert [r[2] for r in fused][:3] == ["CAT on mat", "", ""]
